@@ -201,7 +201,13 @@ def linked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "&amp;", "&").alias("page_title"),
     )
     base = entries(spark, sf_dir).withColumn("doc_id", F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint"))
-    joined = base.withColumn("page_id", F.when(F.col("kind") == "reading", F.col("doc_id") % n)).join(crawl, "page_id", "left")
+    reading = F.col("kind") == "reading"
+    joined = (
+        base.where(reading)
+        .withColumn("page_id", F.col("doc_id") % n)
+        .join(crawl, "page_id", "left")
+        .unionByName(base.where(~reading), allowMissingColumns=True)
+    )
     kept = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(F.trim("page_title"), r"\s+", " ")).otherwise("stale title")
     url = F.when(F.col("url").isNotNull(), F.create_map(F.lit("url"), F.col("url"))).otherwise(
         F.create_map().cast("map<string,string>")
@@ -227,9 +233,12 @@ def capture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         d.alias("seq"),
         F.when(d % 6 == 0, F.concat(F.lit("device:"), (d % 300).cast("string"))).alias("capture_id"),
         raw_kind.alias("kind"),
-        F.when(d % 4 == 0, first_line_title(F.col("text"))).alias("title"),
-        F.when(d % 10 == 9, F.concat(F.lit("https://example.com/x/"), F.col("source"), F.lit("_report.html"))).otherwise(body).alias("body"),
-        F.create_map(F.lit("lang"), F.col("lang")).alias("data"),
+        F.when((d % 4 == 0) & (d % 10 != 8), first_line_title(F.col("text"))).alias("title"),
+        F.when(d % 10 == 8, F.lit(None).cast("string")).when(d % 10 == 9, F.concat(F.lit("https://example.com/x/"), F.col("source"), F.lit("_report.html"))).otherwise(body).alias("body"),
+        F.when(
+            d % 10 == 8,
+            F.create_map(F.lit("lang"), F.col("lang"), F.lit("url"), F.concat(F.lit("https://example.com/docs/Some_Long%20Name+"), "source", F.lit(".pdf?x=1"))),
+        ).otherwise(F.create_map(F.lit("lang"), F.col("lang"))).alias("data"),
         F.array(F.concat(F.lit("#Lang / "), F.upper("lang")), F.col("source"), F.concat(F.col("source"), F.lit("/"))).alias("tags"),
         F.when(d % 12 == 0, " starred ").otherwise(F.lit("")).alias("status"),
         F.lit(None).cast("int").alias("rating"),
