@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in one expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every ASCII whitespace character, not only blanks."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -66,9 +73,12 @@ def status_or_default(status: Column, kind: Column) -> Column:
 
 
 def derive_title(body: Column) -> Column:
-    line = strip(F.get(F.split(strip(body), "\n"), F.lit(0)))
-    short = F.concat(F.regexp_replace(F.substring(line, 1, 87), r"\s+$", ""), F.lit("…"))
-    return F.nullif(F.when(F.length(line) > 90, short).otherwise(line), F.lit(""))
+    def cut(line: Column) -> Column:
+        short = F.concat(F.regexp_replace(F.substring(line, 1, 87), r"\s+$", ""), F.lit("…"))
+        return F.when(F.length(line) > 90, short).when(line != "", line)
+
+    # the first line is cut out before it is trimmed, so long bodies are not copied
+    return let(strip(F.split_part(F.ltrim(body, F.lit(WHITESPACE)), F.lit("\n"), F.lit(1))), cut)
 
 
 def clean_tag(tag: Column) -> Column:
@@ -93,7 +103,7 @@ def without_hashtags(text: Column) -> Column:
     t = F.regexp_replace(text, HASHTAG, "$1")
     t = F.regexp_replace(t, r"[ \t]{2,}", " ")
     t = F.regexp_replace(t, r"(?m)\s+$", "")
-    return strip_to_null(t)
+    return let(strip(t), lambda x: F.when(x != "", x))
 
 
 # -- links ------------------------------------------------------------------------
@@ -101,8 +111,8 @@ def without_hashtags(text: Column) -> Column:
 
 def extract_url(*texts: Column) -> Column:
     """First URL of the first text that holds one, closing punctuation dropped."""
-    found = F.coalesce(*[F.nullif(F.regexp_extract(t, URL, 0), F.lit("")) for t in texts])
-    return F.regexp_replace(found, r"[.,;:!?]+$", "")
+    found = [let(F.regexp_extract(t, URL, 0), lambda x: F.when(x != "", x)) for t in texts]
+    return F.regexp_replace(F.coalesce(*found), r"[.,;:!?]+$", "")
 
 
 def is_url_only(text: Column) -> Column:
@@ -111,12 +121,13 @@ def is_url_only(text: Column) -> Column:
 
 def is_weak_title(title: Column, tags: Column) -> Column:
     """Blank, a URL, or one bare word that is also a tag of the same item."""
-    t = strip(title)
-    names_shelf = ~F.contains(t, F.lit(" ")) & F.exists(
-        F.coalesce(tags, F.array().cast("array<string>")), lambda g: F.lower(g) == F.lower(t)
-    )
-    weak = (F.length(t) < 3) | t.rlike("(?i)^https?://") | names_shelf
-    return F.coalesce(t.isNull() | weak, F.lit(True))
+    def weak(t: Column) -> Column:
+        names_shelf = ~F.contains(t, F.lit(" ")) & F.exists(
+            F.coalesce(tags, F.array().cast("array<string>")), lambda g: F.lower(g) == F.lower(t)
+        )
+        return t.isNull() | (F.length(t) < 3) | t.rlike("(?i)^https?://") | names_shelf
+
+    return F.coalesce(let(strip(title), weak), F.lit(True))
 
 
 def url_host(url: Column) -> Column:
@@ -133,29 +144,32 @@ def title_from_url(url: Column) -> Column:
     last = F.try_element_at(F.filter(F.split(path, "/"), lambda p: p != ""), F.lit(-1))
     t = F.regexp_replace(F.try_url_decode(last), r"(?i)\.(pdf|html?|php|aspx?|md|txt|docx?)$", "")
     t = strip(F.regexp_replace(F.regexp_replace(t, "[_+-]+", " "), r"\s+", " "))
-    usable = (
-        F.length(t).between(4, 120)
-        & t.rlike("(?i)[a-z]{3}")
-        & ~t.rlike("(?i)^[0-9a-f-]{16,}$")
-    )
-    return F.when(usable, capitalise(t))
+
+    def usable(x: Column) -> Column:
+        named = F.length(x).between(4, 120) & x.rlike("(?i)[a-z]{3}") & ~x.rlike("(?i)^[0-9a-f-]{16,}$")
+        return F.when(named, capitalise(x))
+
+    return let(t, usable)
 
 
 def site_name(declared: Column, url: Column) -> Column:
     """The declared name unless it is just a hostname; else the domain's label."""
     named = declared.isNotNull() & (declared != "") & ~declared.rlike(r"(?i)^[a-z0-9.-]+\.[a-z]{2,}$")
     labels = F.filter(F.split(bare_domain(url), r"\."), lambda p: ~p.isin(SECTION_SUBDOMAINS))
-    label = F.when(F.size(labels) > 1, F.try_element_at(labels, F.lit(-2))).otherwise(F.get(labels, F.lit(0)))
-    return F.when(named, declared).otherwise(F.coalesce(capitalise(F.nullif(label, F.lit(""))), declared))
+    label = let(labels, lambda p: F.when(F.size(p) > 1, F.get(p, F.size(p) - 2)).otherwise(F.get(p, F.lit(0))))
+    shown = let(label, lambda x: F.when(x != "", capitalise(x)))
+    return F.when(named, declared).otherwise(F.coalesce(shown, declared))
 
 
 def qualify_title(title: Column, site: Column, url: Column) -> Column:
     """Put the site in front of a title that says nothing on its own."""
-    t = strip_to_null(title)
-    name = site_name(site, url)
-    vague = F.lower(t).isin(GENERIC_TITLES) | (F.length(t) < 8)
-    redundant = name.isNull() | F.contains(F.lower(t), F.lower(name))
-    return F.when(vague & ~redundant, F.concat(name, F.lit(" — "), t)).otherwise(t)
+    def qualified(x: Column) -> Column:
+        t, name = x["t"], x["name"]
+        vague = F.lower(t).isin(GENERIC_TITLES) | (F.length(t) < 8)
+        redundant = name.isNull() | F.contains(F.lower(t), F.lower(name))
+        return F.when(t == "", None).when(vague & ~redundant, F.concat(name, F.lit(" — "), t)).otherwise(t)
+
+    return let(F.struct(strip(title).alias("t"), site_name(site, url).alias("name")), qualified)
 
 
 def decode_entities(text: Column) -> Column:
@@ -168,7 +182,9 @@ def decode_entities(text: Column) -> Column:
         return F.when(valid, F.decode(wide, "UTF-32"))
 
     def one(piece: Column) -> Column:
-        key = F.lower(F.substring(piece, 2, F.length(piece) - 2))
+        return F.when(piece.rlike("^&.+;$"), let(F.lower(F.substr(piece, F.lit(2), F.length(piece) - 2)), lambda k: entity(k, piece))).otherwise(piece)
+
+    def entity(key: Column, piece: Column) -> Column:
         hex_n = F.conv(F.regexp_extract(key, "^#x([0-9a-f]{1,8})$", 1), 16, 10).cast("bigint")
         dec_n = F.nullif(F.regexp_extract(key, "^#([0-9]{1,9})$", 1), F.lit("")).cast("bigint")
         decoded = (
@@ -176,7 +192,7 @@ def decode_entities(text: Column) -> Column:
             .when(key.rlike("^#[0-9]{1,9}$"), code_point(dec_n))
             .otherwise(F.try_element_at(named, key))
         )
-        return F.when(piece.rlike("^&.+;$"), F.coalesce(decoded, piece)).otherwise(piece)
+        return F.coalesce(decoded, piece)
 
     pieces = F.regexp_extract_all(text, F.lit(r"(?i)&(?:#x?[0-9a-f]+|[a-z]+);|[^&]+|&"), F.lit(0))
     plain = F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
@@ -203,14 +219,21 @@ def trigrams(text: Column) -> Column:
 
 def jaccard(shared: Column, left: Column, right: Column) -> Column:
     """Set similarity from sizes, in single precision like the score it feeds."""
-    return F.coalesce(F.try_divide(shared, left + right - shared), F.lit(0.0)).cast("float")
+    return F.coalesce(F.try_divide(shared.cast("double"), left + right - shared), F.lit(0.0)).cast("float")
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    ta, tb = trigrams(a), trigrams(b)
-    return jaccard(F.size(F.array_intersect(ta, tb)), F.size(ta), F.size(tb))
+    sets = F.struct(trigrams(a).alias("a"), trigrams(b).alias("b"))
+    return let(sets, lambda s: jaccard(F.size(F.array_intersect(s["a"], s["b"])), F.size(s["a"]), F.size(s["b"])))
 
 
 def like_contains(text: Column, term: Column) -> Column:
-    """Case-insensitive substring test; ``%`` and ``_`` in the term stay wildcards."""
-    return F.coalesce(text.ilike(F.concat(F.lit("%"), term, F.lit("%"))), F.lit(False))
+    """Case-insensitive substring test; ``%`` and ``_`` in the term stay wildcards.
+
+    Most terms hold no wildcard, and a plain search needs no pattern compiled
+    per row.
+    """
+    literal = F.regexp_replace(term, r"\\([^%_\\])", "$1")
+    pattern = F.concat(F.lit("%"), literal, F.lit("%"))
+    plain = F.contains(F.lower(text), F.lower(term))
+    return F.coalesce(F.when(term.rlike(r"[%_\\]"), F.ilike(text, pattern)).otherwise(plain), F.lit(False))

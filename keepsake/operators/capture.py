@@ -37,8 +37,11 @@ def normalise(requests: DataFrame, enrich: bool = True, pages: DataFrame | None
         .withColumn("body", text.without_hashtags(body))
         .withColumn("title", F.coalesce("given_title", text.derive_title(F.col("body"))))
         .withColumn("url", text.extract_url(F.try_element_at("data", F.lit("url")), F.col("body"), F.col("title")))
-        .where(F.coalesce("title", "body", "url").isNotNull())
     )
+    # a title or link can only come from these; testing the sources keeps the
+    # pushed-down filter from repeating every expression above
+    given_url = text.extract_url(F.try_element_at("data", F.lit("url")))
+    r = r.where(F.col("given_title").isNotNull() | F.col("body").isNotNull() | given_url.isNotNull())
     if enrich:
         r = _enrich(r, pages)
     return r.withColumn("status", text.status_or_default(F.col("status"), F.col("kind"))).drop("given_title", "url")

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from keepsake.plans import habits, ingest, listing  # noqa: F401
+from keepsake.plans import habits, ingest, listing, search  # noqa: F401
 from keepsake.plans.registry import ORACLES, QUERIES  # noqa: F401

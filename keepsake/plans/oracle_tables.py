@@ -133,4 +133,7 @@ def with_tables(sql: str, **extra: str) -> str:
     if not order:
         return sql
     head = ",\n".join(f"{n} as materialized ({known[n].strip()})" for n in order)
-    return f"with {head}\n{sql.strip()}"
+    body = sql.strip()
+    if body.lower().startswith("with "):
+        return f"with {head},\n{body[5:]}"
+    return f"with {head}\n{body}"
