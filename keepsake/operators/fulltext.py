@@ -24,6 +24,11 @@ def _last(kept: Column) -> Column:
     return F.coalesce(F.try_element_at(kept, F.lit(-1))["pos"], F.lit(0).cast("bigint"))
 
 
+def _reach(tokens: Column, stopwords: list[str]) -> Column:
+    """Position of the last kept token; without stop words, how many there are."""
+    return _last(_kept(tokens, stopwords)) if stopwords else F.size(tokens).cast("bigint")
+
+
 def _placed(kept: Column, base: Column, weight: str, after_notes: bool = False) -> Column:
     return F.transform(
         kept,
@@ -78,7 +83,7 @@ def note_spans(notes: DataFrame, stopwords: list[str] | None = None) -> DataFram
         "created_at",
         F.to_date("created_at").alias("day"),
         F.size(tokens).cast("bigint").alias("n"),
-        _last(_kept(tokens, stop)).alias("last"),
+        _reach(tokens, stop).alias("last"),
     )
     before = Window.unboundedPreceding, -1
     by_day = Window.partitionBy("entry_id").orderBy("day").rowsBetween(*before)
@@ -118,19 +123,9 @@ def occurrences(
         "entry_id", "term", (F.col("pos") + shift).alias("pos"), "w", *carried
     )
     # where an item's notes begin: the end of its body
+    fields = (F.coalesce("title", F.lit("")), F.array_join(shelves.tag_list(F.col("tags")), " "), F.coalesce("body", F.lit("")))
     ends = entries.select(
-        F.col("id").alias("entry_id"),
-        sum(
-            (
-                _last(_kept(text.words(c), stop))
-                for c in (
-                    F.coalesce("title", F.lit("")),
-                    F.array_join(shelves.tag_list(F.col("tags")), " "),
-                    F.coalesce("body", F.lit("")),
-                )
-            ),
-            F.lit(0),
-        ).alias("end_of_body"),
+        F.col("id").alias("entry_id"), sum((_reach(text.words(c), stop) for c in fields), F.lit(0)).alias("end_of_body")
     )
     said = (
         said.join(spans.select("id", "base"), "id")
@@ -264,20 +259,33 @@ def cover_density(occ: Column, clauses: Column) -> Column:
 
 
 def match(
-    queries: DataFrame, entries: DataFrame, notes: DataFrame, stopwords: list[str] | None = None
+    queries: DataFrame,
+    entries: DataFrame,
+    notes: DataFrame,
+    stopwords: list[str] | None = None,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, id, rank) of every item that satisfies a query's words."""
+    """(query_id, id, rank) of every item that satisfies a query's words.
+
+    With ``postings``, a stored result of ``occurrences``, nothing is tokenised;
+    laid out by term, only the files of the wanted words are read. A small
+    query table is broadcast, so occurrences are picked where they are found.
+    """
     q = query_clauses(queries)
     wanted = q.select("query_id", F.posexplode("terms").alias("k", "term"))
-    found = occurrences(entries, notes, wanted, stopwords)
+    if postings is None:
+        found = occurrences(entries, notes, wanted, stopwords)
+    else:
+        found = postings.join(wanted, "term")
     grouped = found.groupBy("query_id", "entry_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "k", "w"))).alias("occ")
     )
-    met = grouped.join(q.select("query_id", "clauses"), "query_id").select(
-        "query_id", "entry_id", "occ", _satisfied(F.col("occ"), F.col("clauses")).alias("met")
-    )
-    return met.where(F.size("met") > 0).select(
-        "query_id", F.col("entry_id").alias("id"), cover_density(F.col("occ"), F.col("met")).alias("rank")
+    # exploding a list of none or one keeps the test from being evaluated twice
+    met = F.filter(F.array(_satisfied(F.col("occ"), F.col("clauses"))), lambda m: F.size(m) > 0)
+    return (
+        grouped.join(q.select("query_id", "clauses"), "query_id")
+        .select("query_id", "entry_id", "occ", F.explode(met).alias("met"))
+        .select("query_id", F.col("entry_id").alias("id"), cover_density(F.col("occ"), F.col("met")).alias("rank"))
     )
 
 

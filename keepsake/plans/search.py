@@ -9,6 +9,7 @@ from keepsake.operators import fulltext, recall
 from keepsake.operators.filters import EntryFilter
 from keepsake.plans import oracle_text as o
 from keepsake.plans.registry import query
+from keepsake.session import broadcast_if_small, spread
 from keepsake.sources import bindings as b
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -64,7 +65,7 @@ FTS = {"terms": TERMS, "occ": OCC, "matched": MATCHED, "asked": ASKED, **covers(
 
 @query("fts_postings", "select entry_id, count(*) as n, count(distinct term) as n_terms, sum(pos) as pos_sum, max(pos) as last, round(sum(w), 4) as weight from postings group by 1")
 def _(spark, sf):
-    p = fulltext.occurrences(b.entries(spark, sf), b.notes(spark, sf))
+    p = fulltext.occurrences(spread(b.entries(spark, sf)), spread(b.notes(spark, sf)))
     return p.groupBy("entry_id").agg(
         F.count("*").alias("n"), F.count_distinct("term").alias("n_terms"), F.sum("pos").cast("decimal(38,0)").cast("bigint").alias("pos_sum"),
         F.max("pos").alias("last"), F.round(F.sum("w"), 4).alias("weight"),
@@ -73,13 +74,13 @@ def _(spark, sf):
 
 @query("fts_match", "select query_id, entry_id as id from matched", **FTS)
 def _(spark, sf):
-    q = b.recall_queries(spark).where(F.trim("query") != "")
-    return fulltext.match(q, b.entries(spark, sf), b.notes(spark, sf)).select("query_id", "id")
+    q = broadcast_if_small(b.recall_queries(spark).where(F.trim("query") != ""))
+    return fulltext.match(q, spread(b.entries(spark, sf)), spread(b.notes(spark, sf))).select("query_id", "id")
 
 
 def _ranks(spark, sf, rows):
-    q = spark.createDataFrame(rows, "query_id int, query string")
-    return fulltext.match(q, b.entries(spark, sf), b.notes(spark, sf)).withColumn("rank", F.round("rank", 6))
+    q = broadcast_if_small(b.typed_queries(spark, rows))
+    return fulltext.match(q, spread(b.entries(spark, sf)), spread(b.notes(spark, sf))).withColumn("rank", F.round("rank", 6))
 
 
 def _with_queries(rows):
@@ -137,7 +138,7 @@ TITLE_G = {"title_g": f"select id, title, {trigrams('title')} as g from entries"
 def _(spark, sf):
     typed = F.lit("And therhean is esnda reedes")
     sim = text.trigram_similarity(F.col("title"), typed).cast("double")
-    return b.entries(spark, sf).select("id", F.lit(5).alias("query_id"), F.round(sim, 6).alias("sim"))
+    return spread(b.entries(spark, sf)).select("id", F.lit(5).alias("query_id"), F.round(sim, 6).alias("sim"))
 
 
 @query(
@@ -146,8 +147,8 @@ def _(spark, sf):
     **TITLE_G, asked=ASKED,
 )
 def _(spark, sf):
-    q = b.recall_queries(spark).where(F.trim("query") != "")
-    return recall.fuzzy_titles(q, b.entries(spark, sf))
+    q = broadcast_if_small(b.recall_queries(spark).where(F.trim("query") != ""))
+    return recall.fuzzy_titles(q, spread(b.entries(spark, sf)))
 
 
 def scored(fuzzy: bool = True) -> dict[str, str]:
@@ -174,7 +175,7 @@ def scored(fuzzy: bool = True) -> dict[str, str]:
     **scored(),
 )
 def _(spark, sf):
-    hits = recall.text_search(b.recall_queries(spark), b.entries(spark, sf), b.notes(spark, sf))
+    hits = recall.text_search(b.recall_queries(spark), spread(b.entries(spark, sf)), spread(b.notes(spark, sf)))
     return hits.withColumn("position", F.col("position").cast("bigint"))
 
 
@@ -186,15 +187,15 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Without fuzzy matching, within one kind."""
-    q = b.recall_queries(spark).where(F.trim("query") != "")
-    hits = recall.text_search(q, b.entries(spark, sf), b.notes(spark, sf), EntryFilter(kind="essay", limit=10), fuzzy=False)
+    q = broadcast_if_small(b.recall_queries(spark).where(F.trim("query") != ""))
+    hits = recall.text_search(q, spread(b.entries(spark, sf)), spread(b.notes(spark, sf)), EntryFilter(kind="essay", limit=10), fuzzy=False)
     return hits.withColumn("position", F.col("position").cast("bigint"))
 
 
 def _recall_of_kind(kind, text_query):
     def run(spark, sf):
-        q = spark.createDataFrame([(0, text_query)], "query_id int, query string")
-        hits = recall.text_search(q, b.entries(spark, sf), b.notes(spark, sf), EntryFilter(kind=kind, limit=50))
+        q = b.typed_queries(spark, [(0, text_query)])
+        hits = recall.text_search(q, spread(b.entries(spark, sf)), spread(b.notes(spark, sf)), EntryFilter(kind=kind, limit=50))
         return hits.withColumn("position", F.col("position").cast("bigint"))
 
     return run
@@ -216,6 +217,6 @@ query("repos", _sql, **_tables)(_recall_of_kind("repo", "thanedble"))
 
 @query("snippet")
 def _(spark, sf):
-    q, e = b.recall_queries(spark), b.entries(spark, sf)
-    hits = recall.text_search(q, e, b.notes(spark, sf))
+    q, e = b.recall_queries(spark), spread(b.entries(spark, sf))
+    hits = recall.text_search(q, e, spread(b.notes(spark, sf)))
     return recall.with_snippets(hits, q, e)

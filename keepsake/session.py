@@ -49,6 +49,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give an input of few splits one partition per core.
+
+    A small file is a single split, and heavy text work on it would run in one
+    task. Large inputs have splits enough and pass through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks_of(df: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> list[DataFrame]:
     """Split a table into pieces of about ``max_rows`` rows by key hash.
 

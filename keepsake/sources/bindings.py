@@ -312,4 +312,10 @@ def recall_queries(spark: SparkSession) -> DataFrame:
         (8, "  "),
         (9, "de la"),
     ]
-    return spark.createDataFrame(rows, "query_id int, query string")
+    return typed_queries(spark, rows)
+
+
+def typed_queries(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
+    """Queries as inline values, whose size the optimizer knows."""
+    values = ", ".join(f"({i}, '{q}')" for i, q in rows)
+    return prepare(spark).sql(f"select * from values {values} as v(query_id, query)")
