@@ -83,3 +83,15 @@ def state_dir(spark: SparkSession, name: str) -> str:
         return tempfile.mkdtemp(prefix=f"{name}-")
     run = spark.range(1).select(F.expr("uuid()")).first()[0]
     return f"{base.rstrip('/')}/{name}-{run}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a result as a table in the shared folder and read it back.
+
+    Cuts the lineage of what several later steps use, in a place that outlives
+    the executors that made it.
+    """
+    spark = df.sparkSession
+    path = f"{state_dir(spark, name)}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
