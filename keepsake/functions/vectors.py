@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from keepsake.functions.text import let
+
 # fixed values: 32-bit FNV-1a
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
@@ -19,9 +21,11 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalise(v: Column) -> Column:
-    length = norm(v)
-    scaled = F.transform(v, lambda x: x.cast("double") / length)
-    return F.when(length > 0, scaled).otherwise(F.transform(v, lambda x: x.cast("double")))
+    # a zero vector is divided by one and stays as it is
+    def scale(s: Column) -> Column:
+        return F.transform(s["v"], lambda x: x.cast("double") / s["length"])
+
+    return let(F.struct(v.alias("v"), F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)).alias("length")), scale)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -51,7 +55,10 @@ def word_slots(text: Column, dims: int) -> Column:
 
 def slot_counts(slots: Column, dims: int) -> Column:
     # array_remove is one tight loop per slot; a lambda per element is far slower
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: (F.size(slots) - F.size(F.array_remove(slots, i))).cast("double"),
-    )
+    def counts(s: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda i: (F.size(s) - F.size(F.array_remove(s, i))).cast("double"),
+        )
+
+    return let(slots, counts)

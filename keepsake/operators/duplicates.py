@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepsake.functions import text
 from keepsake.operators.filters import live
 from keepsake.schema import DEDUPE_KINDS, FUZZY_DUPLICATE
+from keepsake.session import each
 
 SHOWN = 5
 
@@ -24,23 +25,23 @@ def similar_titles(probe: DataFrame, corpus: DataFrame, threshold: float = FUZZY
     slack = threshold - 1e-6
 
     def grams(df: DataFrame) -> DataFrame:
-        return df.select("kind", "title", text.trigrams(F.col("title")).alias("g")).where(F.size("g") > 0)
+        return df.select("kind", "title", text.trigrams(F.col("title")).alias("g"))
 
     c, p = grams(corpus), grams(probe)
     # how often each trigram occurs among stored titles; a small table
-    freq = c.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    freq = each(c, F.col("g"), "t").groupBy("t").agg(F.count("*").alias("df"))
 
     def prefixes(df: DataFrame) -> DataFrame:
         # a trigram of no stored title is the rarest of all
         ranked = (
-            df.select("kind", "title", F.size("g").alias("n"), F.explode("g").alias("t"))
+            each(df, F.col("g"), "t", "kind", "title", F.size("g").alias("n"))
             .join(freq, "t", "left")
             .groupBy("kind", "title", "n")
             .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
         )
         keep = F.col("n") - F.ceil(F.col("n") * slack) + 1
         head = F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x: x["t"])
-        return ranked.select("kind", "title", "n", head.alias("head")).withColumn("t", F.explode("head"))
+        return each(ranked.withColumn("head", head), F.col("head"), "t", "kind", "title", "n", "head")
 
     left = prefixes(p)
     right = prefixes(c).select(

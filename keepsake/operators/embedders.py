@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions import vectors as v
+from keepsake.functions.text import let
 
 ROLES = ("document", "query")
 
@@ -34,9 +35,8 @@ class WordHash:
         self.id = f"stub:{dimensions}"
 
     def embed(self, texts: DataFrame, role: str = "document") -> DataFrame:
-        slots = texts.select("id", v.word_slots(F.col("text"), self.dimensions).alias("slots"))
-        counts = slots.select("id", v.slot_counts(F.col("slots"), self.dimensions).alias("counts"))
-        return counts.select("id", v.l2_normalise(F.col("counts")).alias("vec"))
+        counts = v.slot_counts(v.word_slots(F.col("text"), self.dimensions), self.dimensions)
+        return texts.select("id", let(counts, v.l2_normalise).alias("vec"))
 
 
 class Precomputed:

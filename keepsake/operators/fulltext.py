@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from keepsake.functions import shelves, text, values
 from keepsake.functions.text import let
 from keepsake.schema import FIELD_WEIGHTS
+from keepsake.session import each
 
 
 def _kept(tokens: Column, stopwords: list[str]) -> Column:
@@ -65,8 +66,7 @@ def item_occurrences(entries: DataFrame, stopwords: list[str] | None = None) ->
         _placed(F.col("b"), base_b, "B"),
         _placed(F.col("c"), base_c, "C", after_notes=True),
     )
-    ends = fields.select("entry_id", base_c.alias("end_of_body"), F.explode(doc).alias("o"))
-    return ends.select("entry_id", "end_of_body", "o.*")
+    return each(fields, doc, "o", "entry_id").select("entry_id", "o.*")
 
 
 def note_spans(notes: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -112,9 +112,7 @@ def occurrences(
     carried = [] if wanted is None else [c for c in wanted.columns if c != "term"]
     own = narrow(item_occurrences(entries, stop))
     said = narrow(
-        notes.select("id", "entry_id", F.explode(_kept(text.words(F.col("body")), stop)).alias("o")).select(
-            "id", "entry_id", "o.term", "o.pos"
-        )
+        each(notes, _kept(text.words(F.col("body")), stop), "o", "id", "entry_id").select("id", "entry_id", "o.term", "o.pos")
     )
     spans = note_spans(notes, stop)
     totals = spans.groupBy("entry_id").agg(F.max("reach").alias("note_len"))
@@ -282,10 +280,9 @@ def match(
     )
     # exploding a list of none or one keeps the test from being evaluated twice
     met = F.filter(F.array(_satisfied(F.col("occ"), F.col("clauses"))), lambda m: F.size(m) > 0)
-    return (
-        grouped.join(q.select("query_id", "clauses"), "query_id")
-        .select("query_id", "entry_id", "occ", F.explode(met).alias("met"))
-        .select("query_id", F.col("entry_id").alias("id"), cover_density(F.col("occ"), F.col("met")).alias("rank"))
+    told = grouped.join(q.select("query_id", "clauses"), "query_id")
+    return each(told, met, "met", "query_id", "entry_id", "occ").select(
+        "query_id", F.col("entry_id").alias("id"), cover_density(F.col("occ"), F.col("met")).alias("rank")
     )
 
 

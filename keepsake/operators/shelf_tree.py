@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import shelves, text
 from keepsake.operators.filters import happened_at, live
+from keepsake.session import each
 
 
 def _placements(entries: DataFrame, *columns) -> DataFrame:
@@ -16,7 +17,7 @@ def _placements(entries: DataFrame, *columns) -> DataFrame:
     rows per shelf counts items and needs no distinct aggregate.
     """
     tags = shelves.tag_list(F.col("tags"))
-    return entries.where(live()).select(*columns, tags.alias("tags"), F.explode(shelves.nodes(tags)).alias("tag"))
+    return each(entries.where(live()), shelves.nodes(tags), "tag", *columns, tags.alias("tags"))
 
 
 def shelf_tree(entries: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def on_any_shelf(entries: DataFrame, wanted: DataFrame) -> DataFrame:
     hashes instead of comparing every item with every shelf.
     """
     hits = (
-        entries.select("id", F.explode(shelves.nodes(F.col("tags"))).alias("shelf"))
+        each(entries, shelves.nodes(F.col("tags")), "shelf", "id")
         .join(wanted.select("shelf").distinct(), "shelf", "left_semi")
         .select("id")
     )

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from keepsake.plans import habits, ingest, listing, relations, search, vectors  # noqa: F401
+from keepsake.plans import crawl, habits, ingest, listing, relations, search, vectors  # noqa: F401
 from keepsake.plans.registry import ORACLES, QUERIES  # noqa: F401

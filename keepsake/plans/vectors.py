@@ -40,7 +40,7 @@ def _(spark, sf):
 def _(spark, sf):
     texts = index.embedding_text(spread(b.entries(spark, sf)), b.notes(spark, sf))
     made = WordHash(64).embed(texts)
-    return made.select("id", F.posexplode("vec").alias("slot", "x")).where("x > 0").select(
+    return made.select("id", F.posexplode_outer("vec").alias("slot", "x")).where("x > 0").select(
         "id", F.col("slot").cast("bigint").alias("slot"), F.round("x", 6).alias("x")
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast by hand only below this many rows, and only after its
@@ -72,6 +72,15 @@ def chunks_of(df: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> list[D
     return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
+def each(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """One row per element of a computed array.
+
+    A plain explode makes Spark add a not-empty filter below it, which would
+    evaluate the array expression a second time; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def state_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables and stream state.
 

@@ -133,8 +133,11 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read as handled calls, each worded after one document."""
-    docs = documents(spark, sf_dir)
+    return calls_of(table(spark, sf_dir, "events"), documents(spark, sf_dir))
+
+
+def calls_of(events: DataFrame, docs: DataFrame) -> DataFrame:
+    """Events, at rest or streamed, read as handled calls, each worded after one document."""
     n = count_of(docs)
     e = F.col("event_id")
     surface = F.get(F.array(*[F.lit(s) for s in ("web", "api", "cli", "telegram", "mcp")]), (F.col("user_id") % 5).cast("int"))
@@ -156,8 +159,7 @@ def prompt_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(make_id(F.col("k"))))
     )
     error = F.when((F.col("event_type") == "error") & (e % 2 == 0), "timeout")
-    events = table(spark, sf_dir, "events").withColumn("k", e % n)
-    return events.join(docs.select(F.col("doc_id").alias("k"), "text", "lang", "source"), "k").select(
+    return events.withColumn("k", e % n).join(docs.select(F.col("doc_id").alias("k"), "text", "lang", "source"), "k").select(
         make_id(e).alias("id"),
         F.col("ts").cast("timestamp").alias("at"),
         surface.alias("surface"),
@@ -218,7 +220,11 @@ def linked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents read as capture requests with typed hashtags and links."""
+    return requests_of(documents(spark, sf_dir))
+
+
+def requests_of(docs: DataFrame) -> DataFrame:
+    """Documents, at rest or streamed, read as capture requests with typed hashtags and links."""
     d = F.col("doc_id")
     body = F.concat(
         "text",
@@ -229,7 +235,7 @@ def capture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*[F.lit(k) for k in ("note", "Film", " contact ", "essay", "todo", "fact", "restaurant", "project", "github", "", "memo")]),
         (d % 11).cast("int"),
     )
-    return documents(spark, sf_dir).select(
+    return docs.select(
         d.alias("seq"),
         F.when(d % 6 == 0, F.concat(F.lit("device:"), (d % 300).cast("string"))).alias("capture_id"),
         raw_kind.alias("kind"),
