@@ -5,7 +5,7 @@ Rows keep an item with very many notes or links from growing into one record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,11 @@ def entry_links(links: DataFrame, entries: DataFrame) -> DataFrame:
     """Both ends' view of every link: (entry_id, rel, direction, neighbour…)."""
     far = entries.select(F.col("id").alias("far"), "kind", "title", "status")
 
-    def side(mine: str, other: str, label: str) -> DataFrame:
-        return links.select(
-            F.col(mine).alias("entry_id"), "rel", F.lit(label).alias("direction"), F.col(other).alias("far")
-        )
+    def side(mine: str, other: str, label: str) -> Column:
+        return F.struct(F.col(mine).alias("entry_id"), F.lit(label).alias("direction"), F.col(other).alias("far"))
 
-    both = side("from_id", "to_id", "out").unionByName(side("to_id", "from_id", "in"))
+    sides = F.array(side("from_id", "to_id", "out"), side("to_id", "from_id", "in"))
+    both = links.select("rel", F.explode(sides).alias("s")).select("rel", "s.*")
     return both.join(far, "far").select(
         "entry_id", "rel", "direction", F.col("far").alias("neighbour_id"), "kind", "title", "status"
     )

@@ -38,20 +38,27 @@ def similar_titles(probe: DataFrame, corpus: DataFrame, threshold: float = FUZZY
             .join(freq, "t", "left")
             .groupBy("kind", "title", "n")
             .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
+            .select("kind", "title", "n", F.transform("o", lambda x: x["t"]).alias("o"))
         )
-        keep = F.col("n") - F.ceil(F.col("n") * slack) + 1
-        head = F.transform(F.slice("o", F.lit(1), keep.cast("int")), lambda x: x["t"])
-        return each(ranked.withColumn("head", head), F.col("head"), "t", "kind", "title", "n", "head")
+        keep = (F.col("n") - F.ceil(F.col("n") * slack) + 1).cast("int")
+        head = F.transform(F.slice("o", F.lit(1), keep), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+        return each(ranked, head, "h", "kind", "title", "n", "o").select("kind", "title", "n", "o", "h.t", "h.i")
 
     left = prefixes(p)
     right = prefixes(c).select(
-        "kind", "t", F.col("title").alias("other"), F.col("n").alias("m"), F.col("head").alias("other_head")
+        "kind", "t", F.col("title").alias("other"), F.col("n").alias("m"), F.col("o").alias("p"), F.col("i").alias("j")
     )
+    # sizes and places in the order settle most pairs before any set is compared
     sized = (F.col("m") >= F.col("n") * slack) & (F.col("n") >= F.col("m") * slack)
-    first_met = F.get(F.array_intersect("head", "other_head"), F.lit(0)) == F.col("t")
-    similar = text.trigram_similarity(F.col("title"), F.col("other")).cast("double") > F.lit(threshold)
-    pairs = left.join(right, ["kind", "t"]).where(sized & first_met & (F.col("title") != F.col("other")))
-    return pairs.where(similar).select("kind", "title", "other")
+    needed = (F.col("n") + F.col("m")) * (slack / (1 + slack))
+    reachable = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed
+
+    def similar(common: Column) -> Column:
+        score = text.jaccard(F.size(common), F.col("n"), F.col("m")).cast("double")
+        return (F.get(common, F.lit(0)) == F.col("t")) & (score > F.lit(threshold))
+
+    pairs = left.join(right, ["kind", "t"]).where((F.col("title") != F.col("other")) & sized & reachable)
+    return pairs.where(text.let(F.array_intersect("o", "p"), similar)).select("kind", "title", "other")
 
 
 def find_duplicates(probes: DataFrame, entries: DataFrame, fuzzy: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepsake.session import prepare
+from keepsake.session import prepare, spread
 
 # midnights, as seconds since the epoch in UTC
 JAN_01, JAN_02, JAN_03, JAN_10, JAN_15, JAN_20, JAN_30, JAN_31 = (
@@ -47,7 +47,8 @@ def count_of(df: DataFrame) -> int:
 
 
 def first_line_title(body: Column) -> Column:
-    return F.substring(F.split_part(body, F.lit("\n"), F.lit(1)), 1, 60)
+    # cut before splitting: the rest of a long text is not looked at
+    return F.split_part(F.substring(body, 1, 60), F.lit("\n"), F.lit(1))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +191,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def linked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +221,7 @@ def linked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests_of(documents(spark, sf_dir))
+    return requests_of(spread(documents(spark, sf_dir)))
 
 
 def requests_of(docs: DataFrame) -> DataFrame:
