@@ -224,14 +224,13 @@ def _(spark, sf):
 
 @query(
     "jot_explode",
-    f"""select capture_id, kind, body, tags, data from (
-          select 'jot:' || conv_id || '#' || (row_number() over (partition by conv_id order by turn) - 1) as capture_id,
-            case when role = 'user' then 'note' else 'essay' end as kind, text as body, role || ' talk/log' as tags, 'turn=' || turn as data
-          from conversations where conv_id % 5 <> 0)
+    f"""select concat_ws(':', 'jot', conv_id, turn) || '#' || i as capture_id, case when role = 'user' then 'note' else 'essay' end as kind, line as body,
+          role || ' talk/log' as tags, 'line=' || i as data
+        from (select *, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as i from conversations where conv_id % 5 <> 0)
         union all
-        select 'jot:' || conv_id || '#0', 'thought', {o.untagged("'said ' || text || ' #talk/log'")},
+        select concat_ws(':', 'jot', conv_id, turn) || '#0', 'thought', {o.untagged("'said ' || text || ' #talk/log'")},
           array_to_string({o.hashtags("'said ' || text || ' #talk/log'")}, ' '), ''
-        from conversations where conv_id % 5 = 0 and turn = 0""",
+        from conversations where conv_id % 5 = 0""",
 )
 def _(spark, sf):
     return cap.explode_jots(b.jots(spark, sf)).select(

@@ -8,7 +8,7 @@ from keepsake.functions import vectors as v
 from keepsake.functions.text import iso
 from keepsake.operators import asking, hybrid, index, nearest, recall
 from keepsake.operators.embedders import BatchFunction, WordHash
-from keepsake.operators.filters import EntryFilter
+from keepsake.operators.filters import EntryFilter, live
 from keepsake.plans.registry import query
 from keepsake.plans.search import FTS, TERMS, covers, scored
 from keepsake.schema import QUESTION_STOPWORDS
@@ -109,7 +109,7 @@ def _(spark, sf):
     """select p.id as entry_id, 'stub:64' as provider, strftime(e.updated_at, '%Y-%m-%dT%H:%M:%S.%fZ') as source_updated_at, true as fresh,
          round(coalesce(s.x, 0), 4) as first_slot
        from pending p join entries e on e.id = p.id left join stub s on s.id = p.id and s.slot = 0
-       union all select m.entry_id, 'stub:64', strftime(m.source_updated_at, '%Y-%m-%dT%H:%M:%S.%fZ'), false, round(m.vec[1], 4)
+       union all select m.entry_id, case m.provider when 'table:64' then 'stub:64' else m.provider end, strftime(m.source_updated_at, '%Y-%m-%dT%H:%M:%S.%fZ'), false, round(m.vec[1], 4)
        from vectors m where m.entry_id not in (select id from entries where archived_at is not null) and m.entry_id not in (select id from pending)""",
     **STUB, pending=PENDING,
 )
@@ -293,27 +293,18 @@ def _(spark, sf):
     return asking.merge_queries(named).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-RECENT = """select 1 as question_id, id, row_number() over (order by coalesce(occurred_at, created_at) desc, id) as rank from entries where archived_at is null"""
-
-
 @query(
     "ask_context",
-    """select question_id, rank, c.id, concat_ws(chr(10), '[' || substring(e.id, 1, 8) || '] ' || coalesce(title, '(untitled)') || ' — ' || kind, 'status: ' || status,
+    """select c.question_id, c.rank, c.id, concat_ws(chr(10), '[' || substring(e.id, 1, 8) || '] ' || coalesce(title, '(untitled)') || ' — ' || kind, 'status: ' || status,
          'rating: ' || rating || '/10', 'tags: ' || nullif(array_to_string(tags, ', '), ''), 'captured: ' || strftime(coalesce(occurred_at, created_at), '%Y-%m-%d'),
          'reminder: ' || strftime(remind_at, '%Y-%m-%d'), 'lang: ' || data_lang || ' | source: ' || data_source || ' | n_chars: ' || data_n_chars,
          case when length(body) > 600 then substring(body, 1, 600) || '…' else nullif(body, '') end) as block
-       from recent c join entries e on e.id = c.id""",
-    recent=RECENT,
+       from entries e join (select id as question_id, id, 1 as rank from entries where archived_at is null) c on e.id = c.id""",
 )
 def _(spark, sf):
     """Every live item as a grounding block."""
-    from pyspark.sql import Window
-
-    from keepsake.operators.filters import happened_at, live
-
     e = b.entries(spark, sf)
-    order = Window.orderBy(happened_at().desc(), "id")
-    c = e.where(live()).select(F.lit(1).alias("question_id"), "id", F.row_number().over(order).cast("bigint").alias("rank"))
+    c = e.where(live()).select(F.col("id").alias("question_id"), "id", F.lit(1).cast("bigint").alias("rank"))
     return asking.context_blocks(c, e)
 
 

@@ -257,35 +257,31 @@ def requests_of(docs: DataFrame) -> DataFrame:
 
 
 def jots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations read as jots: one element per turn of extracted JSON."""
-    part = F.struct(
-        F.when(F.col("role") == "user", "note").otherwise("essay").alias("kind"),
-        F.lit(None).cast("string").alias("title"),
-        F.col("text").alias("body"),
-        F.array(F.col("role")).alias("tags"),
-        F.array(
-            F.struct(F.lit("turn").alias("key"), F.col("turn").cast("string").alias("value")),
-            F.struct(F.lit("").alias("key"), F.lit("dropped").alias("value")),
-        ).alias("data"),
-        F.lit(None).cast("string").alias("status"),
+    """Turns read as jots: one element of extracted JSON per line; some were found empty."""
+    c, t = F.col("conv_id"), F.col("turn")
+    none = F.lit(None).cast("string")
+    lines = F.when(c % 5 != 0, F.split("text", "\n")).otherwise(F.array().cast("array<string>"))
+    parts = F.transform(
+        lines,
+        lambda line, i: F.struct(
+            F.when(F.col("role") == "user", "note").otherwise("essay").alias("kind"),
+            none.alias("title"),
+            line.alias("body"),
+            F.array(F.col("role")).alias("tags"),
+            F.array(
+                F.struct(F.lit("line").alias("key"), F.lit("replaced").alias("value")),
+                F.struct(F.lit("").alias("key"), F.lit("dropped").alias("value")),
+                F.struct(F.lit("line").alias("key"), i.cast("string").alias("value")),
+            ).alias("data"),
+            none.alias("status"),
+        ),
     )
-    return (
-        table(spark, sf_dir, "conversations")
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("p")))).alias("parts"))
-        .select(
-            F.concat(F.lit("jot:"), F.col("conv_id").cast("string")).alias("capture_id"),
-            F.concat(F.lit("said "), F.get("parts", F.lit(0))["p"]["body"], F.lit(" #talk/log")).alias("text"),
-            F.to_json(
-                F.struct(
-                    F.when(F.col("conv_id") % 5 != 0, F.transform("parts", lambda x: x["p"])).otherwise(
-                        F.filter(F.transform("parts", lambda x: x["p"]), lambda x: F.lit(False))
-                    ).alias("entries")
-                )
-            ).alias("extracted"),
-            F.lit("jot").alias("source"),
-            at(JAN_31, F.col("conv_id") % 1440).alias("requested_at"),
-        )
+    return table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", F.lit("jot"), c.cast("string"), t.cast("string")).alias("capture_id"),
+        F.concat(F.lit("said "), "text", F.lit(" #talk/log")).alias("text"),
+        F.to_json(F.struct(parts.alias("entries"))).alias("extracted"),
+        F.lit("jot").alias("source"),
+        at(JAN_31, c % 1440).alias("requested_at"),
     )
 
 
