@@ -8,47 +8,43 @@ from pyspark.sql import functions as F
 from keepsake.functions import text
 from keepsake.operators.filters import live
 from keepsake.schema import DEDUPE_KINDS, FUZZY_DUPLICATE
-from keepsake.session import each
+from keepsake.session import each, stored
 
 SHOWN = 5
+# how many of a trigram's newest titles are looked at before its whole list
+HEAD = 64
 
 
-def similar_titles(probe: DataFrame, corpus: DataFrame, threshold: float = FUZZY_DUPLICATE) -> DataFrame:
-    """(kind, title, other): pairs of distinct titles above the trigram threshold.
+def _ordered_grams(titles: DataFrame) -> DataFrame:
+    """Each title's trigrams, rarest first, and how many there are."""
+    grams = titles.withColumn("g", text.trigrams(F.col("title")))
+    # how often each trigram occurs among titles; a small table
+    freq = each(grams, F.col("g"), "t").groupBy("t").agg(F.count("*").alias("df"))
+    return (
+        each(grams, F.col("g"), "t", "kind", "title", "asked", "at", F.size("g").alias("n"))
+        .join(freq, "t")
+        .groupBy("kind", "title", "asked", "at", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+        .withColumn("o", F.transform("o", lambda x: x["t"]))
+    )
 
-    Exact set-similarity join by prefix filtering (Chaudhuri et al., 2006): with
-    trigrams ordered rarest first, two similar titles must share one among their
-    first few. Only titles that share such a rare trigram, and whose sizes can
-    reach the threshold, are compared; each pair is met once, under the first
-    trigram its prefixes share.
-    """
-    slack = threshold - 1e-6
 
-    def grams(df: DataFrame) -> DataFrame:
-        return df.select("kind", "title", text.trigrams(F.col("title")).alias("g"))
-
-    c, p = grams(corpus), grams(probe)
-    # how often each trigram occurs among stored titles; a small table
-    freq = each(c, F.col("g"), "t").groupBy("t").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame) -> DataFrame:
-        # a trigram of no stored title is the rarest of all
-        ranked = (
-            each(df, F.col("g"), "t", "kind", "title", F.size("g").alias("n"))
-            .join(freq, "t", "left")
-            .groupBy("kind", "title", "n")
-            .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "t"))).alias("o"))
-            .select("kind", "title", "n", F.transform("o", lambda x: x["t"]).alias("o"))
-        )
-        keep = (F.col("n") - F.ceil(F.col("n") * slack) + 1).cast("int")
-        head = F.transform(F.slice("o", F.lit(1), keep), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-        return each(ranked, head, "h", "kind", "title", "n", "o").select("kind", "title", "n", "o", "h.t", "h.i")
+def _prefixes(titles: DataFrame, slack: float) -> DataFrame:
+    """One row per trigram of a title's prefix, with its place in the order."""
+    keep = (F.col("n") - F.ceil(F.col("n") * slack) + 1).cast("int")
+    head = F.transform(F.slice("o", F.lit(1), keep), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    return each(titles, head, "h", "kind", "title", "at", "n", "o").select("kind", "title", "at", "n", "o", "h.t", "h.i")
+
 
-    left = prefixes(p)
-    right = prefixes(c).select(
-        "kind", "t", F.col("title").alias("other"), F.col("n").alias("m"), F.col("o").alias("p"), F.col("i").alias("j")
+def _compare(left: DataFrame, right: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """(kind, title, other, at): pairs above the threshold among those that share a prefix trigram.
+
+    Sizes and places in the order settle most pairs before any set is compared;
+    each pair counts under the first trigram it shares.
+    """
+    r = right.select(
+        "kind", "t", F.col("title").alias("other"), "at", F.col("n").alias("m"), F.col("o").alias("p"), F.col("i").alias("j")
     )
-    # sizes and places in the order settle most pairs before any set is compared
     sized = (F.col("m") >= F.col("n") * slack) & (F.col("n") >= F.col("m") * slack)
     needed = (F.col("n") + F.col("m")) * (slack / (1 + slack))
     reachable = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed
@@ -57,8 +53,44 @@ def similar_titles(probe: DataFrame, corpus: DataFrame, threshold: float = FUZZY
         score = text.jaccard(F.size(common), F.col("n"), F.col("m")).cast("double")
         return (F.get(common, F.lit(0)) == F.col("t")) & (score > F.lit(threshold))
 
-    pairs = left.join(right, ["kind", "t"]).where((F.col("title") != F.col("other")) & sized & reachable)
-    return pairs.where(text.let(F.array_intersect("o", "p"), similar)).select("kind", "title", "other")
+    pairs = left.drop("at").join(r, ["kind", "t"]).where((F.col("title") != F.col("other")) & sized & reachable)
+    return pairs.where(text.let(F.array_intersect("o", "p"), similar)).select("kind", "title", "other", "at")
+
+
+def similar_titles(titles: DataFrame, threshold: float = FUZZY_DUPLICATE, enough: int = SHOWN + 1) -> DataFrame:
+    """(kind, title, other): at least the ``enough`` newest look-alikes of each asked title, or all if fewer.
+
+    ``titles``: distinct (kind, title) with ``asked``, and ``at``, the newest time
+    a stored item held it, null if none does.
+
+    Exact set-similarity join by prefix filtering (Chaudhuri et al., 2006): with
+    trigrams ordered rarest first, two similar titles share one among their
+    first few. Where very many titles share a trigram, comparing all of them
+    would be quadratic, so only the newest of each list are met at first. A
+    title is done once enough look-alikes are newer than any place its lists
+    were cut; only what is left meets the whole lists.
+    """
+    slack = threshold - 1e-6
+    ordered = stored(_ordered_grams(titles), "title-grams")
+    left = _prefixes(ordered.where("asked"), slack)
+    right = _prefixes(ordered.where(F.col("at").isNotNull()), slack)
+    newest = Window.partitionBy("kind", "t").orderBy(F.desc("at"), "title")
+    heads = right.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= HEAD).drop("rank")
+    seen = stored(_compare(left, heads, threshold, slack), "title-pairs")
+
+    cuts = heads.groupBy("kind", "t").agg(F.count("*").alias("c"), F.min("at").alias("edge")).where(F.col("c") == HEAD)
+    cut = left.select("kind", "title", "t").join(cuts, ["kind", "t"]).groupBy("kind", "title").agg(F.max("edge").alias("edge"))
+    done = (
+        seen.join(cut, ["kind", "title"])
+        .where(F.col("at") > F.col("edge"))
+        .groupBy("kind", "title")
+        .agg(F.count("*").alias("c"))
+        .where(F.col("c") >= enough)
+    )
+    unsure = stored(cut.join(done, ["kind", "title"], "left_anti").select("kind", "title"), "title-rest")
+    settled = seen.join(unsure, ["kind", "title"], "left_anti")
+    rest = _compare(left.join(unsure, ["kind", "title"], "left_semi"), right, threshold, slack)
+    return settled.unionByName(rest).select("kind", "title", "other")
 
 
 def find_duplicates(probes: DataFrame, entries: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -81,8 +113,9 @@ def find_duplicates(probes: DataFrame, entries: DataFrame, fuzzy: bool = True) -
     asked = p.select("kind", "title").distinct()
     pairs = asked.select("kind", "title", F.col("title").alias("other"))
     if fuzzy:
-        held = newest.select("kind", "title").distinct()
-        pairs = pairs.unionByName(similar_titles(asked, held))
+        held = newest.groupBy("kind", "title").agg(F.max("e.created_at").alias("at"))
+        both = asked.withColumn("asked", F.lit(True)).join(held, ["kind", "title"], "full_outer")
+        pairs = pairs.unionByName(similar_titles(both.withColumn("asked", F.coalesce("asked", F.lit(False)))))
     found = pairs.join(newest.select("kind", F.col("title").alias("other"), "e"), ["kind", "other"])
     ranked = _newest(found.select("kind", "title", "e"), ["kind", "title"])
     # six small structs per title ride to the probes in one list

@@ -26,7 +26,10 @@ def similar(a, b, t):
     return len(ga | gb) and float(np.float32(len(ga & gb) / len(ga | gb))) > t
 
 
-def test_duplicates_against_brute_force(spark):
+@pytest.mark.parametrize("head", [64, 3])
+def test_duplicates_against_brute_force(spark, monkeypatch, head):
+    # short lists make the second pass do its part
+    monkeypatch.setattr(duplicates, "HEAD", head)
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "alphas", "betas"]
     rows = []
