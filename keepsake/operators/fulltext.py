@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from keepsake.functions import shelves, text, values
 from keepsake.functions.text import let
 from keepsake.schema import FIELD_WEIGHTS
-from keepsake.session import each
+from keepsake.session import broadcast_if_small, each, stored
 
 
 def _kept(tokens: Column, stopwords: list[str]) -> Column:
@@ -205,30 +205,40 @@ def _satisfied(occ: Column, clauses: Column) -> Column:
     )
 
 
-def cover_density(occ: Column, clauses: Column) -> Column:
-    """Rank by minimal covers (Clarke, Cormack and Tudhope, 2000).
+_PLACE = "struct<pos:bigint,n:bigint,inv:double>"
 
-    One pass over the occurrences in order keeps the last place of each word.
-    The oldest of them starts the tightest span ending here; each new start is
-    one cover, worth its mean weight divided by one plus the words in between.
-    """
-    place = "struct<pos:bigint,n:bigint,inv:double>"
-    used = F.array_distinct(F.flatten(F.transform(clauses, lambda c: c["must"])))
-    size = F.array_max(used) + 1
-    start = F.struct(
-        F.array_repeat(F.lit(None).cast(place), size).alias("last"),
-        F.lit(-1).cast("bigint").alias("prev"),
-        F.lit(0).cast("bigint").alias("n"),
-        F.lit(0.0).alias("inv"),
-        F.lit(0.0).alias("score"),
+
+def _used(clauses: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(clauses, lambda c: c["must"])))
+
+
+def _span_start(last: Column, clauses: Column) -> Column:
+    """The place where the tightest span that ends here begins, null before all words were seen."""
+
+    def of(c: Column) -> Column:
+        places = F.transform(c["must"], lambda k: F.get(last, k))
+        return F.when(F.forall(places, lambda p: p.isNotNull()), F.array_min(places))
+
+    return F.array_max(F.transform(clauses, of))
+
+
+def _state(last: Column, prev: Column, n: Column, inv: Column) -> Column:
+    return F.struct(
+        last.alias("last"), prev.cast("bigint").alias("prev"), n.cast("bigint").alias("n"), inv.cast("double").alias("inv"), F.lit(0.0).alias("score")
     )
 
-    def span_start(last: Column) -> Column:
-        def of(c: Column) -> Column:
-            places = F.transform(c["must"], lambda k: F.get(last, k))
-            return F.when(F.forall(places, lambda p: p.isNotNull()), F.array_min(places))
 
-        return F.array_max(F.transform(clauses, of))
+def _nothing_seen(clauses: Column) -> Column:
+    size = F.array_max(_used(clauses)) + 1
+    return _state(F.array_repeat(F.lit(None).cast(_PLACE), size), F.lit(-1), F.lit(0), F.lit(0.0))
+
+
+def _fold(occ: Column, clauses: Column, start: Column) -> Column:
+    """One pass over occurrences in order, keeping the last place of each word.
+
+    The oldest of those places starts the tightest span ending here; each new
+    start is one cover, worth its mean weight over one plus the words between.
+    """
 
     def step(s: Column, o: Column) -> Column:
         here = F.struct(o["pos"].alias("pos"), s["n"].alias("n"), s["inv"].alias("inv"))
@@ -249,11 +259,31 @@ def cover_density(occ: Column, clauses: Column) -> Column:
                 F.when(fresh, s["score"] + worth).otherwise(s["score"]).alias("score"),
             )
 
-        return let(F.struct(last.alias("last"), span_start(last).alias("p")), advance)
+        return let(F.struct(last.alias("last"), _span_start(last, clauses).alias("p")), advance)
+
+    return F.aggregate(occ, start, step)
+
+
+def _relevant(occ: Column, clauses: Column) -> Column:
+    return F.filter(occ, lambda o: F.array_contains(_used(clauses), o["k"]))
 
-    relevant = F.filter(occ, lambda o: F.array_contains(used, o["k"]))
+
+def cover_density(occ: Column, clauses: Column) -> Column:
+    """Rank by minimal covers (Clarke, Cormack and Tudhope, 2000)."""
+    relevant = _relevant(occ, clauses)
     single = F.aggregate(relevant, F.lit(0.0), lambda s, o: s + o["w"])
-    return F.when(F.size(used) == 1, single).otherwise(F.aggregate(relevant, start, step, lambda s: s["score"]))
+    folded = _fold(relevant, clauses, _nothing_seen(clauses))["score"]
+    return F.when(F.size(_used(clauses)) == 1, single).otherwise(folded)
+
+
+# A thread of more characters than this is matched in blocks of positions.
+THREAD_CHARS, BLOCK = 16_000_000, 65_536
+
+
+def long_threads(notes: DataFrame) -> DataFrame:
+    """Items whose notes together are too long to gather in one row."""
+    sizes = notes.groupBy("entry_id").agg(F.sum(F.length("body")).alias("chars"))
+    return sizes.where(F.col("chars") > THREAD_CHARS).select("entry_id")
 
 
 def match(
@@ -275,6 +305,17 @@ def match(
         found = occurrences(entries, notes, wanted, stopwords)
     else:
         found = postings.join(wanted, "term")
+    long = long_threads(notes)
+    if long.isEmpty():
+        return _match_rows(found, q)
+    long = broadcast_if_small(stored(long, "long-threads"))
+    return _match_rows(found.join(long, "entry_id", "left_anti"), q).unionByName(
+        _match_blocks(found.join(long, "entry_id", "left_semi"), q)
+    )
+
+
+def _match_rows(found: DataFrame, q: DataFrame) -> DataFrame:
+    """Items of ordinary length: the matched words of one item meet in one row."""
     grouped = found.groupBy("query_id", "entry_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "k", "w"))).alias("occ")
     )
@@ -286,6 +327,82 @@ def match(
     )
 
 
+def _match_blocks(found: DataFrame, q: DataFrame) -> DataFrame:
+    """The same result for items of any length, block by block of positions.
+
+    What each block holds (words, whole phrases) is put together per item to
+    decide which clauses it meets. Covers are then found in every block at once,
+    each starting from the last place of each word in the blocks before it.
+    Words just past a block's end are shown to it too, so that no phrase is cut.
+    """
+    key = ["query_id", "entry_id"]
+    every = F.flatten(F.transform("clauses", lambda c: F.concat(c["phrases"], c["must_not"])))
+    units = q.select("query_id", "clauses", F.array_distinct(every).alias("units"))
+    units = units.withColumn("span", F.coalesce(F.array_max(F.transform("units", lambda u: F.size(u))), F.lit(1)))
+    own = F.floor(F.col("pos") / BLOCK)
+    spill = (F.col("pos") % BLOCK < F.col("span") - 1) & (own > 0)
+    inside = F.struct(own.alias("block"), F.lit(False).alias("extra"))
+    before = F.struct((own - 1).alias("block"), F.lit(True).alias("extra"))
+    members = F.when(spill, F.array(inside, before)).otherwise(F.array(inside))
+    placed = each(found.join(units.select("query_id", "span"), "query_id"), members, "b", *key, "pos", "k", "w")
+    blocks = stored(
+        placed.groupBy(*key, F.col("b.block").alias("block")).agg(
+            F.array_sort(F.collect_list(F.struct("pos", "k", "w", F.col("b.extra").alias("extra")))).alias("seen")
+        ),
+        "blocks",
+    )
+
+    def unit_name(u: Column) -> Column:
+        return F.concat(F.lit("p"), F.array_join(F.transform(u, lambda k: k.cast("string")), ","))
+
+    def word_name(k: Column) -> Column:
+        return F.concat(F.lit("k"), k.cast("string"))
+
+    words = F.transform(F.filter("seen", lambda o: ~o["extra"]), lambda o: word_name(o["k"]))
+    whole_units = F.transform(F.filter("units", lambda u: _contains_phrase(F.col("seen"), u)), unit_name)
+    facts = F.concat(F.array_distinct(words), whole_units)
+    held = each(blocks.join(units, "query_id"), facts, "fact", *key).groupBy(*key).agg(F.collect_set("fact").alias("facts"))
+    satisfied = F.filter(
+        "clauses",
+        lambda c: (F.size(c["must"]) > 0)
+        & F.forall(c["must"], lambda k: F.array_contains("facts", word_name(k)))
+        & F.forall(c["phrases"], lambda p: F.array_contains("facts", unit_name(p)))
+        & ~F.exists(c["must_not"], lambda p: F.array_contains("facts", unit_name(p))),
+    )
+    met = held.join(units.select("query_id", "clauses"), "query_id").select(*key, satisfied.alias("met")).where(F.size("met") > 0)
+
+    own_words = _relevant(F.filter("seen", lambda o: ~o["extra"]), F.col("met"))
+    rows = blocks.join(met, key).select(*key, "block", "met", own_words.alias("occ"))
+    # what each block adds by itself: how many words, and where each came last
+    local = rows.select(*key, "block", _fold(F.col("occ"), F.col("met"), _nothing_seen(F.col("met"))).alias("s"))
+    run = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = local.select(
+        *key, "block", "s.last",
+        F.coalesce(F.sum("s.n").over(run), F.lit(0)).alias("n0"), F.coalesce(F.sum("s.inv").over(run), F.lit(0.0)).alias("inv0"),
+    )
+    shifted = F.transform(
+        "last",
+        lambda p, k: F.struct(
+            k.alias("k"),
+            F.when(p.isNotNull(), F.struct(p["pos"].alias("pos"), (p["n"] + F.col("n0")).alias("n"), (p["inv"] + F.col("inv0")).alias("inv"))).alias("place"),
+        ),
+    )
+    per_word = Window.partitionBy(*key, "k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        each(sums, shifted, "l", *key, "block", "n0", "inv0")
+        .select(*key, "block", "n0", "inv0", F.col("l.k").alias("k"), F.col("l.place").alias("place"))
+        .withColumn("place", F.last("place", ignorenulls=True).over(per_word))
+        .groupBy(*key, "block", "n0", "inv0")
+        .agg(F.array_sort(F.collect_list(F.struct("k", "place"))).alias("last"))
+        .select(*key, "block", "n0", "inv0", F.transform("last", lambda x: x["place"]).alias("last"))
+    )
+    so_far = F.coalesce(_span_start(F.col("last"), F.col("met"))["pos"], F.lit(-1))
+    scored = rows.join(carried, [*key, "block"]).select(
+        *key, _fold(F.col("occ"), F.col("met"), _state(F.col("last"), so_far, F.col("n0"), F.col("inv0")))["score"].alias("score")
+    )
+    return scored.groupBy(*key).agg(F.sum("score").alias("rank")).select("query_id", F.col("entry_id").alias("id"), "rank")
+
+
 # -- snippets ----------------------------------------------------------------------
 
 SNIPPET_WORDS, SNIPPET_MIN = 28, 8

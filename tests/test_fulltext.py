@@ -99,3 +99,21 @@ def test_pieces_of_queries_give_the_whole(spark, monkeypatch):
     whole = {tuple(r) for r in recall.fragments(q, e).collect()}
     monkeypatch.setattr(recall, "chunks_of", lambda df, key: [df.where(F.pmod(F.xxhash64(key), F.lit(3)) == i) for i in range(3)])
     assert {tuple(r) for r in recall.fragments(q, e).collect()} == whole == {(0, "e1"), (0, "e2"), (1, "e1"), (1, "e2"), (1, "e3"), (3, "e2"), (4, "e1"), (4, "e3"), (5, "e1"), (5, "e3")}
+
+
+def test_very_long_threads_match_block_by_block(spark, monkeypatch):
+    rng = random.Random(4)
+    words = ["red", "fox", "lazy", "dog", "the", "sun"]
+    rows = [(f"n{i:03d}", rng.choice(["e1", "e2", "e3"]), " ".join(rng.choice(words) for _ in range(rng.randint(1, 12))), i, "me") for i in range(60)]
+    e, _ = _store(spark)
+    n = notes(spark, *rows)
+    q = [(1, "red"), (2, "red dog"), (3, '"lazy dog" fox'), (4, '"fox the sun"'), (5, "dog -sunset"), (6, "red or fox lazy"), (7, "sun the dog lazy"), (8, '-"dog dog dog dog" the')]
+    asked = broadcast_if_small(spark.createDataFrame(q, "query_id int, query string"))
+    run = lambda: {(r["query_id"], r["id"]): round(r["rank"], 9) for r in fulltext.match(asked, e, n).collect()}
+    whole = run()
+    monkeypatch.setattr(fulltext, "BLOCK", 7)
+    monkeypatch.setattr(fulltext, "THREAD_CHARS", 450)
+    assert 0 < fulltext.long_threads(n).count() < 3
+    assert run() == whole
+    monkeypatch.setattr(fulltext, "THREAD_CHARS", 1)
+    assert run() == whole and len(whole) > 12
