@@ -43,7 +43,7 @@ def _placed(kept: Column, base: Column, weight: str, after_notes: bool = False)
 
 
 def item_occurrences(entries: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
-    """(entry_id, term, pos, w, after_notes) of an item's own fields.
+    """(entry_id, end_of_body, term, pos, w, after_notes) of an item's own fields.
 
     Title and tags weigh most, then the body, then document values. Positions
     run on from field to field; values come after the notes, whose length is
@@ -66,7 +66,7 @@ def item_occurrences(entries: DataFrame, stopwords: list[str] | None = None) ->
         _placed(F.col("b"), base_b, "B"),
         _placed(F.col("c"), base_c, "C", after_notes=True),
     )
-    return each(fields, doc, "o", "entry_id").select("entry_id", "o.*")
+    return each(fields, doc, "o", "entry_id", base_c.alias("end_of_body")).select("entry_id", "end_of_body", "o.*")
 
 
 def note_spans(notes: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -96,15 +96,8 @@ def note_spans(notes: DataFrame, stopwords: list[str] | None = None) -> DataFram
     )
 
 
-def occurrences(
-    entries: DataFrame, notes: DataFrame, wanted: DataFrame | None = None, stopwords: list[str] | None = None
-) -> DataFrame:
-    """(entry_id, term, pos, w, …) for every word, or only those in ``wanted``.
-
-    ``wanted`` has a ``term`` column and whatever should ride along; it is
-    joined right after the tokens are made.
-    """
-    stop = stopwords or []
+def _found(entries: DataFrame, notes: DataFrame, wanted: DataFrame | None, stop: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Occurrences in items' own fields, and in notes, the latter counted from the end of the body."""
 
     def narrow(df: DataFrame) -> DataFrame:
         return df if wanted is None else df.join(wanted, "term")
@@ -118,25 +111,44 @@ def occurrences(
     totals = spans.groupBy("entry_id").agg(F.max("reach").alias("note_len"))
     shift = F.when(F.col("after_notes"), F.coalesce("note_len", F.lit(0))).otherwise(0)
     own = own.join(totals, "entry_id", "left").select(
-        "entry_id", "term", (F.col("pos") + shift).alias("pos"), "w", *carried
+        "entry_id", "term", (F.col("pos") + shift).alias("pos"), "w", "end_of_body", *carried
     )
+    said = said.join(spans.select("id", "base"), "id").select(
+        "entry_id", "term", (F.col("base") + F.col("pos")).alias("pos"), F.lit(FIELD_WEIGHTS["B"]).alias("w"), *carried
+    )
+    return own, said
+
+
+def occurrences(
+    entries: DataFrame, notes: DataFrame, wanted: DataFrame | None = None, stopwords: list[str] | None = None
+) -> DataFrame:
+    """(entry_id, term, pos, w, …) for every word, or only those in ``wanted``.
+
+    ``wanted`` has a ``term`` column and whatever should ride along; it is
+    joined right after the tokens are made.
+    """
+    stop = stopwords or []
+    own, said = _found(entries, notes, wanted, stop)
     # where an item's notes begin: the end of its body
     fields = (F.coalesce("title", F.lit("")), F.array_join(shelves.tag_list(F.col("tags")), " "), F.coalesce("body", F.lit("")))
     ends = entries.select(
         F.col("id").alias("entry_id"), sum((_reach(text.words(c), stop) for c in fields), F.lit(0)).alias("end_of_body")
     )
-    said = (
-        said.join(spans.select("id", "base"), "id")
-        .join(ends, "entry_id")
-        .select(
-            "entry_id",
-            "term",
-            (F.col("end_of_body") + F.col("base") + F.col("pos")).alias("pos"),
-            F.lit(FIELD_WEIGHTS["B"]).alias("w"),
-            *carried,
-        )
+    said = said.join(ends, "entry_id").withColumn("pos", F.col("end_of_body") + F.col("pos"))
+    return own.drop("end_of_body").unionByName(said.drop("end_of_body"))
+
+
+def _floating(entries: DataFrame, notes: DataFrame, wanted: DataFrame, stop: list[str]) -> DataFrame:
+    """Occurrences for matching, with positions in notes still to be shifted.
+
+    Only distances count. Where an item matched in its own fields, those rows
+    say where its body ends; where it did not, any start will do. So bodies
+    need not be tokenised a second time for the sake of notes.
+    """
+    own, said = _found(entries, notes, wanted, stop)
+    return own.withColumn("in_notes", F.lit(False)).unionByName(
+        said.withColumn("in_notes", F.lit(True)).withColumn("end_of_body", F.lit(None).cast("bigint"))
     )
-    return own.unionByName(said)
 
 
 # -- queries ---------------------------------------------------------------------
@@ -301,24 +313,40 @@ def match(
     """
     q = query_clauses(queries)
     wanted = q.select("query_id", F.posexplode("terms").alias("k", "term"))
+    stop = stopwords or []
     if postings is None:
-        found = occurrences(entries, notes, wanted, stopwords)
+        found = _floating(entries, notes, wanted, stop)
     else:
-        found = postings.join(wanted, "term")
+        found = _standing(postings.join(wanted, "term"))
     long = long_threads(notes)
     if long.isEmpty():
         return _match_rows(found, q)
     long = broadcast_if_small(stored(long, "long-threads"))
-    return _match_rows(found.join(long, "entry_id", "left_anti"), q).unionByName(
-        _match_blocks(found.join(long, "entry_id", "left_semi"), q)
-    )
+    theirs = lambda df, key: df.join(long.withColumnRenamed("entry_id", key), key, "left_semi")
+    if postings is None:
+        of_long = occurrences(theirs(entries, "id"), theirs(notes, "entry_id"), wanted, stop)
+    else:
+        of_long = theirs(found, "entry_id")
+    return _match_rows(found.join(long, "entry_id", "left_anti"), q).unionByName(_match_blocks(of_long, q))
+
+
+def _standing(found: DataFrame) -> DataFrame:
+    """Occurrences whose positions are final."""
+    return found.withColumn("in_notes", F.lit(False)).withColumn("end_of_body", F.lit(None).cast("bigint"))
 
 
 def _match_rows(found: DataFrame, q: DataFrame) -> DataFrame:
     """Items of ordinary length: the matched words of one item meet in one row."""
-    grouped = found.groupBy("query_id", "entry_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "k", "w"))).alias("occ")
+    gathered = found.groupBy("query_id", "entry_id").agg(
+        F.collect_list(F.struct("pos", "k", "w", "in_notes")).alias("seen"), F.coalesce(F.max("end_of_body"), F.lit(0)).alias("end")
+    )
+    shifted = F.transform(
+        "seen",
+        lambda o: F.struct(
+            (o["pos"] + F.when(o["in_notes"], F.col("end")).otherwise(0)).alias("pos"), o["k"].alias("k"), o["w"].alias("w")
+        ),
     )
+    grouped = gathered.select("query_id", "entry_id", F.array_sort(shifted).alias("occ"))
     # exploding a list of none or one keeps the test from being evaluated twice
     met = F.filter(F.array(_satisfied(F.col("occ"), F.col("clauses"))), lambda m: F.size(m) > 0)
     told = grouped.join(q.select("query_id", "clauses"), "query_id")
