@@ -66,7 +66,9 @@ def item_occurrences(entries: DataFrame, stopwords: list[str] | None = None) ->
         _placed(F.col("b"), base_b, "B"),
         _placed(F.col("c"), base_c, "C", after_notes=True),
     )
-    return each(fields, doc, "o", "entry_id", base_c.alias("end_of_body")).select("entry_id", "end_of_body", "o.*")
+    # computed below the explode, which would carry whole token lists along otherwise
+    docs = fields.select("entry_id", base_c.alias("end_of_body"), doc.alias("doc"))
+    return each(docs, F.col("doc"), "o", "entry_id", "end_of_body").select("entry_id", "end_of_body", "o.*")
 
 
 def note_spans(notes: DataFrame, stopwords: list[str] | None = None) -> DataFrame:
@@ -217,21 +219,27 @@ def _satisfied(occ: Column, clauses: Column) -> Column:
     )
 
 
-_PLACE = "struct<pos:bigint,n:bigint,inv:double>"
+def _place(pos: Column, n: Column, inv: Column) -> Column:
+    return F.struct(pos.cast("bigint").alias("pos"), n.cast("bigint").alias("n"), inv.cast("double").alias("inv"))
 
 
-def _used(clauses: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(clauses, lambda c: c["must"])))
+def _nowhere() -> Column:
+    """The place of a word not seen yet: before every position, so it is the oldest and starts no span."""
+    return _place(F.lit(-1), F.lit(0), F.lit(0.0))
 
 
-def _span_start(last: Column, clauses: Column) -> Column:
-    """The place where the tightest span that ends here begins, null before all words were seen."""
+def _musts(clauses: Column) -> Column:
+    """The words each clause needs."""
+    return F.transform(clauses, lambda c: c["must"])
 
-    def of(c: Column) -> Column:
-        places = F.transform(c["must"], lambda k: F.get(last, k))
-        return F.when(F.forall(places, lambda p: p.isNotNull()), F.array_min(places))
 
-    return F.array_max(F.transform(clauses, of))
+def _used(musts: Column) -> Column:
+    return F.array_distinct(F.flatten(musts))
+
+
+def _span_start(last: Column, musts: Column) -> Column:
+    """The place where the tightest span that ends here begins."""
+    return F.array_max(F.transform(musts, lambda must: F.array_min(F.transform(must, lambda k: F.get(last, k)))))
 
 
 def _state(last: Column, prev: Column, n: Column, inv: Column) -> Column:
@@ -240,12 +248,12 @@ def _state(last: Column, prev: Column, n: Column, inv: Column) -> Column:
     )
 
 
-def _nothing_seen(clauses: Column) -> Column:
-    size = F.array_max(_used(clauses)) + 1
-    return _state(F.array_repeat(F.lit(None).cast(_PLACE), size), F.lit(-1), F.lit(0), F.lit(0.0))
+def _nothing_seen(musts: Column) -> Column:
+    size = F.array_max(_used(musts)) + 1
+    return _state(F.array_repeat(_nowhere(), size), F.lit(-1), F.lit(0), F.lit(0.0))
 
 
-def _fold(occ: Column, clauses: Column, start: Column) -> Column:
+def _fold(occ: Column, musts: Column, start: Column) -> Column:
     """One pass over occurrences in order, keeping the last place of each word.
 
     The oldest of those places starts the tightest span ending here; each new
@@ -259,7 +267,7 @@ def _fold(occ: Column, clauses: Column, start: Column) -> Column:
 
         def advance(x: Column) -> Column:
             p = x["p"]
-            fresh = p.isNotNull() & (p["pos"] > s["prev"])
+            fresh = p["pos"] > s["prev"]
             inside = n - p["n"]
             gap = o["pos"] - p["pos"] - (inside - 1)
             worth = inside / (inv - p["inv"]) / (gap + 1)
@@ -271,21 +279,29 @@ def _fold(occ: Column, clauses: Column, start: Column) -> Column:
                 F.when(fresh, s["score"] + worth).otherwise(s["score"]).alias("score"),
             )
 
-        return let(F.struct(last.alias("last"), _span_start(last, clauses).alias("p")), advance)
+        return let(F.struct(last.alias("last"), _span_start(last, musts).alias("p")), advance)
 
     return F.aggregate(occ, start, step)
 
 
-def _relevant(occ: Column, clauses: Column) -> Column:
-    return F.filter(occ, lambda o: F.array_contains(_used(clauses), o["k"]))
+def _relevant(occ: Column, musts: Column) -> Column:
+    """Occurrences of the words some clause needs."""
+    return let(
+        F.struct(occ.alias("occ"), _used(musts).alias("used")),
+        lambda x: F.filter(x["occ"], lambda o: F.array_contains(x["used"], o["k"])),
+    )
 
 
 def cover_density(occ: Column, clauses: Column) -> Column:
     """Rank by minimal covers (Clarke, Cormack and Tudhope, 2000)."""
-    relevant = _relevant(occ, clauses)
-    single = F.aggregate(relevant, F.lit(0.0), lambda s, o: s + o["w"])
-    folded = _fold(relevant, clauses, _nothing_seen(clauses))["score"]
-    return F.when(F.size(_used(clauses)) == 1, single).otherwise(folded)
+
+    def rank(x: Column) -> Column:
+        single = F.aggregate(x["occ"], F.lit(0.0), lambda s, o: s + o["w"])
+        folded = _fold(x["occ"], x["musts"], _nothing_seen(x["musts"]))["score"]
+        return F.when(F.size(_used(x["musts"])) == 1, single).otherwise(folded)
+
+    musts = _musts(clauses)
+    return let(F.struct(_relevant(occ, musts).alias("occ"), musts.alias("musts")), rank)
 
 
 # A thread of more characters than this is matched in blocks of positions.
@@ -399,10 +415,10 @@ def _match_blocks(found: DataFrame, q: DataFrame) -> DataFrame:
     )
     met = held.join(units.select("query_id", "clauses"), "query_id").select(*key, satisfied.alias("met")).where(F.size("met") > 0)
 
-    own_words = _relevant(F.filter("seen", lambda o: ~o["extra"]), F.col("met"))
-    rows = blocks.join(met, key).select(*key, "block", "met", own_words.alias("occ"))
+    own_words = _relevant(F.filter("seen", lambda o: ~o["extra"]), _musts(F.col("met")))
+    rows = blocks.join(met, key).select(*key, "block", _musts(F.col("met")).alias("musts"), own_words.alias("occ"))
     # what each block adds by itself: how many words, and where each came last
-    local = rows.select(*key, "block", _fold(F.col("occ"), F.col("met"), _nothing_seen(F.col("met"))).alias("s"))
+    local = rows.select(*key, "block", _fold(F.col("occ"), F.col("musts"), _nothing_seen(F.col("musts"))).alias("s"))
     run = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = local.select(
         *key, "block", "s.last",
@@ -412,7 +428,7 @@ def _match_blocks(found: DataFrame, q: DataFrame) -> DataFrame:
         "last",
         lambda p, k: F.struct(
             k.alias("k"),
-            F.when(p.isNotNull(), F.struct(p["pos"].alias("pos"), (p["n"] + F.col("n0")).alias("n"), (p["inv"] + F.col("inv0")).alias("inv"))).alias("place"),
+            F.when(p["pos"] >= 0, _place(p["pos"], p["n"] + F.col("n0"), p["inv"] + F.col("inv0"))).alias("place"),
         ),
     )
     per_word = Window.partitionBy(*key, "k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -422,11 +438,11 @@ def _match_blocks(found: DataFrame, q: DataFrame) -> DataFrame:
         .withColumn("place", F.last("place", ignorenulls=True).over(per_word))
         .groupBy(*key, "block", "n0", "inv0")
         .agg(F.array_sort(F.collect_list(F.struct("k", "place"))).alias("last"))
-        .select(*key, "block", "n0", "inv0", F.transform("last", lambda x: x["place"]).alias("last"))
+        .select(*key, "block", "n0", "inv0", F.transform("last", lambda x: F.coalesce(x["place"], _nowhere())).alias("last"))
     )
-    so_far = F.coalesce(_span_start(F.col("last"), F.col("met"))["pos"], F.lit(-1))
+    so_far = _span_start(F.col("last"), F.col("musts"))["pos"]
     scored = rows.join(carried, [*key, "block"]).select(
-        *key, _fold(F.col("occ"), F.col("met"), _state(F.col("last"), so_far, F.col("n0"), F.col("inv0")))["score"].alias("score")
+        *key, _fold(F.col("occ"), F.col("musts"), _state(F.col("last"), so_far, F.col("n0"), F.col("inv0")))["score"].alias("score")
     )
     return scored.groupBy(*key).agg(F.sum("score").alias("rank")).select("query_id", F.col("entry_id").alias("id"), "rank")
 
