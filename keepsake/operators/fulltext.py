@@ -140,6 +140,26 @@ def occurrences(
     return own.drop("end_of_body").unionByName(said.drop("end_of_body"))
 
 
+POSTING_BUCKETS = 512
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(POSTING_BUCKETS)).cast("int").alias("bucket")
+
+
+def write_postings(found: DataFrame, path: str) -> DataFrame:
+    """Store occurrences laid out by word, and read them back for ``match``.
+
+    Folders go by a hash of the word, so a search opens only those of its
+    words. Writing shuffles by word and item, which keeps a very common word
+    from filling one task.
+    """
+    placed = found.select("entry_id", "term", "pos", "w", _bucket())
+    spread_out = placed.repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(64)))
+    spread_out.sortWithinPartitions("term").write.partitionBy("bucket").parquet(path)
+    return found.sparkSession.read.parquet(path)
+
+
 def _floating(entries: DataFrame, notes: DataFrame, wanted: DataFrame, stop: list[str]) -> DataFrame:
     """Occurrences for matching, with positions in notes still to be shifted.
 
@@ -323,8 +343,8 @@ def match(
 ) -> DataFrame:
     """(query_id, id, rank) of every item that satisfies a query's words.
 
-    With ``postings``, a stored result of ``occurrences``, nothing is tokenised;
-    laid out by term, only the files of the wanted words are read. A small
+    With ``postings``, as ``write_postings`` returns them, nothing is tokenised
+    and only the folders of the wanted words are read. A small
     query table is broadcast, so occurrences are picked where they are found.
     """
     q = query_clauses(queries)
@@ -333,7 +353,8 @@ def match(
     if postings is None:
         found = _floating(entries, notes, wanted, stop)
     else:
-        found = _standing(postings.join(wanted, "term"))
+        by_word = postings.join(wanted.select("*", _bucket()), ["bucket", "term"]).drop("bucket")
+        found = _standing(by_word)
     long = long_threads(notes)
     if long.isEmpty():
         return _match_rows(found, q)

@@ -89,6 +89,8 @@ def state_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         return tempfile.mkdtemp(prefix=f"{name}-")
     run = spark.range(1).select(F.expr("uuid()")).first()[0]
     return f"{base.rstrip('/')}/{name}-{run}"
