@@ -343,6 +343,9 @@ def match(
 ) -> DataFrame:
     """(query_id, id, rank) of every item that satisfies a query's words.
 
+    A query part of excluded words only is met by every item without them, at
+    rank zero.
+
     With ``postings``, as ``write_postings`` returns them, nothing is tokenised
     and only the folders of the wanted words are read. A small
     query table is broadcast, so occurrences are picked where they are found.
@@ -355,6 +358,52 @@ def match(
     else:
         by_word = postings.join(wanted.select("*", _bucket()), ["bucket", "term"]).drop("bucket")
         found = _standing(by_word)
+    hits = _match_found(found, q, wanted, entries, notes, stop, postings)
+    bare = q.where(F.exists("clauses", _only_excludes))
+    if bare.isEmpty():
+        return hits
+    terms = bare.select("query_id", F.posexplode("terms").alias("k", "term"))
+    if postings is None:
+        theirs = occurrences(entries, notes, terms, stop)
+    else:
+        theirs = postings.join(terms.select("*", _bucket()), ["bucket", "term"])
+    free = entries.select("id").join(broadcast_if_small(bare.select("query_id")))
+    free = free.join(_barred(theirs, bare), ["query_id", "id"], "left_anti").join(hits, ["query_id", "id"], "left_anti")
+    return hits.unionByName(free.withColumn("rank", F.lit(0.0)))
+
+
+def _only_excludes(clause: Column) -> Column:
+    return (F.size(clause["must"]) == 0) & (F.size(clause["must_not"]) > 0)
+
+
+def _barred(found: DataFrame, bare: DataFrame) -> DataFrame:
+    """(query_id, id) of items that hold what every excluding clause of a query excludes.
+
+    Excluded phrases are found by counting the words that agree on where the
+    phrase would start; no item's words need to meet in one row.
+    """
+
+    def name(unit: Column) -> Column:
+        return F.array_join(F.transform(unit, lambda k: k.cast("string")), ",")
+
+    b = bare.select("query_id", F.transform(F.filter("clauses", _only_excludes), lambda c: c["must_not"]).alias("out"))
+    units = b.select("query_id", F.explode(F.array_distinct(F.flatten("out"))).alias("unit"))
+    units = units.select("query_id", name(F.col("unit")).alias("u"), F.size("unit").alias("len"), F.posexplode("unit").alias("i", "k"))
+    present = (
+        found.join(units, ["query_id", "k"])
+        .groupBy("query_id", "entry_id", "u", "len", (F.col("pos") - F.col("i")).alias("start"))
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") == F.col("len"))
+        .groupBy("query_id", "entry_id")
+        .agg(F.collect_set("u").alias("us"))
+    )
+    holds = F.forall("out", lambda c: F.exists(c, lambda unit: F.array_contains("us", name(unit))))
+    return present.join(b, "query_id").where(holds).select("query_id", F.col("entry_id").alias("id"))
+
+
+def _match_found(
+    found: DataFrame, q: DataFrame, wanted: DataFrame, entries: DataFrame, notes: DataFrame, stop: list[str], postings: DataFrame | None
+) -> DataFrame:
     long = long_threads(notes)
     if long.isEmpty():
         return _match_rows(found, q)

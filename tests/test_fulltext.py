@@ -67,7 +67,14 @@ def _match(spark, rows, **kw):
 def test_words_phrases_or_and_minus(spark):
     rows = [(1, "lazy dog"), (2, '"lazy dog"'), (3, "fox -jumps"), (4, "sunset or bones"), (5, "fox -\"lazy dog\""), (6, "!!!"), (7, "-fox")]
     assert _match(spark, rows) == {
-        (1, "e1"), (1, "e2"), (1, "e3"), (2, "e1"), (3, "e3"), (4, "e2"), (4, "e3"), (5, "e3"),
+        (1, "e1"), (1, "e2"), (1, "e3"), (2, "e1"), (3, "e3"), (4, "e2"), (4, "e3"), (5, "e3"), (7, "e2"),
+    }
+
+
+def test_excluding_only_meets_all_others(spark):
+    rows = [(1, '-"lazy dog"'), (2, "-fox -red"), (3, "-lazy"), (4, "-fox or sunset"), (5, "-fox or -afternoon"), (6, "jumps or -fox"), (7, "-nowhere")]
+    assert _match(spark, rows) == {
+        (1, "e2"), (1, "e3"), (4, "e2"), (5, "e1"), (5, "e2"), (5, "e3"), (6, "e1"), (6, "e2"), (7, "e1"), (7, "e2"), (7, "e3"),
     }
 
 
