@@ -1,4 +1,4 @@
-"""The reference scenario end to end, and the rules every store must keep."""
+"""One scenario end to end, and the rules every store must keep."""
 
 import pytest
 from helpers import T0, apply, as_of, entries, entry, notes, requests  # noqa: F401

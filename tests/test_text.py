@@ -44,11 +44,11 @@ def test_site_names(spark):
 
 def test_generic_titles_get_their_site(spark):
     df = spark.createDataFrame(
-        [("Overview", None, "https://docs.colossus.credit"), ("Thing", None, "https://thing.io"), ("A proper title", None, "https://thing.io"), (" ", None, "https://t.io")],
+        [("Overview", None, "https://docs.harbour.dev"), ("Thing", None, "https://thing.io"), ("A proper title", None, "https://thing.io"), (" ", None, "https://t.io")],
         "t string, s string, u string",
     )
     got = [r[0] for r in df.select(text.qualify_title(F.col("t"), F.col("s"), F.col("u"))).collect()]
-    assert got == ["Colossus — Overview", "Thing", "A proper title", None]
+    assert got == ["Harbour — Overview", "Thing", "A proper title", None]
 
 
 def test_entities_are_decoded_once(spark):
@@ -77,7 +77,7 @@ def test_stub_vectors_match_a_plain_fnv(spark):
             h = ((h ^ ord(ch)) * 16777619) % 2**32
         return abs(h - 2**32 if h >= 2**31 else h) % 64
 
-    words = ["kakao", "it's", "2024", "seoul", "a"]
+    words = ["tram", "it's", "2024", "oslo", "a"]
     assert apply(spark, lambda c: vectors.word_slot(c, 64), *words) == [fnv(w) for w in words]
     zero = spark.sql("select array(0f, 0f) as v").select(vectors.l2_normalise(F.col("v"))).first()[0]
     assert zero == [0.0, 0.0]
