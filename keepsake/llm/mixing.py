@@ -62,22 +62,22 @@ def _fill(items: DataFrame, goals: DataFrame, nearest: bool) -> DataFrame:
     """The items with a mark on those taken in order of rank until their source's goal is full.
 
     ``nearest``: the item that crosses the goal is taken if that ends nearer to
-    it; otherwise no item crosses. Words are summed by slice of rank first, so
+    it; otherwise it is taken where more than half of the source is. Words are summed by slice of rank first, so
     that items are only sorted inside the one slice where the goal falls.
     """
     key = F.struct("source").alias("key")  # nulls equal nulls inside a struct
     per = items.groupBy(key, "slice").agg(F.sum("size").alias("words"))
     before = F.sum("words").over(W.partitionBy("key").orderBy("slice")) - F.col("words")
     cut = per.select("key", "slice", before.alias("before"), "words").join(goals.select(key, "goal"), "key")
-    cut = cut.where((F.col("before") <= F.col("goal")) & (F.col("before") + F.col("words") > F.col("goal")))
-    cut = cut.groupBy("key").agg(F.min(F.struct("slice", "before")).alias("cut"))
+    cut = cut.where(F.col("before") + F.col("words") >= F.col("goal")).groupBy("key").agg(F.min(F.struct("slice", "before")).alias("cut"))
     bounds = goals.select(key, "goal").join(cut, "key", "left")
     marked = items.withColumn("key", key).join(broadcast_if_small(bounds), "key")
     edge = F.coalesce(F.col("slice") == F.col("cut.slice"), F.lit(False))
     clear = marked.where(~edge).withColumn("drawn", F.col("cut").isNull() | (F.col("slice") < F.col("cut.slice")))
     order = W.partitionBy("key").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
     words = F.sum("size").over(order) + F.col("cut.before")
-    fits = 2 * words - F.col("size") < 2 * F.col("goal") if nearest else words <= F.col("goal")
+    over = F.lit(0.5) if nearest else (F.col("chance") <= 0.5).cast("double")
+    fits = words - F.col("size") * (1 - over) < F.col("goal")
     columns = [*items.columns, "drawn"]
     return clear.select(columns).union(marked.where(edge).withColumn("drawn", fits).select(columns))
 
@@ -86,8 +86,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
     """How often each document goes into the mix.
 
     Returns doc_id, source, size, source_size, target, copies and taken (words,
-    repeats counted). The large documents of a source are filled first and never
-    past their share, so that the small ones can settle the rest closely.
+    repeats counted). The large documents of a source are filled first, up to
+    their share or just past it, so that the small ones settle the rest closely.
     """
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     key = F.struct("source").alias("key")
@@ -147,10 +147,10 @@ u as (select s.doc_id, s.source, s.size, o.source_size, o.target, o.whole, o.roo
 ranked as (select *, row_number() over () as nr, size > {LARGE}::double * room as big, (u / (1 - u)) * ((1 - chance) / chance) as rnk from u where chance > 0),
 ordered as (select *, sum(size) over (partition by source, big order by rnk, doc_id nulls first, size rows between unbounded preceding and current row) words,
   sum(case when big then size else 0 end) over (partition by source) * chance as big_goal from ranked),
-bigs as (select * from ordered where big and words <= big_goal),
+bigs as (select * from ordered where big and words - size * (case when chance <= 0.5 then 0 else 1 end) < big_goal),
 got as (select source, sum(size) got from bigs group by source),
 smalls as (select o.* from ordered o left join got g on o.source is not distinct from g.source
-  where not big and 2 * words - size < 2 * (room - coalesce(got, 0))),
+  where not big and words - size * 0.5::double < room - coalesce(got, 0)),
 more as (select nr from bigs union all select nr from smalls),
 numbered as (select u.*, 0 as extra from u where not chance > 0
   union all select doc_id, source, size, source_size, target, whole, room, chance, u, (nr in (select nr from more))::int from ranked)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from keepsake.llm import mixing
+from keepsake.llm import mixing, tokens, warc
 
 QUERIES = {
+    "op3_warc": warc.query,
+    "op9_token_files": tokens.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
+    "op3_warc": warc.SQL,
     "op10_mixing": mixing.SQL,
 }
