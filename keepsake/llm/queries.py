@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from keepsake.llm import mixing, tokens, warc
+from keepsake.llm import decontamination, mixing, tokens, warc
 
 QUERIES = {
     "op3_warc": warc.query,
+    "op5_decontamination": decontamination.query,
     "op9_token_files": tokens.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
     "op3_warc": warc.SQL,
+    "op5_decontamination": decontamination.SQL,
     "op10_mixing": mixing.SQL,
 }
