@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from keepsake.llm import decontamination, mixing, quality, tokens, toxicity, warc
+from keepsake.llm import decontamination, mixing, neighbours, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op3_warc": warc.query,
     "op4_quality": quality.query,
     "op5_decontamination": decontamination.query,
+    "op7_neighbours": neighbours.query,
     "op9_token_files": tokens.query,
     "op10_mixing": mixing.query,
 }
