@@ -29,7 +29,11 @@ from keepsake.session import state_dir
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 # Words whose ids a worker remembers, and bytes of ids it hands on at once.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+TEXTS_AT_ONCE, WORDS_AT_ONCE, PART = 64, 256, "|"
+# Marks that may follow letters or digits; letters and spaces whose treatment is not by single character.
+MARKS = ".,!?;:|#$%&*"
+BY_PLACE = "\x1c\x1d\x1e\x1f\u03a3\u0130"
 CHUNK_BYTES = 8 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
@@ -37,12 +41,14 @@ FILE_SCHEMA = "doc_id long, tokens array<int>, n_tokens int, local_start long, p
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer whose pieces never cross white space.
+    """Encodes texts with a tokenizer that lower-cases and whose pieces never cross white space.
 
     White space is dropped by it, so a text's ids are those of its words one
-    after another, and each distinct word is encoded once. Texts with a special
-    token's string, or with control characters that only Python counts as
-    space, are encoded whole.
+    after another, and those of letters followed by marks are the ids of both
+    parts; each distinct part is encoded once and remembered, the least recent
+    half being forgotten first. Texts with a special token's string, with control
+    characters that only Python counts as space, or with letters whose lower
+    case depends on their place are encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -51,31 +57,70 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.cache_words = cache_words
+        self.older: dict[str, bytes] = {}
+        self.cache_words = cache_words // 2
+        (self.part_id,) = self.tokenizer.encode(PART, add_special_tokens=False).ids
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.cache_words:
-            self.known.clear()
-            new = list(words)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._whole(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > self.cache_words:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new, parts = set(), []
+        for word in words.difference(known):
+            if word in older:
+                known[word] = older[word]
+                continue
+            stem = word.rstrip(MARKS)
+            if len(stem) < len(word) and stem and stem[-1].isalnum():
+                parts.append((word, stem, word[len(stem) :]))
+                for part in parts[-1][1:]:
+                    if part not in known:
+                        if part in older:
+                            known[part] = older[part]
+                        else:
+                            new.add(part)
+            else:
+                new.add(word)
+        plain = [w for w in new if w.isalnum()]
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            self._learn_joined(plain[at : at + WORDS_AT_ONCE])
+        other = [w for w in new if not w.isalnum()]
+        for word, got in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            known[word] = np.array(got.ids, "<u4").tobytes()
+        for word, stem, marks in parts:
+            known[word] = known[stem] + known[marks]
+
+    def _learn_joined(self, words: list[str]) -> None:
+        """Words of letters and digits in one call, parted by a mark whose id they cannot have."""
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {PART} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == self.part_id), len(ids))
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer's pieces cross white space")
+        body, at = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
+            self.known[word] = body[4 * at : 4 * end]
+            at = end + 1
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [None if any(s in t for s in self.special) or any(c in t for c in BY_PLACE) else t.lower().split() for t in texts]
+        words = set().union(*[s for s in split if s])
+        self._learn(words)
+        known = self.known.__getitem__
+        return [self._whole(t) if s is None else b"".join(map(known, s)) for t, s in zip(texts, split)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a worker, so that they share what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _encoding(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -90,21 +135,23 @@ def _encoding(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], It
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end, part, at = WordEncoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        encoder, end, part, at = word_encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        ids, bodies, starts, held = [], [], [], 0
         for got in batches:
-            ids, bodies, starts, held = [], [], [], 0
-            for doc_id, text in zip(got.column("doc_id").to_pylist(), got.column("text")):
-                body = encoder.encode(text.as_py().decode("utf-8", "replace")) + end
-                ids.append(doc_id)
-                bodies.append(body)
-                starts.append(at)
-                at += len(body) // 4
-                held += len(body)
+            for low in range(0, got.num_rows, TEXTS_AT_ONCE):
+                some = got.slice(low, TEXTS_AT_ONCE)
+                texts = [t.as_py().decode("utf-8", "replace") for t in some.column("text")]
+                for doc_id, body in zip(some.column("doc_id").to_pylist(), encoder.encode(texts)):
+                    ids.append(doc_id)
+                    bodies.append(body + end)
+                    starts.append(at)
+                    at += len(body) // 4 + 1
+                    held += len(body) + 4
                 if held >= CHUNK_BYTES:
                     yield batch(ids, bodies, starts, part)
                     ids, bodies, starts, held = [], [], [], 0
-            if ids:
-                yield batch(ids, bodies, starts, part)
+        if ids:
+            yield batch(ids, bodies, starts, part)
 
     return run
 
