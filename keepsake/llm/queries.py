@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepsake.llm import decontamination, mixing, neighbours, quality, tokens, toxicity, warc
+from keepsake.llm import decontamination, mixing, near_dedup, neighbours, quality, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality": quality.query,
     "op5_decontamination": decontamination.query,
     "op7_neighbours": neighbours.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_token_files": tokens.query,
     "op10_mixing": mixing.query,
 }
