@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from keepsake.llm import decontamination, mixing, near_dedup, neighbours, quality, tokens, toxicity, warc
+from keepsake.llm import decontamination, mixing, near_dedup, neighbours, quality, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op3_warc": warc.query,
     "op4_quality": quality.query,
     "op5_decontamination": decontamination.query,
+    "op6_substrings": substrings.query,
     "op7_neighbours": neighbours.query,
     "op8_near_dedup": near_dedup.query,
     "op9_token_files": tokens.query,
