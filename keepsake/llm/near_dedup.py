@@ -8,9 +8,10 @@ the probability of their weighted Jaccard similarity; bands of samples bring
 candidates together, and every link is verified on the weights themselves.
 
 Copies are one text from the start. In a bucket texts meet a centre, not each
-other; those that no centre took meet twice as many centres in the next round,
-until none is left, so a group of n near copies costs about n comparisons.
-Centres differ from band to band.
+other, so a group of n near copies costs about n comparisons. What no centre
+took is dealt anew, with all texts of its buckets, into finer bands that texts
+of less similarity hardly share, and meets more and more centres there, in the end
+every text of the bucket, unless links join it to their component before.
 
 Edge cases: a text of fewer than five words is one shingle; a null text and one without
 words is like no other and always stays; copies and repeated rows form one class with
@@ -33,6 +34,8 @@ from keepsake.session import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
+# Finer bands of more samples each, for texts that no centre of their buckets took.
+FINE_BANDS, FINE_ROWS = 40, 8
 DF_BITS = 16
 CACHE_WORDS = 400_000
 BLOCK = 16_384  # shingles sampled at once
@@ -144,7 +147,7 @@ class Sampler:
 
 
 def sketches(docs: DataFrame, df: np.ndarray, documents: int) -> DataFrame:
-    """doc_id, text_key (a digest of the text) and the hash of every band, of texts with words."""
+    """doc_id, text_key (a digest of the text), the hash of every band and short samples, of texts with words."""
     shared = docs.sparkSession.sparkContext.broadcast(slot_weights(df, documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +158,15 @@ def sketches(docs: DataFrame, df: np.ndarray, documents: int) -> DataFrame:
             hashes = np.concatenate([h for _, h, _ in rows])
             weights = by_slot[_slot(hashes)] * np.concatenate([c for _, _, c in rows])
             starts = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in rows])[:-1]])
-            samples = sampler(hashes, weights, starts).reshape(len(rows), BANDS, ROWS)
+            samples = sampler(hashes, weights, starts)
+            packed = [x.tobytes() for x in samples.astype(np.uint16)]
+            samples = samples.reshape(len(rows), BANDS, ROWS)
             bands = np.arange(BANDS, dtype=np.uint64) * _M1 + np.zeros((len(rows), 1), np.uint64)
             for j in range(ROWS):
                 bands = _mix((bands ^ samples[:, :, j]) * _M1)
             at = pa.array([i for i, _, _ in rows])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-            return pa.RecordBatch.from_arrays([got.column("doc_id").take(at), got.column("text_key").take(at), lists], ["doc_id", "text_key", "bands"])
+            return pa.RecordBatch.from_arrays([got.column("doc_id").take(at), got.column("text_key").take(at), lists, pa.array(packed, pa.binary())], ["doc_id", "text_key", "bands", "samples"])
 
         for got in batches:
             held = 0
@@ -179,7 +184,7 @@ def sketches(docs: DataFrame, df: np.ndarray, documents: int) -> DataFrame:
                 rows.clear()
 
     some = docs.select("doc_id", text_key().alias("text_key"), raw(F.col("text")).alias("text"))
-    return some.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, bands array<long>")
+    return some.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key binary, bands array<long>, samples binary")
 
 
 def text_key():
@@ -236,44 +241,82 @@ def _verify(pairs: DataFrame, features: DataFrame, weights: np.ndarray, similari
     return both.mapInArrow(run, "a binary, b binary, sim double").where(F.col("sim") >= similarity)
 
 
+def _fine_keys(texts: DataFrame) -> DataFrame:
+    """key and text_key of the finer bands of texts (text_key, samples)."""
+    picks = np.array([np.random.default_rng(b).choice(BANDS * ROWS, FINE_ROWS, replace=False) for b in range(FINE_BANDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            samples = np.frombuffer(b"".join(got.column("samples").to_pylist()), np.uint16).reshape(got.num_rows, -1).astype(np.uint64)
+            keys = np.arange(FINE_BANDS, dtype=np.uint64) * _M1 + np.zeros((got.num_rows, 1), np.uint64)
+            for j in range(FINE_ROWS):
+                keys = _mix((keys ^ samples[:, picks[:, j]]) * _M1)
+            at = pa.array(np.repeat(np.arange(got.num_rows), FINE_BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), got.column("text_key").take(at)], ["key", "text_key"])
+
+    return texts.mapInArrow(run, "key long, text_key binary")
+
+
+def _with_meets(keys: DataFrame) -> DataFrame:
+    """The rows of buckets of more than one text, with n, and over all its buckets how many others a text meets."""
+    many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keys = stored(keys.join(many, "key"), "near-keys")
+    return stored(keys.join(keys.groupBy("text_key").agg(F.sum("n").alias("meets")), "text_key"), "near-buckets")
+
+
+def _labelled(buckets: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Buckets whose texts are not all of one component yet, each text with its component."""
+    part = components(texts, found).select("text_key", F.col("label.text_key").alias("part"))
+    rows = stored(buckets.join(part, "text_key"), "near-parts")
+    several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("meets", F.xxhash64("key", "text_key").alias("u"), "text_key", "part")).alias("first"))
+    return rows.join(several.where("low != high").select("key", "first"), "key")
+
+
+def _meet(buckets: DataFrame, features: DataFrame, weights: np.ndarray, similarity: float, draws: int) -> DataFrame:
+    """New links (a, b) between texts and the centres of their buckets.
+
+    The first centre is the text that meets most others, so likeliest what they
+    are copies of; some ``draws`` more are drawn by hash, all texts if there are no
+    more. Texts of the first centre's component, and of one component, need not meet.
+    """
+    u = F.pmod(F.xxhash64("key", "text_key", F.lit(draws)), F.lit(1 << 30)) / (1 << 30)
+    centre = (F.col("text_key") == F.col("first.text_key")) | (u < draws / F.col("n"))
+    open_ = buckets.where(F.col("part") != F.col("first.part")).select("key", F.col("text_key").alias("a"), F.col("part").alias("a_part"))
+    met = open_.join(buckets.where(centre).select("key", F.col("text_key").alias("b"), F.col("part").alias("b_part")), "key").where("a_part != b_part")
+    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return stored(_verify(pairs, features, weights, similarity), "near-links").select("a", "b")
+
+
 def links(texts: DataFrame, docs: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between the text keys of ``texts`` (doc_id, text_key, bands).
+    """Verified links (a, b) between the text keys of ``texts`` (doc_id, text_key, bands, samples).
 
-    Each round compares every text of a bucket with its centres; a text linked
-    to one of them is done there. Round t draws some 2^t centres by hash, so the
-    rest of a bucket is worked off in about as many rounds as the logarithm of its size.
+    They join what belongs together: two texts are linked here, or by way of others.
     """
     keys = texts.select("text_key", F.posexplode("bands").alias("band", "key"))
-    keys = keys.select(F.xxhash64("band", "key").alias("key"), "text_key")
-    many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    active = stored(keys.join(many, "key", "left_semi"), "near-active")
-    wanted = texts.join(active.select("text_key").distinct(), "text_key", "left_semi").select("doc_id", "text_key")
-    features = stored(_features(docs, wanted), "near-features")
-    found, t = [], 0
-    while not active.isEmpty():
-        u = F.xxhash64("key", "text_key", F.lit(t))
-        per = active.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(u.alias("u"), "text_key")).alias("first"))
-        per = per.where("n > 1").select("key", "n", F.col("first.text_key").alias("first"))
-        here = stored(active.join(per, "key").withColumn("centre", (F.col("text_key") == F.col("first")) | (F.pmod(u, F.lit(1 << 30)) / (1 << 30) < (2**t - 1) / F.col("n"))), "near-round")
-        met = here.select("key", F.col("text_key").alias("a")).join(here.where("centre").select("key", F.col("text_key").alias("b")), "key").where("a != b")
-        met = stored(met, "near-met")
-        similar = stored(_verify(met.select("a", "b").distinct(), features, weights, similarity), "near-links").select("a", "b")
-        found.append(similar)
-        done = met.join(similar, ["a", "b"], "left_semi").select("key", F.col("a").alias("text_key"))
-        active = stored(here.where("not centre").select("key", "text_key").join(done.distinct(), ["key", "text_key"], "left_anti"), "near-active")
-        t += 1
-    out = found[0] if found else texts.select(F.col("text_key").alias("a"), F.col("text_key").alias("b")).limit(0)
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    buckets = _with_meets(keys.select(F.xxhash64("band", "key").alias("key"), "text_key"))
+    nodes = stored(texts.join(buckets.select("text_key").distinct(), "text_key", "left_semi"), "near-nodes")
+    features = stored(_features(docs, nodes.select("doc_id", "text_key")), "near-features")
+    found = _meet(_labelled(buckets, nodes, None), features, weights, similarity, 0)
+    around = _labelled(buckets, nodes, found).select("text_key").distinct()
+    fine = _with_meets(_fine_keys(nodes.join(around, "text_key", "left_semi").select("text_key", "samples")))
+    draws = 0
+    while True:
+        # in the round before, buckets of so many texts had them all as centres
+        left = stored(_labelled(fine if not draws else fine.where(F.col("n") > draws // 4), nodes, found), "near-open")
+        if left.isEmpty():
+            return found.distinct()
+        found = stored(found.union(_meet(left, features, weights, similarity, draws)), "near-links")
+        draws = 4 * draws or 4
+
+
+def components(nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
     """text_key and ``label``, the first (doc_id, text_key) of its component.
 
     Nodes take the smallest label around them and then their label's label,
     until nothing changes; only nodes with links take part in the rounds.
     """
+    if edges is None:
+        return nodes.select("text_key", F.struct("doc_id", "text_key").alias("label"))
     both = stored(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
     if both.isEmpty():
         return nodes.select("text_key", F.struct("doc_id", "text_key").alias("label"))
@@ -295,7 +338,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     """(doc_id, text_key) of all documents with words, and the class of each text as (text_key, label)."""
     df, documents = document_frequencies(docs)
     members = stored(sketches(docs, df, documents), "near-sketches")
-    texts = stored(members.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "near-texts")
+    texts = stored(members.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")), "near-texts")
     found = links(texts, docs, slot_weights(df, documents), similarity)
     return members.select("doc_id", "text_key"), stored(components(texts, found), "near-classes")
 
