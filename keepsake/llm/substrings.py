@@ -104,6 +104,7 @@ class WaveletMatrix:
             self.levels.append((packed, np.append(0, np.cumsum(np.bitwise_count(packed), dtype=np.int64))))
             self.zeros.append(int(len(bit) - bit.sum()))
             sequence = np.concatenate([sequence[~bit], sequence[bit]])
+        self.bases = self._down(np.arange(1 << bits), np.zeros(1 << bits, np.int64)) if bits < 24 else None
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         packed, before = self.levels[level]
@@ -111,14 +112,18 @@ class WaveletMatrix:
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return before[word] + np.bitwise_count(packed[word] & mask)
 
+    def _down(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where a position ends up when it follows the bits of its symbol."""
+        for level in range(self.bits):
+            ones = self._ones(level, at)
+            at = np.where((symbols >> (self.bits - 1 - level)) & 1 == 1, self.zeros[level] + ones, at - ones)
+        return at
+
     def ranks(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol occurs before ``low`` and before ``high``."""
-        base = np.zeros(len(symbols), np.int64)
-        for level in range(self.bits):
-            one = (symbols >> (self.bits - 1 - level)) & 1 == 1
-            places = [np.where(one, self.zeros[level] + ones, at - ones) for at, ones in ((at, self._ones(level, at)) for at in (base, low, high))]
-            base, low, high = places
-        return low - base, high - base
+        base = self._down(symbols, np.zeros(len(symbols), np.int64)) if self.bases is None else self.bases[symbols]
+        both = self._down(np.concatenate([symbols, symbols]), np.concatenate([low, high]))
+        return both[: len(symbols)] - base, both[len(symbols) :] - base
 
 
 class FMIndex:
@@ -130,18 +135,24 @@ class FMIndex:
             after = np.append(rank[width:], np.zeros(min(width, len(rank)), np.int64))[: len(rank)]
             _, rank = np.unique(rank * (rank.max(initial=0) + 1) + after, return_inverse=True)
             rank, width = rank + 1, 2 * width
+            if rank.max() == len(rank):
+                break
         self.order = np.argsort(rank, kind="stable")
         self.first = np.append(0, np.cumsum(np.bincount(sequence)))
         self.transform = WaveletMatrix(sequence[self.order - 1], int(sequence.max(initial=1)).bit_length())
 
     def intervals(self, sequence: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Interval of suffixes that begin like the sequence at each start; 0, 0 if there are none."""
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.order))
+        """Interval of suffixes that begin like the sequence at each start; 0, 0 for what occurs there alone."""
+        low, high = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        here, l, h = np.arange(len(starts)), np.zeros(len(starts), np.int64), np.full(len(starts), len(self.order))
         for j in range(length - 1, -1, -1):
-            symbols = sequence[starts + j]
-            before, upto = self.transform.ranks(symbols, low, high)
-            low, high = self.first[symbols] + before, self.first[symbols] + upto
-        return np.where(high > low, low, 0), np.where(high > low, high, 0)
+            symbols = sequence[starts[here] + j]
+            before, upto = self.transform.ranks(symbols, l, h)
+            l, h = self.first[symbols] + before, self.first[symbols] + upto
+            more = h - l > 1  # an end that occurs once makes the window occur once
+            here, l, h = here[more], l[more], h[more]
+        low[here], high[here] = l, h
+        return low, high
 
 
 def least_documents(words: np.ndarray, lengths: np.ndarray, documents: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -161,12 +172,12 @@ def least_documents(words: np.ndarray, lengths: np.ndarray, documents: np.ndarra
     first = (at[:-1] + np.arange(len(lengths))).repeat(counts)
     starts = first + np.arange(counts.sum()) - np.append(0, np.cumsum(counts)[:-1]).repeat(counts)
     low, high = index.intervals(sequence, starts, window)
-    lows, back = np.unique(low, return_inverse=True)
-    highs = np.zeros(len(lows), np.int64)
-    highs[back] = high
-    by_order = np.append(owners[index.order], np.iinfo(np.int64).max)
-    least = np.minimum.reduceat(by_order, np.stack([lows, highs], 1).reshape(-1))[::2]
-    return np.split(least[back], np.cumsum(counts)[:-1])
+    least, often = owners[starts], np.flatnonzero(high)
+    if len(often):
+        lows, place, back = np.unique(low[often], return_index=True, return_inverse=True)
+        by_order = np.append(owners[index.order], np.iinfo(np.int64).max)
+        least[often] = np.minimum.reduceat(by_order, np.stack([lows, high[often][place]], 1).reshape(-1))[::2][back]
+    return np.split(least, np.cumsum(counts)[:-1])
 
 
 @contextmanager
