@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from keepsake.llm import decontamination, mixing, near_dedup, neighbours, quality, substrings, tokens, toxicity, warc
+from keepsake.llm import decontamination, line_dedup, mixing, near_dedup, neighbours, quality, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_line_dedup": line_dedup.query,
     "op3_warc": warc.query,
     "op4_quality": quality.query,
     "op5_decontamination": decontamination.query,
