@@ -37,6 +37,7 @@ BANDS, ROWS = 14, 4
 # Finer bands of more samples each, for texts that no centre of their buckets took.
 FINE_BANDS, FINE_ROWS = 40, 8
 DF_BITS = 16
+IDF_SHARE = 0.25
 CACHE_WORDS = 400_000
 BLOCK = 16_384  # shingles sampled at once
 LEVELS = 4096
@@ -111,13 +112,13 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def slot_weights(df: np.ndarray, documents: int) -> np.ndarray:
-    """Damped inverse document frequency by slot, from one to two.
+    """Damped inverse document frequency by slot, from one to 1 + ``IDF_SHARE``.
 
     Damped, so that what the texts of a large group share still counts next to
-    what sets them apart.
+    what sets them apart, and near copies by plain similarity stay near copies.
     """
     idf = np.log1p(documents / np.maximum(df, 1))
-    return 1 + idf / max(idf.max(initial=0), 1e-9)
+    return 1 + IDF_SHARE * idf / max(idf.max(initial=0), 1e-9)
 
 
 class Sampler:

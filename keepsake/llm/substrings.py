@@ -127,7 +127,10 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search for patterns of up to ``depth`` symbols in a sequence of positive numbers."""
+    """Backward search for patterns of up to ``depth`` symbols in a sequence of positive numbers.
+
+    The last symbol closes the sequence and is in no pattern.
+    """
 
     def __init__(self, sequence: np.ndarray, depth: int = WINDOW):
         rank, width = sequence.astype(np.int64), 1

@@ -127,40 +127,49 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(rows, schema)], columns)
 
-    for batch in batches:
-        for piece in batch.column(0):
-            piece = piece.as_py()
-            if fields is None:
-                lines = piece.decode("utf-8", "replace").split("\r\n")
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError(f"not a record: {lines[0][:60]!r}")
-                fields = dict(x.split(": ", 1) for x in lines[1:])
-                need, got, body = int(fields["Content-Length"]), -len(BREAK), []
+    pieces = (piece.as_py() for batch in batches for piece in batch.column(0))
+    again: list[bytes] = []  # what followed a record within one piece
+    while True:
+        piece = again.pop() if again else next(pieces, None)
+        if piece is None:
+            break
+        if fields is None:
+            if not piece:
                 continue
-            body.append(piece)
-            got += len(BREAK) + len(piece)
-            if got < need:
-                continue
-            if got > need:
+            lines = piece.decode("utf-8", "replace").split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"not a record: {lines[0][:60]!r}")
+            fields = dict(x.split(": ", 1) for x in lines[1:])
+            need, got, body = int(fields["Content-Length"]), -len(BREAK), []
+            continue
+        body.append(piece)
+        got += len(BREAK) + len(piece)
+        if got < need:
+            continue
+        data = BREAK.encode().join(body)
+        if got > need:
+            # a payload that ends in half a break: the reader took it for the break's first half
+            data, rest = data[:need], data[need:]
+            if not rest.startswith(BREAK.encode()):
                 raise ValueError("a record is longer than its Content-Length")
-            data = BREAK.encode().join(body)
-            if fields["WARC-Type"] != "continuation":
-                origin, digest, seen, number = fields, hashlib.sha1(), 0, 0
-            elif fields["WARC-Segment-Origin-ID"] != origin["WARC-Record-ID"]:
-                raise ValueError("a continuation without its record")
-            digest.update(data)
-            seen += len(data)
-            total, kind = int(origin["WARC-Payload-Length"]), origin["WARC-Type"]
-            expected = origin["WARC-Payload-Digest"].removeprefix("sha1:")
-            last = kind == "revisit" or seen == total
-            running = expected if kind == "revisit" else base64.b32encode(digest.copy().digest()).decode()
-            if last and running != expected:
-                raise ValueError("a payload differs from its digest")
-            out.append((_number(origin["WARC-Record-ID"]), kind, _number(origin.get("WARC-Refers-To")), number, last, total if kind == "revisit" else seen, running, expected, data))
-            number, fields, held = number + 1, None, held + len(data)
-            if held > 4 << 20 or len(out) >= 5000:
-                yield made()
-                out, held = [], 0
+            again.append(rest[len(BREAK) :])
+        if fields["WARC-Type"] != "continuation":
+            origin, digest, seen, number = fields, hashlib.sha1(), 0, 0
+        elif fields["WARC-Segment-Origin-ID"] != origin["WARC-Record-ID"]:
+            raise ValueError("a continuation without its record")
+        digest.update(data)
+        seen += len(data)
+        total, kind = int(origin["WARC-Payload-Length"]), origin["WARC-Type"]
+        expected = origin["WARC-Payload-Digest"].removeprefix("sha1:")
+        last = kind == "revisit" or seen == total
+        running = expected if kind == "revisit" else base64.b32encode(digest.copy().digest()).decode()
+        if last and running != expected:
+            raise ValueError("a payload differs from its digest")
+        out.append((_number(origin["WARC-Record-ID"]), kind, _number(origin.get("WARC-Refers-To")), number, last, total if kind == "revisit" else seen, running, expected, data))
+        number, fields, held = number + 1, None, held + len(data)
+        if held > 4 << 20 or len(out) >= 5000:
+            yield made()
+            out, held = [], 0
     if fields is not None or (origin and origin["WARC-Type"] != "revisit" and seen != int(origin["WARC-Payload-Length"])):
         raise ValueError("an archive ends inside a record")
     if out:
