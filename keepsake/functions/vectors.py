@@ -11,11 +11,6 @@ from keepsake.functions.text import let
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 
 
-def dot(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
@@ -28,10 +23,6 @@ def l2_normalise(v: Column) -> Column:
     return let(F.struct(v.alias("v"), F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0)).alias("length")), scale)
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
-
-
 def fnv1a(word: Column) -> Column:
     """Unsigned 32-bit hash of an ASCII word."""
     return F.aggregate(

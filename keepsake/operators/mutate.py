@@ -97,10 +97,15 @@ SETTABLE = ["title", "body", "status", "rating", "occurred_at", "remind_at"]
 
 
 def check_patches(patches: DataFrame) -> DataFrame:
-    """Refuse patches that both replace and extend the tags."""
+    """Refuse patches that both replace and extend the tags, and two patches for one id."""
+    patches = patches.where(F.col("id").isNotNull())
+    repeated = F.count(F.lit(1)).over(Window.partitionBy("id")) > 1
     both = F.col("tags").isNotNull() & (F.size(F.coalesce("add_tags", F.array().cast("array<string>"))) > 0)
     return patches.withColumn(
-        "id", F.when(both, F.raise_error(F.lit("a patch cannot hold both tags and add_tags"))).otherwise(F.col("id"))
+        "id",
+        F.when(both, F.raise_error(F.lit("a patch cannot hold both tags and add_tags")))
+        .when(repeated, F.raise_error(F.lit("one id has several patches")))
+        .otherwise(F.col("id")),
     )
 
 
@@ -109,7 +114,7 @@ def apply_updates(entries: DataFrame, patches: DataFrame, as_of: Column) -> Data
 
     ``patches``: id, kind, data, tags, add_tags, archived, and for each settable
     column a one-field struct ``{value}`` whose absence leaves the column alone.
-    One patch per id.
+    Several patches for one id are refused: they would multiply the item.
     """
     p = check_patches(patches)
     p = p.select(F.col("id").alias("pid"), *[F.col(c).alias(f"p_{c}") for c in p.columns if c != "id"])
@@ -147,8 +152,3 @@ def mark_checked(entries: DataFrame, ids: DataFrame, as_of: Column) -> DataFrame
         .withColumn("last_checked_at", F.when(F.col("seen"), as_of).otherwise(F.col("last_checked_at")))
         .select(entries.columns)
     )
-
-
-def newest_per_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")

@@ -109,6 +109,8 @@ def test_tags_and_add_tags_exclude_each_other(spark):
     both = one.select("id", *cols, F.array(F.lit("x")).alias("tags"), F.array(F.lit("y")).alias("add_tags"))
     with pytest.raises(Exception, match="both tags and add_tags"):
         mutate.apply_updates(e, both, as_of()).collect()
+    with pytest.raises(Exception, match="several patches"):
+        mutate.apply_updates(e, added.union(added), as_of()).collect()
     # a patch that names nothing leaves the edit time alone
     none = one.select("id", *cols, F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("array<string>").alias("add_tags"))
     assert mutate.apply_updates(e, none, as_of()).first()["updated_at"] == T0
