@@ -4,9 +4,11 @@ Equal lines are one line from the start, known by its first place (document id,
 a hash of the text, line number). A line is the set of its lower-cased words, ordered by
 rarity: words are counted over all documents, in a fixed number of slots. Two
 lines of Jaccard similarity t share a word among their first n - ceil(t n) + 1;
-those words are joined, under the length and the positional filter, and what is
-left is verified on the words themselves. A line goes if an equal or similar line
-comes before it, whether or not that one stays.
+those words, as hashes of 64 bits, are joined, under the length and the positional filter. Every row of the join
+also carries the parity of its line's words by slots of 64 bits: the words in which two lines
+differ are at least as many as the bits in which their parities do, so most chance meetings go
+before they leave the join. What is left is verified on the words themselves. A line goes if an equal or
+similar line comes before it, whether or not that one stays.
 
 Edge cases: null and empty texts have no lines; lines without words stay and have
 no links; repeated rows of a document are one document and come once; null
@@ -25,49 +27,64 @@ from keepsake.llm.common import WORD, table
 from keepsake.session import stored
 
 SIMILARITY = 0.8
-SLOT_BITS = 12
+SLOT_BITS = 16
+RANK_STEPS = 4  # steps of rarity per doubling of a word's count
+SPACES = "\t\n\x0b\x0c\r"
+
+
+def _pieces(text: Column) -> Column:
+    """The lower-cased words between white space, and empty pieces."""
+    return F.split(F.translate(F.lower(text), SPACES, " " * len(SPACES)), " ")
 
 
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)))
+    return F.array_remove(F.array_distinct(_pieces(line)), "")
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(1 << SLOT_BITS))
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, h, line_no and line of every line with words."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
     rows = texts.select("doc_id", "h", F.posexplode("lines").alias("line_no", "line"))
-    return rows.where(F.col("line").rlike(WORD))
+    return rows.where(F.translate("line", SPACES + " ", "") != "")
 
 
 def rarity(docs: DataFrame) -> list[int]:
-    """How often words of each slot occur in all documents: a list of fixed length."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
-    per = {r["slot"]: r["n"] for r in words.groupBy(_slot(F.col("word")).alias("slot")).agg(F.count("*").alias("n")).collect()}
-    return [per.get(slot, 0) for slot in range(1 << SLOT_BITS)]
+    """Ranks by slot, from rare to frequent, of the words of all documents: a list of fixed length."""
+    words = docs.select(F.explode(_pieces(F.col("text"))).alias("word")).where("word != ''")
+    per = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).agg(F.count("*").alias("n"))
+    ranks = [0] * (1 << SLOT_BITS)
+    for slot, rank in per.select("slot", F.floor(F.log2("n") * RANK_STEPS).cast("int")).collect():  # at most one row per slot
+        ranks[slot] = rank
+    return ranks
 
 
-def similar_lines(distinct: DataFrame, counts: list[int], similarity: float = SIMILARITY) -> DataFrame:
+def similar_lines(distinct: DataFrame, ranks: list[int], similarity: float = SIMILARITY) -> DataFrame:
     """Linked ids (a, b) of ``distinct`` (id, line), each pair once."""
-    ranks = {n: rank for rank, n in enumerate(sorted(set(counts)))}
-    held = F.expr(f"array({', '.join(str(ranks[n]) + 'L' for n in counts)})")
+    # one literal, folded from text while the plan is made
+    held = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
+    hashed = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))  # 64 bits stand for a word
     # rank of rarity above, hash below: one number per word, in the order of rarity;
     # two words that share a number make a candidate, never a link
-    numbered = F.transform(_words(F.col("line")), lambda w: F.shiftleft(F.get(held, _slot(w)), 48) + F.pmod(F.xxhash64(w), F.lit(1 << 48)))
-    sets = distinct.select("id", F.array_sort(numbered).alias("words")).withColumn("n", F.size("words"))
+    numbered = F.transform("words", lambda w: F.shiftleft(F.get(held, _slot(w)), 52) + w.bitwiseAND(F.lit((1 << 52) - 1)))
+    parity = F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, cast(shiftright(w, 52) & 63 AS INT)))")
+    sets = distinct.select("id", hashed.alias("words"))
+    sets = sets.select("id", F.size("words").alias("n"), parity.alias("parity"), F.sort_array(numbered).alias("words"))
     prefix = F.slice("words", 1, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)
-    tokens = stored(sets.select("id", "n", F.posexplode(prefix).alias("at", "word")), "line-prefixes")
-    a = tokens.select("word", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
-    b = tokens.select("word", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - 1e-9)
-    longer = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
-    near = longer & (F.col("a_n") >= F.col("b_n") * similarity - 1e-9) & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= need)
-    pairs = a.join(b, "word").where(near).select("a", "b").distinct()
-    x, y = (distinct.select(F.col("id").alias(k), _words(F.col("line")).alias(f"{k}_words")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b")
+    # both sides read one shuffle of these rows
+    tokens = sets.select("id", "n", "parity", F.posexplode(prefix).alias("at", "word"))
+    a, b = tokens.alias("a"), tokens.alias("b")
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - 1e-9)
+    longer = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
+    near = longer & (F.col("a.n") >= F.col("b.n") * similarity - 1e-9) & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need)
+    near = near & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= F.col("a.n") + F.col("b.n") - 2 * need)
+    pairs = stored(a.join(b, F.col("a.word") == F.col("b.word")).where(near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = distinct.join(wanted, "id", "left_semi").select("id", hashed.alias("words"))
+    both = pairs.join(sets.toDF("a", "a_words"), "a").join(sets.toDF("b", "b_words"), "b")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     return both.where(shared >= similarity * (F.size("a_words") + F.size("b_words") - shared) - 1e-9).select("a", "b")
 
