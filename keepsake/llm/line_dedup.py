@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import WORD, table
-from keepsake.session import stored
+from keepsake.session import each, stored
 
 SIMILARITY = 0.8
 SLOT_BITS = 16
@@ -54,7 +54,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def rarity(docs: DataFrame) -> list[int]:
     """Ranks by slot, from rare to frequent, of the words of all documents: a list of fixed length."""
-    words = docs.select(F.explode(_pieces(F.col("text"))).alias("word")).where("word != ''")
+    words = each(docs, _pieces(F.col("text")), "word").where("word != ''")
     per = words.groupBy(_slot(F.xxhash64("word")).alias("slot")).agg(F.count("*").alias("n"))
     ranks = [0] * (1 << SLOT_BITS)
     for slot, rank in per.select("slot", F.floor(F.log2("n") * RANK_STEPS).cast("int")).collect():  # at most one row per slot
@@ -74,8 +74,8 @@ def similar_lines(distinct: DataFrame, ranks: list[int], similarity: float = SIM
     sets = distinct.select("id", hashed.alias("words"))
     sets = sets.select("id", F.size("words").alias("n"), parity.alias("parity"), F.sort_array(numbered).alias("words"))
     prefix = F.slice("words", 1, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)
-    # both sides read one shuffle of these rows
-    tokens = sets.select("id", "n", "parity", F.posexplode(prefix).alias("at", "word"))
+    # both sides read one shuffle of these rows; the outer form keeps Spark from evaluating the array twice
+    tokens = sets.select("id", "n", "parity", F.posexplode_outer(prefix).alias("at", "word")).where("word IS NOT NULL")
     a, b = tokens.alias("a"), tokens.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - 1e-9)
     longer = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
