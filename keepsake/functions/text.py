@@ -55,7 +55,7 @@ def day(ts: Column) -> Column:
 
 
 def normalize_kind(kind: Column) -> Column:
-    known = literal_map({alias: k for k, aliases in KIND_ALIASES.items() for alias in aliases})
+    known = literal_map(KIND_ALIASES)
     word = F.lower(strip(kind))
     missing = kind.isNull() | (kind == "")
     return F.when(missing, "thought").otherwise(F.coalesce(F.try_element_at(known, word), word))

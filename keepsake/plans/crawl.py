@@ -59,7 +59,7 @@ def _link_requests(spark, sf):
           case when doc_id % 3 = 0 and not {o.weak('own', '[source]')} then {o.strip('own')} else m.title end as title,
           case when doc_id % 2 = 0 then 'My take ' || l.url end as body,
           concat('url=', l.link, ';source=', case when doc_id % 5 = 0 then lang else m.site end) as data
-        from (select d.*, m.url, {o.url('m.url')} as link, substring(split_part(text, chr(10), 1), 1, 60) as own
+        from (select d.*, m.url, {o.url('m.url')} as link, split_part(text, chr(10), 1) as own
           from documents d join pages m on m.page_id = d.doc_id % (select count(*) from pages)) l
         left join (select url, max(title) as title, max(site) as site from meta group by 1) m on m.url = l.link""",
     meta=META,

@@ -11,17 +11,17 @@ from keepsake.sources import bindings as b
 
 CAPTURES = "action in ('jot', 'capture', 'flow_capture', 'flow_capture_many', 'telegram_capture') and input is not null"
 RESIDUE = r"length(regexp_replace(input, 'https?://\S+', '', 'g'))"
-HABITS = rf"""count(*) filter (where {CAPTURES}) as captures,
-  count(*) filter (where {CAPTURES} and regexp_matches(input, '(?i)https?://')) as with_url,
-  count(*) filter (where {CAPTURES} and regexp_matches(input, '(?i)https?://') and {RESIDUE} > 25) as url_with_reason,
-  count(*) filter (where {CAPTURES} and regexp_matches(input, '(?i)https?://') and {RESIDUE} <= 25) as bare_url,
-  count(*) filter (where {CAPTURES} and regexp_matches(input, '(^|\s)#[\p{{L}}\p{{N}}]')) as with_hashtags,
-  count(*) filter (where {CAPTURES} and n_entries > 1) as multi_entry"""
+# One row of flags per call; the habits are sums of them.
+FLAGS = rf"""select regexp_matches(input, '(?i)https?://') as linked, {RESIDUE} > 25 as reasoned,
+  regexp_matches(input, '(^|\s)#[\p{{L}}\p{{N}}]') as tagged, n_entries > 1 as several from prompts where {CAPTURES}"""
+HABITS = f"""select count(*) as captures, {", ".join(f"coalesce(cast(sum(cast({of} as integer)) as bigint), 0) as {name}" for name, of in (
+    ("with_url", "linked"), ("url_with_reason", "(linked and reasoned)"), ("bare_url", "(linked and not reasoned)"), ("with_hashtags", "tagged"), ("multi_entry", "several")))}
+from ({FLAGS})"""
 
 
 @query(
     "log_prompts",
-    """select p.id, p.surface, p.action, p.input, coalesce(t.tags, '') as tags, coalesce(k.kinds, '') as kinds,
+    """select p.id, p.surface, p.action, substring(p.input, 1, 8000) as input, coalesce(t.tags, '') as tags, coalesce(k.kinds, '') as kinds,
          cast(p.ms as bigint) as ms, p.ok, p.error
        from prompts p
        left join (select id, string_agg(tag, ' ' order by first) as tags from
@@ -64,7 +64,7 @@ def _(spark, sf):
     return out.select(*[F.col(c).cast("bigint").alias(c) for c in out.columns])
 
 
-@query("prompt_habits", f"select {HABITS} from prompts")
+@query("prompt_habits", HABITS)
 def _(spark, sf):
     return p.habits(b.prompt_calls(spark, sf))
 
@@ -76,7 +76,7 @@ def _(spark, sf):
          cast(floor(h.bare_url * 100.0 / nullif(h.with_url, 0) + 0.5) as bigint) as pct_bare_url,
          cast(floor(h.with_hashtags * 100.0 / nullif(h.captures, 0) + 0.5) as bigint) as pct_with_hashtags,
          b.hour as busiest_hour, b.n as busiest_n
-       from (select {HABITS} from prompts) h,
+       from ({HABITS}) h,
          (select extract(hour from at_time) as hour, count(*) as n from prompts group by 1 order by n desc, hour limit 1) b""",
 )
 def _(spark, sf):

@@ -21,7 +21,7 @@ REQUESTS = f"""
 select doc_id as seq, case when doc_id % 6 = 0 then 'device:' || (doc_id % 300) end as capture_id,
   case doc_id % 11 when 0 then 'note' when 1 then 'Film' when 2 then ' contact ' when 3 then 'essay' when 4 then 'todo' when 5 then 'fact'
     when 6 then 'restaurant' when 7 then 'project' when 8 then 'github' when 9 then '' else 'memo' end as raw_kind,
-  case when doc_id % 4 = 0 and doc_id % 10 <> 8 then substring(split_part(text, chr(10), 1), 1, 60) end as title,
+  case when doc_id % 4 = 0 and doc_id % 10 <> 8 then split_part(text, chr(10), 1) end as title,
   case when doc_id % 10 = 8 then null when doc_id % 10 = 9 then 'https://example.com/x/' || source || '_report.html' else concat(text,
     case when doc_id % 2 = 0 then ' #ai/harness #' || source else '' end,
     case when doc_id % 3 = 0 then ' https://example.com/a/b_' || doc_id || '.pdf.' else '' end) end as body,

@@ -128,7 +128,7 @@ def _(spark, sf):
 
 @query(
     "recent_prompts",
-    """select id, surface, action, input, cast(ms as bigint) as ms, ok, error from prompts where surface = 'cli' order by at_time desc, id limit 500""",
+    """select id, surface, action, substring(input, 1, 8000) as input, cast(ms as bigint) as ms, ok, error from prompts where surface = 'cli' order by at_time desc, id limit 500""",
 )
 def _(spark, sf):
     rows = views.recent_prompts(b.prompts(spark, sf), 900, "cli")

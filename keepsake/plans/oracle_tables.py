@@ -30,7 +30,7 @@ TABLES["entries"] = f"""
 select {make_id('doc_id')} as id, doc_id,
   case doc_id % 9 when 0 then 'thought' when 1 then 'movie' when 2 then 'person' when 3 then 'reading'
     when 4 then 'task' when 5 then 'fact' when 6 then 'place' when 7 then 'idea' else 'repo' end as kind,
-  substring(split_part(text, chr(10), 1), 1, 60) as title, text as body,
+  split_part(text, chr(10), 1) as title, text as body,
   lang as data_lang, source as data_source, cast(n_chars as varchar) as data_n_chars,
   case when doc_id % 13 = 0 then cast([] as varchar[]) when doc_id % 2 = 0 then ['lang/' || lang, source]
     else ['lang/' || lang || '/' || source, 'inbox'] end as tags,
@@ -70,7 +70,7 @@ select {make_id('event_id')} as id, ts as at_time,
   case event_type when 'click' then 'capture' when 'view' then 'ask' when 'purchase' then 'jot'
     when 'signup' then 'flow_capture' else 'telegram_capture' end as action,
   concat(case when event_id % 3 = 0 then 'https://example.com/p/' || event_id || ' ' else '' end,
-    case when event_id % 6 = 0 then '' else substring(d.text, 1, cast(event_id % 200 + 20 as integer)) end,
+    case when event_id % 6 = 0 then '' else d.text end,
     case when event_id % 4 = 0 then ' #' || d.lang || '/' || d.source else '' end) as input,
   case when event_id % 8 = 0 then 2 when event_type = 'view' then 0 else 1 end as n_entries, k,
   cast(floor(value) as integer) as ms, event_type <> 'error' as ok,

@@ -19,7 +19,7 @@ def strip_null(x: str) -> str:
 
 def kind(x: str) -> str:
     k = f"lower({strip(x)})"
-    arms = " ".join(f"when '{a}' then '{k_}'" for k_, al in KIND_ALIASES.items() for a in al)
+    arms = " ".join(f"when '{a}' then '{k_}'" for a, k_ in KIND_ALIASES.items())
     return f"case when {x} is null or {x} = '' then 'thought' else case {k} {arms} else {k} end end"
 
 

@@ -55,7 +55,7 @@ REFS = f"""
 select doc_id as ref_id, case doc_id % 6 when 0 then upper({make_id('doc_id + 7')}) when 1 then '  ' || substring({make_id('doc_id')}, 1, 8)
    when 2 then upper(substring(sha1(cast(doc_id as varchar)), 1, 5)) when 3 then translate(title, 'eai', 'EAI') || ' '
    when 4 then title || ' not there' else case when doc_id % 5 = 0 then ' ' else substring({make_id('doc_id')}, 1, 7) end end as ref
-from (select doc_id, substring(split_part(text, chr(10), 1), 1, 60) as title from documents)"""
+from (select doc_id, split_part(text, chr(10), 1) as title from documents)"""
 
 
 @query(

@@ -129,15 +129,16 @@ EXTRACTION = T.StructType(
 # ---------------------------------------------------------------------------
 KINDS = ["thought", "movie", "person", "reading", "task", "fact", "place", "idea", "repo"]
 
+# Other words for a kind, and the kind.
 KIND_ALIASES = {
-    "thought": ["note", "thoughts", "memo"],
-    "movie": ["film", "show", "tv", "series", "watchlist"],
-    "person": ["contact", "connection", "linkedin", "people"],
-    "repo": ["repository", "github", "project_repo"],
-    "reading": ["article", "essay", "book", "writing", "post", "paper"],
-    "task": ["todo", "reminder"],
-    "idea": ["project"],
-    "place": ["restaurant"],
+    "note": "thought", "thoughts": "thought", "memo": "thought",
+    "film": "movie", "show": "movie", "tv": "movie", "series": "movie", "watchlist": "movie",
+    "contact": "person", "connection": "person", "linkedin": "person", "people": "person",
+    "repository": "repo", "github": "repo", "project_repo": "repo",
+    "article": "reading", "essay": "reading", "book": "reading", "writing": "reading", "post": "reading", "paper": "reading",
+    "todo": "task", "reminder": "task",
+    "project": "idea",
+    "restaurant": "place",
 }
 
 DEFAULT_STATUS = {"movie": "want", "task": "open", "reading": "queued"}

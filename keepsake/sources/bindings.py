@@ -47,8 +47,7 @@ def count_of(df: DataFrame) -> int:
 
 
 def first_line_title(body: Column) -> Column:
-    # cut before splitting: the rest of a long text is not looked at
-    return F.split_part(F.substring(body, 1, 60), F.lit("\n"), F.lit(1))
+    return F.split_part(body, F.lit("\n"), F.lit(1))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +150,7 @@ def calls_of(events: DataFrame, docs: DataFrame) -> DataFrame:
     )
     wording = F.concat(
         F.when(e % 3 == 0, F.concat(F.lit("https://example.com/p/"), e.cast("string"), F.lit(" "))).otherwise(""),
-        F.when(e % 6 == 0, "").otherwise(F.substr(F.col("text"), F.lit(1), (e % 200 + 20).cast("int"))),
+        F.when(e % 6 == 0, "").otherwise(F.col("text")),
         F.when(e % 4 == 0, F.concat(F.lit(" #"), "lang", F.lit("/"), "source")).otherwise(""),
     )
     ids = (
