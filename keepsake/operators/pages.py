@@ -11,6 +11,8 @@ from keepsake.operators.capture import stable_id
 HTML_CHARS, TITLE_CHARS, DESCRIPTION_CHARS, AUTHOR_CHARS = 250_000, 200, 500, 120
 NEWS_PER_ENTRY, CITED_BY_DEFAULT, CITED_AT_MOST, RECENT_RESEARCH = 8, 3, 5, 3
 SEARCH_SUFFIX = "news funding launch acquisition"
+# Fixed value: how a summary says that there is nothing to tell.
+NOTHING_NEW = "NOTHING_NEW"
 
 
 def _meta(html: Column, *names: str) -> Column:
@@ -118,13 +120,14 @@ def news_notes(found: DataFrame, summaries: DataFrame, as_of: Column) -> DataFra
     """Research notes from summaries (entry_id, text), with the sources they used.
 
     Sources are the addresses a summary quotes, else the first three, at most
-    five in the footer. At most eight addresses ride along per item.
+    five in the footer. At most eight addresses ride along per item. Summaries
+    that are empty or say that nothing is new make no note.
     """
     urls = found.groupBy("entry_id").agg(F.sort_array(F.collect_list(F.struct("rank", "url"))).alias("found"))
     listed = F.transform("found", lambda x: x["url"])
     quoted = F.filter(listed, lambda u: F.contains(F.col("text"), u))
     cited = text.let(quoted, lambda q: F.when(F.size(q) > 0, q).otherwise(F.slice(listed, 1, CITED_BY_DEFAULT)))
-    told = summaries.withColumn("text", text.strip_to_null(F.col("text"))).where(F.col("text").isNotNull())
+    told = summaries.withColumn("text", text.strip_to_null(F.col("text"))).where(~F.upper("text").startswith(NOTHING_NEW))
     footer = F.concat(F.lit("\n\nSources: "), F.array_join(F.slice(cited, 1, CITED_AT_MOST), " · "))
     return told.join(urls, "entry_id").select(
         stable_id(F.concat_ws("|", F.lit("news"), "entry_id", as_of.cast("string"))).alias("id"),

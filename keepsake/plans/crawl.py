@@ -130,15 +130,16 @@ def _(spark, sf):
     """select entry_id, case when max(title) filter (where n = 1) like '%3' then 'See ' || max(url) filter (where n = 1) || ' now' || chr(10) || chr(10) || 'Sources: ' || string_agg(url, ' · ' order by n)
            filter (where n <= 5 and contains('See ' || u1 || ' now', url))
          else 'Nothing quoted' || chr(10) || chr(10) || 'Sources: ' || string_agg(url, ' · ' order by n) filter (where n <= 3) end as body
-       from (select *, max(case when n = 1 then url end) over (partition by entry_id) as u1 from found) group by entry_id""",
+       from (select *, max(case when n = 1 then url end) over (partition by entry_id) as u1 from found) group by entry_id
+       having max(title) filter (where n = 1) not like '%5'""",
     linked_entries=LINKED, news=NEWS, found=FOUND,
 )
 def _(spark, sf):
     found = pg.news_since(b.linked_entries(spark, sf), _news(spark, sf))
-    # stands in for a written summary: some quote the newest article, some quote none
+    # stands in for a written summary: some quote the newest article, some quote none, some have nothing to tell
     summaries = found.where("rank = 1").select(
         "entry_id",
-        F.when(F.col("title").endswith("3"), F.concat(F.lit(" See "), "url", F.lit(" now "))).otherwise("Nothing quoted").alias("text"),
+        F.when(F.col("title").endswith("3"), F.concat(F.lit(" See "), "url", F.lit(" now "))).when(F.col("title").endswith("5"), " nothing_new since then").otherwise("Nothing quoted").alias("text"),
     )
     return pg.news_notes(found, summaries, b.as_of()).select("entry_id", "body")
 
