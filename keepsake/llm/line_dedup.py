@@ -4,10 +4,10 @@ Equal lines are one line from the start, known by its first place (document id,
 a hash of the text, line number). A line is the set of its lower-cased words, ordered by
 rarity: words are counted over all documents, in a fixed number of slots. Two
 lines of Jaccard similarity t share a word among their first n - ceil(t n) + 1;
-those words, as hashes of 64 bits, are joined, under the length and the positional filter. Every row of the join
+those words, as hashes, are joined, under the length and the positional filter. Every row of the join
 also carries the parity of its line's words by slots of 64 bits: the words in which two lines
 differ are at least as many as the bits in which their parities do, so most chance meetings go
-before they leave the join. What is left is verified on the words themselves. A line goes if an equal or
+before they leave the join. What is left is verified on the hashes of all words. A line goes if an equal or
 similar line comes before it, whether or not that one stays.
 
 Edge cases: null and empty texts have no lines; lines without words stay and have
