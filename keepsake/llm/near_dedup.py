@@ -34,8 +34,10 @@ from keepsake.session import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
-# Finer bands of more samples each, for texts that no centre of their buckets took.
-FINE_BANDS, FINE_ROWS = 40, 8
+# Finer bands of more samples each, for texts that no centre of their buckets took. They pick from the first samples
+# and as many fresh ones, so that texts of a coarse bucket miss each other here no more often than in the coarse bands.
+FRESH = BANDS * ROWS
+FINE_BANDS, FINE_ROWS = 80, 8
 DF_BITS = 16
 IDF_SHARE = 0.25
 CACHE_WORDS = 400_000
@@ -122,12 +124,12 @@ def slot_weights(df: np.ndarray, documents: int) -> np.ndarray:
 
 
 class Sampler:
-    """Consistent weighted samples of many texts at once."""
+    """Consistent weighted samples of many texts at once, from the one after ``skip`` on."""
 
-    def __init__(self, samples: int = BANDS * ROWS):
+    def __init__(self, samples: int = BANDS * ROWS, skip: int = 0):
         levels = _gamma_levels()
         self.r, self.log_c = levels, np.log(levels)
-        self.seeds = np.random.default_rng(1).integers(1, 1 << 62, samples, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.seeds = np.random.default_rng(1).integers(1, 1 << 62, skip + samples, np.uint64)[skip:] * np.uint64(2) + np.uint64(1)
 
     def __call__(self, hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """One row of samples per text; texts are the stretches from ``starts``, none empty."""
@@ -242,20 +244,46 @@ def _verify(pairs: DataFrame, features: DataFrame, weights: np.ndarray, similari
     return both.mapInArrow(run, "a binary, b binary, sim double").where(F.col("sim") >= similarity)
 
 
-def _fine_keys(texts: DataFrame) -> DataFrame:
-    """key and text_key of the finer bands of texts (text_key, samples)."""
-    picks = np.array([np.random.default_rng(b).choice(BANDS * ROWS, FINE_ROWS, replace=False) for b in range(FINE_BANDS)])
+def fine_picks() -> np.ndarray:
+    """The samples of each finer band, one row per band."""
+    return np.array([np.random.default_rng(b).choice(BANDS * ROWS + FRESH, FINE_ROWS, replace=False) for b in range(FINE_BANDS)])
+
+
+def _fine_keys(texts: DataFrame, features: DataFrame, weights: np.ndarray) -> DataFrame:
+    """key and text_key of the finer bands of texts (text_key, samples), which are sampled further for them."""
+    picks, shared = fine_picks(), texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in batches:
-            samples = np.frombuffer(b"".join(got.column("samples").to_pylist()), np.uint16).reshape(got.num_rows, -1).astype(np.uint64)
-            keys = np.arange(FINE_BANDS, dtype=np.uint64) * _M1 + np.zeros((got.num_rows, 1), np.uint64)
+        by_slot, sampler = shared.value, Sampler(FRESH, BANDS * ROWS)
+        rows: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def flush(got: pa.RecordBatch) -> pa.RecordBatch:
+            hashes = np.concatenate([h for _, h, _ in rows])
+            starts = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in rows])[:-1]])
+            fresh = sampler(hashes, by_slot[_slot(hashes)] * np.concatenate([c for _, _, c in rows]), starts).astype(np.uint16)
+            known = np.array([np.frombuffer(got.column("samples")[i].as_py(), np.uint16) for i, _, _ in rows])
+            samples = np.concatenate([known, fresh], 1).astype(np.uint64)
+            keys = np.arange(FINE_BANDS, dtype=np.uint64) * _M1 + np.zeros((len(rows), 1), np.uint64)
             for j in range(FINE_ROWS):
                 keys = _mix((keys ^ samples[:, picks[:, j]]) * _M1)
-            at = pa.array(np.repeat(np.arange(got.num_rows), FINE_BANDS))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), got.column("text_key").take(at)], ["key", "text_key"])
+            at = pa.array(np.repeat([i for i, _, _ in rows], FINE_BANDS))
+            return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), got.column("text_key").take(at)], ["key", "text_key"])
+
+        for got in batches:
+            held = 0
+            for i in range(got.num_rows):
+                hashes = np.frombuffer(got.column("hashes")[i].as_py(), np.uint64)
+                rows.append((i, hashes, np.frombuffer(got.column("counts")[i].as_py(), "<i4")))
+                held += len(hashes)
+                if held >= BLOCK:
+                    yield flush(got)
+                    rows.clear()
+                    held = 0
+            if rows:
+                yield flush(got)
+                rows.clear()
 
-    return texts.mapInArrow(run, "key long, text_key binary")
+    return texts.join(features, "text_key").mapInArrow(run, "key long, text_key binary")
 
 
 def _with_meets(keys: DataFrame) -> DataFrame:
@@ -299,7 +327,7 @@ def links(texts: DataFrame, docs: DataFrame, weights: np.ndarray, similarity: fl
     features = stored(_features(docs, nodes.select("doc_id", "text_key")), "near-features")
     found = _meet(_labelled(buckets, nodes, None), features, weights, similarity, 0)
     around = _labelled(buckets, nodes, found).select("text_key").distinct()
-    fine = _with_meets(_fine_keys(nodes.join(around, "text_key", "left_semi").select("text_key", "samples")))
+    fine = _with_meets(_fine_keys(nodes.join(around, "text_key", "left_semi").select("text_key", "samples"), features, weights))
     draws = 0
     while True:
         # in the round before, buckets of so many texts had them all as centres

@@ -175,6 +175,37 @@ def test_line_join(spark):
     assert line_dedup.remove(docs).where("doc_id = 4").first()["text"] == ""
 
 
+def test_finer_bands_miss_no_more_than_coarse_ones():
+    """Pairs that share a coarse bucket, by how many samples agree, and no finer one."""
+    draws, size = np.random.default_rng(3), 20_000
+    first, picks = near_dedup.BANDS * near_dedup.ROWS, near_dedup.fine_picks()
+    assert len({tuple(sorted(p)) for p in picks}) == len(picks) and picks.max() < first + near_dedup.FRESH
+    for similarity in (0.8, 0.81, 0.82, 0.85):
+        left = 0
+        for _ in range(5):
+            same = draws.random((size, first + near_dedup.FRESH)) < similarity
+            coarse = same[:, :first].reshape(size, near_dedup.BANDS, near_dedup.ROWS).all(2).any(1)
+            left += (coarse & ~np.any([same[:, p].all(1) for p in picks], 0)).sum()
+        assert left <= 5 * size * (1 - similarity**near_dedup.ROWS) ** near_dedup.BANDS
+
+
+def test_texts_of_a_coarse_bucket_meet_in_finer_ones(spark):
+    """Pairs at the threshold, by the keys themselves: nearly all share a finer bucket."""
+    texts = []
+    for k in range(300):
+        words = [f"w{k}x{j}" for j in range(400)]
+        texts += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:356] + [f"v{k}x{j}" for j in range(44)]))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    df, n = near_dedup.document_frequencies(docs)
+    weights, made = near_dedup.slot_weights(df, n), near_dedup.sketches(docs, df, n)
+    keys = near_dedup._fine_keys(made.select("text_key", "samples"), near_dedup._features(docs, made), weights)
+    of = {}
+    for row in keys.join(made.select("doc_id", "text_key"), "text_key").select("doc_id", "key").collect():
+        of.setdefault(row["doc_id"], set()).add(row["key"])
+    assert len(of) == 600 and sum(not of[2 * k] & of[2 * k + 1] for k in range(300)) <= 1
+    assert not of[0] & of[2]
+
+
 def test_tokens_round_trip(spark, rows, tmp_path):
     from tokenizers import Tokenizer
 
