@@ -14,8 +14,9 @@ rows in packed blocks, and a block gives on at most ``k`` rows a query.
 
 Edge cases: vectors that are null, of another length than most of the sample, zero, or
 hold null or non-finite components take no part, nor do rows without id; rows of
-the query's own id are not its candidates; repeated rows are candidates each; ties go
-to the smaller id; an empty table has no results. Other columns are ignored.
+the query's own id are not its candidates; repeated rows are candidates each; a repeated
+query row is asked once, and queries of one id and different vectors have k ranks each; ties
+go to the smaller id; an empty table has no results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ ROTATIONS, ROUNDS = 4, 30
 BITS = 16  # of a substring
 RECALL = 0.97
 ROW_BLOCK, QUERY_BLOCK = 8192, 512
-BLOCK = "slot int, ids array<long>, vectors binary, codes binary"
-HITS = "query_id long, vec_id long, score double"
+BLOCK = "slot int, ids array<long>, vectors binary, codes binary, query_rows array<long>"
+HITS = "query_row long, query_id long, vec_id long, score double"
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -114,7 +115,8 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, model, size: int) -> DataFrame:
-    """Rows packed by task: ids, vectors as doubles and codes of up to ``size`` rows."""
+    """Rows packed by task: ids, vectors as doubles and codes of up to ``size`` rows, of queries their numbers."""
+    numbered = "query_row" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = TaskContext.get().partitionId()
@@ -123,43 +125,46 @@ def _blocks(rows: DataFrame, model, size: int) -> DataFrame:
                 part = got.slice(at, size)
                 vectors = np.array(part.column("embedding").to_pylist(), float)
                 columns = [[slot], [part.column("vec_id").to_pylist()], [vectors.tobytes()], [encode(vectors, model).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], ["slot", "ids", "vectors", "codes"])
+                columns.append([part.column("query_row").to_pylist() if numbered else None])
+                types = (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["slot", "ids", "vectors", "codes", "query_rows"])
 
     return rows.mapInArrow(run, BLOCK)
 
 
-def _hits(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    columns = [np.concatenate(c) for c in zip(*found)] or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+def _hits(found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*found)] or [[], [], [], []]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["query_row", "query_id", "vec_id", "score"])
 
 
 def _probe(queries: DataFrame, index: DataFrame, slots: int, radius: int, dims: int, k: int) -> DataFrame:
     """The k nearest rows in the radius of every query in every block of the index."""
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes")])
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "vectors", "codes")], "query_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
             for row in range(got.num_rows):
                 one = {n: got.column(n)[row] for n in got.schema.names}
-                ids, q_ids = (np.asarray(one[n].values, np.int64) for n in ("ids", "q_ids"))
+                ids, q_ids, q_rows = (np.asarray(one[n].values, np.int64) for n in ("ids", "q_ids", "query_rows"))
                 vectors, q_vectors = (np.frombuffer(one[n].as_py()).reshape(-1, dims) for n in ("vectors", "q_vectors"))
                 codes = np.frombuffer(one["codes"].as_py(), np.uint16).reshape(len(ids), -1)
                 q_codes = np.frombuffer(one["q_codes"].as_py(), np.uint16).reshape(len(q_ids), -1)
                 tables, found = Tables(codes), []
-                for q_id, vector, code in zip(q_ids, q_vectors, q_codes):
+                for q_row, q_id, vector, code in zip(q_rows, q_ids, q_vectors, q_codes):
                     near = tables.within(code, radius)
                     near = near[ids[near] != q_id]
                     scores = cosines(vector, vectors[near])
                     top = _best(ids[near], scores, k)
-                    found.append((np.full(len(top), q_id), ids[near][top], scores[top]))
+                    found.append((np.full(len(top), q_row), np.full(len(top), q_id), ids[near][top], scores[top]))
                 yield _hits(found)
 
-    return asked.join(index, "slot").mapInArrow(run, HITS)
+    return asked.join(index.drop("query_rows"), "slot").mapInArrow(run, HITS)
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
 
 
 def calibrate(rows: DataFrame, model, sample: list[tuple[int, np.ndarray]], k: int, recall: float = RECALL) -> int:
@@ -171,12 +176,12 @@ def calibrate(rows: DataFrame, model, sample: list[tuple[int, np.ndarray]], k: i
         for got in batches:
             theirs, x = got.column("vec_id").to_numpy(), np.array(got.column("embedding").to_pylist(), float)
             theirs_codes, found = encode(x, model), []
-            for q_id, vector, code in zip(ids, vectors, codes):
+            for q_row, (q_id, vector, code) in enumerate(zip(ids, vectors, codes)):
                 scores = np.where(theirs == q_id, -2.0, cosines(vector, x))
                 top = _best(theirs, scores, k)
                 top = top[scores[top] > -2]
                 far = np.bitwise_count(theirs_codes[top] ^ code).sum(1)
-                found.append((np.full(len(top), q_id), far, scores[top]))
+                found.append((np.full(len(top), q_row), np.full(len(top), q_id), far, scores[top]))
             yield _hits(found)  # the distance stands in the place of the id
 
     far = [r["vec_id"] for r in _top(rows.mapInArrow(run, HITS), k).collect()]  # k rows for each of the few
@@ -199,15 +204,16 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, recall: float = RECA
     model = learn(np.array([v / np.linalg.norm(v) for _, v in known]))
     radius = calibrate(rows, model, known[:CALIBRATION], k, recall)
     slots = max(1, rows.rdd.getNumPartitions())
+    queries = stored(queries.distinct().withColumn("query_row", F.monotonically_increasing_id()), "neighbour-asked")
     index = stored(_blocks(rows, model, ROW_BLOCK), "neighbour-index")
     asked = stored(_blocks(queries, model, QUERY_BLOCK), "neighbour-queries")
     found = stored(_top(_probe(asked, index, slots, radius, dims, k), k), "neighbours")
-    full = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    few = queries.join(full, queries["vec_id"] == full["query_id"], "left_anti")
+    full = found.groupBy("query_row").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    few = queries.join(full, "query_row", "left_anti")
     if few.isEmpty():
-        return found
+        return found.drop("query_row")
     wider = _top(_probe(_blocks(few, model, QUERY_BLOCK), index, slots, model[1].shape[1], dims, k), k)
-    return found.join(full, "query_id", "left_semi").union(wider)
+    return found.join(full, "query_row", "left_semi").union(wider).drop("query_row")
 
 
 def query(spark, sf_dir):

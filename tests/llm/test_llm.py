@@ -266,6 +266,32 @@ def test_neighbours(spark):
     assert neighbours.search(table.where("vec_id < 3"), table.where("vec_id = 0")).count() == 2
 
 
+def test_neighbours_of_repeated_queries(spark):
+    vectors = np.random.default_rng(2).normal(size=(300, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    other = [float(x) for x in vectors[200] + 0.01]
+    asked = spark.createDataFrame([rows[0]] * 3 + [rows[50], (50, other)], "vec_id long, embedding array<double>").repartition(2)
+    found = neighbours.search(table, asked, recall=1.0)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found.collect())
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+    def best(own, vector):
+        scores = unit @ vector
+        scores[own] = -2
+        return [(own, n + 1, int(i)) for n, i in enumerate(np.lexsort((np.arange(300), -scores))[:5])]
+
+    mine = {q: [g for g in got if g[0] == q] for q in (0, 50)}
+    assert [r for _, r, _ in mine[0]] == [1, 2, 3, 4, 5] and len({i for _, _, i in mine[0]}) == 5
+    assert len(set(mine[0]) & set(best(0, vectors[0]))) >= 4
+    assert [r for _, r, _ in mine[50]] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    want = set(best(50, vectors[50]) + best(50, np.array(other)))
+    assert (50, 1, 200) in mine[50] and len(set(mine[50]) & want) >= len(want) - 2
+    few = neighbours.search(table.where("vec_id < 4"), asked.where("vec_id = 0")).collect()
+    assert sorted(r["vec_id"] for r in few) == [1, 2, 3]
+
+
 def test_probing_finds_all_codes_in_the_radius():
     codes = np.random.default_rng(1).integers(0, 1 << 16, (500, 4), np.uint16)
     codes[::3] = codes[0]
