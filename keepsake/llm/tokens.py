@@ -46,16 +46,16 @@ class WordEncoder:
     White space is dropped by it, so a text's ids are those of its words one
     after another, and those of letters followed by marks are the ids of both
     parts; each distinct part is encoded once and remembered, the least recent
-    half being forgotten first. Texts with a special token's string, with control
-    characters that only Python counts as space, or with letters whose lower
-    case depends on their place are encoded whole.
+    half being forgotten first. Texts that hold a special token's string once they are
+    lower-cased, control characters that only Python counts as space, or letters
+    whose lower case depends on their place are encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cache_words = cache_words // 2
@@ -106,7 +106,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if any(s in t for s in self.special) or any(c in t for c in BY_PLACE) else t.lower().split() for t in texts]
+        lower = [t.lower() for t in texts]
+        split = [None if any(s in low for s in self.special) or any(c in t for c in BY_PLACE) else low.split() for t, low in zip(texts, lower)]
         words = set().union(*[s for s in split if s])
         self._learn(words)
         known = self.known.__getitem__

@@ -245,6 +245,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert b"".join(p for _, p in parts).decode() == pages[5][2]
 
 
+def test_special_strings_of_any_case():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokens.tokenizer_path())
+    texts = ["a <|ENDOFTEXT|> b", "<|StartOfText|>", "A<|EndOfText|>!", "x <|endoftext|> Y", "<|endoftext|><|ENDOFTEXT|>", "<| endoftext |> Plain", "<|ENDOF TEXT|>"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = tokens.WordEncoder(tokens.tokenizer_path())
+    for some in (texts, texts[::-1]):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(some)] == [want[texts.index(t)] for t in some]
+    assert want[0] != want[3] and 49407 not in want[0]
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(0)
     vectors = r.normal(size=(600, 16)).astype(np.float32)
