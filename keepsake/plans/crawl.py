@@ -176,11 +176,11 @@ def _(spark, sf):
     return capture_stream.captured(spark, f"{path}/items").select("id", "capture_id", "kind", "title", "status")
 
 
-@query(
-    "stream_prompts",
-    """select strftime(date_trunc('hour', at_time), '%Y-%m-%dT%H:%M:%S.%fZ') as hour, surface, action, count(*) as n, count(*) filter (where not ok) as failed
-       from prompts group by 1, 2, 3""",
-)
+HOURS = """select strftime(date_trunc('hour', at_time), '%Y-%m-%dT%H:%M:%S.%fZ') as hour, surface, action, count(*) as n, count(*) filter (where not ok) as failed
+       from prompts group by 1, 2, 3"""
+
+
+@query("stream_prompts", HOURS)
 def _(spark, sf):
     path = state_dir(spark, "stream-prompts")
     events = spark.readStream.schema(b.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -189,6 +189,21 @@ def _(spark, sf):
     return prompt_stream.current_counts(spark, f"{path}/counts").withColumn("hour", iso(F.col("hour")))
 
 
+@query("stream_prompts_late", HOURS)
+def _(spark, sf):
+    """The prompt log in three batches at least: the newest calls first, the oldest last."""
+    path = state_dir(spark, "stream-prompts-late")
+    calls = b.calls_of(b.table(spark, sf, "events"), b.documents(spark, sf)).select("id", "at", "surface", "action", "ok")
+    first, last = calls.agg(F.min("at"), F.max("at")).first()
+    third = F.floor(3 * (F.unix_micros("at") - F.unix_micros(F.lit(first))) / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1))
+    parts = [third == 2, third == 1, F.coalesce(third, F.lit(0)) == 0]
+    for part in parts:
+        calls.where(part).write.mode("append").parquet(f"{path}/inbox")
+        stream = spark.readStream.schema(calls.schema).parquet(f"{path}/inbox")
+        _finish(prompt_stream.counts_stream(stream, f"{path}/counts", f"{path}/checkpoint"))
+    return prompt_stream.current_counts(spark, f"{path}/counts").withColumn("hour", iso(F.col("hour")))
+
+
 @query(
     "stream_import",
     """select count(*) filter (where p_partkey % 17 <> 16 and p_partkey <> 0) as imported, 0 as skipped, count(*) as total_seen from part""",

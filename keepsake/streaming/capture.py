@@ -44,11 +44,12 @@ def capture_stream(
     )
 
 
-def drop_recent_retries(requests: DataFrame, within: str = "7 days", at: str = "requested_at") -> DataFrame:
+def drop_recent_retries(requests: DataFrame, within: str = "7 days") -> DataFrame:
     """The bounded variant: retries that arrive within a time span are dropped.
 
-    State is kept for that span only. Requests without an id always pass.
+    State is kept for that span only. The span runs over the time of arrival, so no
+    request is too late, whatever its own stamp. Requests without an id always pass.
     """
-    keyed = requests.where(F.col("capture_id").isNotNull()).withWatermark(at, within)
-    once = keyed.dropDuplicatesWithinWatermark(["capture_id"])
-    return once.unionByName(requests.where(F.col("capture_id").isNull()).withWatermark(at, within))
+    keyed = requests.where(F.col("capture_id").isNotNull()).withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", within)
+    once = keyed.dropDuplicatesWithinWatermark(["capture_id"]).drop("arrived_at")
+    return once.unionByName(requests.where(F.col("capture_id").isNull()))

@@ -49,6 +49,28 @@ def test_hourly_counts_accumulate(spark, tmp_path):
     assert got == {(10, "web"): (3, 1), (11, "api"): (1, 0)}
 
 
+def test_late_calls_count(spark, tmp_path):
+    box, out, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
+    schema = "at timestamp, surface string, action string, ok boolean"
+    for day, ok in (("20", True), ("21", True), ("03", False), ("20", False), ("03", True)):
+        df = spark.createDataFrame([(f"2024-01-{day} 10:05:00", "web", "ask", ok)], "at string, surface string, action string, ok boolean")
+        df.select(F.to_timestamp("at").alias("at"), "surface", "action", "ok").coalesce(1).write.mode("append").parquet(box)
+        _run(ps.counts_stream(spark.readStream.schema(schema).parquet(box), out, mark))
+    got = {r["hour"].day: (r["n"], r["failed"]) for r in ps.current_counts(spark, out).collect()}
+    assert got == {20: (2, 1), 21: (1, 0), 3: (2, 1)}
+
+
+def test_late_requests_pass_the_bounded_dedup(spark, tmp_path):
+    box, out, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
+    for minutes, key in ((60 * 24 * 30, "new"), (60 * 24 * 31, "newer"), (0, "late"), (0, "late")):
+        requests(spark, {"capture_id": key, "minutes": minutes}, {"minutes": minutes}).coalesce(1).write.mode("append").parquet(box)
+        kept = cs.drop_recent_retries(spark.readStream.schema(REQUEST).parquet(box))
+        _run(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start())
+    stored = spark.read.parquet(out)
+    assert sorted((r["capture_id"] for r in stored.collect()), key=str) == [None, None, None, None, "late", "new", "newer"]
+    assert "arrived_at" not in stored.columns
+
+
 def test_imports_count_what_is_known(spark, tmp_path):
     box, out, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
     def add(*items):
