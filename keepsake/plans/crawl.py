@@ -162,6 +162,11 @@ def _finish(q):
         raise q.exception()
 
 
+def _streamed(spark, sf, name, schema):
+    """A table's file, or the part files of its folder. A pattern, because a stream takes a plain path for a folder."""
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}.parquet}}")
+
+
 @query(
     "stream_capture",
     f"""select {SID} as id, capture_id, kind, title, status from (select *, sha256(coalesce(capture_id, 'request:' || seq)) as h from normal)""",
@@ -170,7 +175,7 @@ def _finish(q):
 def _(spark, sf):
     """The capture requests again, this time read as a stream."""
     path = state_dir(spark, "stream-capture")
-    docs = spark.readStream.schema(b.documents(spark, sf).schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = _streamed(spark, sf, "documents", b.documents(spark, sf).schema)
     requests = b.requests_of(docs)
     _finish(capture_stream.capture_stream(requests, b.entries(spark, sf), f"{path}/items", f"{path}/checkpoint"))
     return capture_stream.captured(spark, f"{path}/items").select("id", "capture_id", "kind", "title", "status")
@@ -183,7 +188,7 @@ HOURS = """select strftime(date_trunc('hour', at_time), '%Y-%m-%dT%H:%M:%S.%fZ')
 @query("stream_prompts", HOURS)
 def _(spark, sf):
     path = state_dir(spark, "stream-prompts")
-    events = spark.readStream.schema(b.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = _streamed(spark, sf, "events", b.table(spark, sf, "events").schema)
     calls = b.calls_of(events, b.documents(spark, sf))
     _finish(prompt_stream.counts_stream(calls, f"{path}/counts", f"{path}/checkpoint"))
     return prompt_stream.current_counts(spark, f"{path}/counts").withColumn("hour", iso(F.col("hour")))

@@ -71,6 +71,24 @@ def test_late_requests_pass_the_bounded_dedup(spark, tmp_path):
     assert "arrived_at" not in stored.columns
 
 
+def test_streams_read_tables_in_parts(spark, tmp_path):
+    import os
+
+    import pytest
+
+    import __spark_entry__ as contract
+
+    sf, parts = "/root/testdata/sf0.001", str(tmp_path / "parts")
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    for name in os.listdir(sf):
+        if name.endswith(".parquet"):
+            spark.read.parquet(f"{sf}/{name}").repartition(3).write.parquet(f"{parts}/{name}")
+    for name in ("stream_capture", "stream_prompts"):
+        want, got = (sorted(map(tuple, contract.queries()[name](spark, d).collect()), key=repr) for d in (sf, parts))
+        assert want and got == want
+
+
 def test_imports_count_what_is_known(spark, tmp_path):
     box, out, mark = (str(tmp_path / d) for d in ("in", "out", "mark"))
     def add(*items):
