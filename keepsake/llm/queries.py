@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepsake.llm import decontamination, line_dedup, mixing, near_dedup, neighbours, quality, substrings, tokens, toxicity, warc
+from keepsake.llm import decontamination, fingerprints, line_dedup, mixing, near_dedup, neighbours, quality, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_token_files": tokens.query,
     "op10_mixing": mixing.query,
+    "op12_fingerprints": fingerprints.query,
 }
 ORACLES = {
     "op3_warc": warc.SQL,
