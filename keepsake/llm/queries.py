@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepsake.llm import decontamination, fingerprints, line_dedup, mixing, near_dedup, neighbours, quality, substrings, tokens, toxicity, warc
+from keepsake.llm import codes, decontamination, fingerprints, line_dedup, mixing, near_dedup, neighbours, quality, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,9 +16,11 @@ QUERIES = {
     "op9_token_files": tokens.query,
     "op10_mixing": mixing.query,
     "op12_fingerprints": fingerprints.query,
+    "op13_codes": codes.query,
 }
 ORACLES = {
     "op3_warc": warc.SQL,
     "op5_decontamination": decontamination.SQL,
     "op10_mixing": mixing.SQL,
+    "op13_codes": codes.SQL,
 }
