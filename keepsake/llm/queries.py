@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keepsake.llm import codes, decontamination, fingerprints, line_dedup, mixing, near_dedup, neighbours, quality, substrings, tokens, toxicity, warc
+from keepsake.llm import codes, decontamination, fingerprints, line_dedup, mixing, near_dedup, neighbours, phrases, quality, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_token_files": tokens.query,
     "op10_mixing": mixing.query,
+    "op11_phrases": phrases.query,
     "op12_fingerprints": fingerprints.query,
     "op13_codes": codes.query,
 }
@@ -22,5 +23,6 @@ ORACLES = {
     "op3_warc": warc.SQL,
     "op5_decontamination": decontamination.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_phrases": phrases.SQL,
     "op13_codes": codes.SQL,
 }
