@@ -131,7 +131,7 @@ def shown(marks: str) -> Column:
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
-    """The rows with a bucket number that ascends with doc_id: even stretches between quantiles."""
+    """The rows with a bucket number that ascends with (doc_id, h): even stretches between quantiles of the ids."""
     rows = docs.count()
     points = [i / COARSE for i in range(COARSE + 1)]
     bounds = docs.agg(F.percentile_approx("doc_id", points, 10_000)).first()[0] or [0]
@@ -142,7 +142,10 @@ def _bucketed(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("__coarse", F.greatest(F.size(F.filter(literal(edges), lambda e: e <= F.col("doc_id"))) - 1, F.lit(0)))
     into = F.floor((F.col("doc_id") - F.get(literal(edges), F.col("__coarse"))) / F.get(literal(widths), F.col("__coarse")))
     inside = F.greatest(F.least(into, F.lit(fine - 1)), F.lit(0))
-    return out.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("__coarse") * fine + inside).cast("int")).drop("__coarse")
+    # rows without id come first and go by their hash
+    many = fine * len(edges)
+    spot = F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * many), F.lit(many - 1)) - many
+    return out.withColumn("bucket", F.when(F.col("doc_id").isNull(), spot).otherwise(F.col("__coarse") * fine + inside).cast("int")).drop("__coarse")
 
 
 def follow(docs: DataFrame, lexicon: list[int]) -> DataFrame:
@@ -151,10 +154,10 @@ def follow(docs: DataFrame, lexicon: list[int]) -> DataFrame:
     Neighbouring ids share a bucket; the first document of each is also sent to the bucket before it, so
     every document finds its successor in one sorted pass, and texts are shuffled once.
     """
-    rows = _bucketed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("h", F.xxhash64("text"))
+    rows = _bucketed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")))
     order = [F.col("doc_id").asc_nulls_first(), "h"]
     heads = rows.groupBy("bucket").agg(F.min_by(F.struct("doc_id", "h"), F.struct(F.coalesce("doc_id", F.lit(-(2**63))), "h")).alias("head"))
-    heads = stored(heads, "fingerprint-heads")  # at most MOST_BUCKETS + COARSE rows
+    heads = stored(heads, "fingerprint-heads")  # at most some 2 * MOST_BUCKETS rows
     last = heads.agg(F.max("bucket")).first()[0]
     before = F.lag("bucket").over(W.orderBy("bucket"))
     heads = heads.select(F.coalesce(before, F.lit(last)).alias("before"), before.isNull().cast("int").alias("late"), "head.*")
