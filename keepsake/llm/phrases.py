@@ -40,14 +40,13 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 # Words of one dictionary, and phrases of one trie: some 150 and 40 bytes each.
 WORD_PIECE, TRIE_PIECE = 400_000, 1_000_000
 # Positions of a block, distinct words or pairs a task holds before it passes them on.
-BLOCK, HELD = 1 << 20, 1 << 19
+BLOCK, HELD = 1 << 17, 1 << 20
 STRETCHES = 4096
 
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 # A-Z to lower case, tab to space, the ends of pieces to line feeds.
 _TABLE = bytes(10 if c in _ENDS else 32 if c == 9 else ASCII_LOWER[c] for c in range(256))
-PASS = "kind int, words binary, state binary, prev int, next int, n long"
-BLOCKS, COUNTS, PAIRS = 0, 1, 2
+BLOCKS = "words binary, state binary"
 
 
 def words_of(text: bytes) -> Iterator[bytes]:
@@ -90,43 +89,73 @@ def _numbered(rows: DataFrame, *key: str) -> DataFrame:
     return dealt.withColumn("state", (place + base).cast("int")).drop("__piece")
 
 
-class Pairs:
-    """Pairs of states side by side, counted; passed on when many."""
+class Tally:
+    """Counts of codes, passed on when many."""
 
     def __init__(self):
         self.codes, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
         self.new: list[np.ndarray] = []
+        self.waiting = 0
 
-    def add(self, state: np.ndarray) -> None:
-        left, right = state[:-1].astype(np.int64), state[1:].astype(np.int64)
-        some = (left > 0) & (right > 0)
-        self.new.append((left[some] << 32) | right[some])
-
-    def merge(self) -> None:
-        codes, counts = np.unique(np.concatenate(self.new), return_counts=True) if self.new else (self.codes[:0], self.counts[:0])
-        self.new = []
-        self.codes, at = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
-        # exact: counts stay far below 2**53
-        self.counts = np.bincount(at, np.concatenate([self.counts, counts]), len(self.codes)).astype(np.int64)
+    def add(self, codes: np.ndarray) -> None:
+        self.new.append(codes)
+        self.waiting += len(codes)
 
     def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
-        if last or sum(map(len, self.new)) > 4 * HELD:
-            self.merge()
+        if self.new and (last or self.waiting > HELD):
+            codes, counts = np.unique(np.concatenate(self.new), return_counts=True)
+            self.new, self.waiting = [], 0
+            self.codes, at = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
+            # exact: counts of a task stay far below 2**53
+            self.counts = np.bincount(at, np.concatenate([self.counts, counts]), len(self.codes)).astype(np.int64)
         if len(self.codes) and (last or len(self.codes) > HELD):
-            yield _rows(PAIRS, prev=self.codes >> 32, next=self.codes & 0xFFFFFFFF, n=self.counts)
+            yield pa.RecordBatch.from_arrays([pa.array(self.codes), pa.array(self.counts)], ["code", "n"])
             self.codes, self.counts = self.codes[:0], self.counts[:0]
 
 
-def _rows(kind: int, **columns) -> pa.RecordBatch:
-    """A batch of ``PASS`` with the columns given and nulls elsewhere."""
-    size = len(next(iter(columns.values())))
-    types = {"words": pa.binary(), "state": pa.binary(), "prev": pa.int32(), "next": pa.int32(), "n": pa.int64()}
-    made = [pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), *made], ["kind", *types])
+def _count(blocks: DataFrame, pairs: bool, least: int) -> DataFrame:
+    """prev, next and n: how often states stand side by side, and with next 0 how often each one is accepted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepted, tally = Counter(), Tally()
+        for got in batches:
+            for held in got.column("state"):
+                state = np.frombuffer(held.as_buffer(), np.int32)
+                some = state[state > 0]
+                if len(some):
+                    base = int(some.min())
+                    counts = np.bincount(some - base)
+                    seen = np.flatnonzero(counts)
+                    accepted.update(dict(zip((seen + base).tolist(), counts[seen].tolist())))
+                if pairs:
+                    left = state[:-1].astype(np.int64)
+                    both = (left > 0) & (state[1:] > 0)
+                    tally.add((left[both] << 32) | state[1:][both])
+                    yield from tally.batches()
+                if len(accepted) > HELD:
+                    yield _accepted(accepted)
+        yield _accepted(accepted)
+        yield from tally.batches(last=True)
+
+    counts = blocks.select("state").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    low = F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    return stored(counts.where(F.col("n") >= least).select(F.shiftright("code", 32).cast("int").alias("prev"), low.alias("next"), "n"), "phrase-counts")
+
+
+def _accepted(counts: Counter) -> pa.RecordBatch:
+    codes = np.fromiter(counts.keys(), np.int64, len(counts)) << 32
+    out = pa.RecordBatch.from_arrays([pa.array(codes), pa.array(list(counts.values()), pa.int64())], ["code", "n"])
+    counts.clear()
+    return out
+
+
+def _block(words: np.ndarray, state: np.ndarray | bytes) -> pa.RecordBatch:
+    made = [pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in (words, state)]
+    return pa.RecordBatch.from_arrays(made, ["words", "state"])
 
 
 def _encode(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """Blocks of word numbers and the pairs of frequent words. Beyond one dictionary, texts go through pass by pass."""
+    """Blocks of word numbers. Beyond one dictionary, texts go through pass by pass."""
     spark = texts.sparkSession
     total = words.count()
     pieces = max(1, -(-total // WORD_PIECE))
@@ -139,7 +168,7 @@ def _encode(texts: DataFrame, words: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(known)
         if piece < pieces - 1:
             rows = stored(rows.mapInArrow(_filling(shared), "lang string, text binary, words binary"), "phrase-texts")
-    return stored(rows.mapInArrow(_blocks(shared), PASS), "phrase-blocks")
+    return stored(rows.mapInArrow(_blocks(shared), BLOCKS), "phrase-blocks")
 
 
 def _numbers(known: dict[str, dict[bytes, int]], got: pa.RecordBatch) -> Iterator[tuple[str, pa.Scalar, np.ndarray]]:
@@ -162,26 +191,17 @@ def _filling(shared):
 
 def _blocks(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, held, size = Pairs(), [], 0
-
-        def block() -> pa.RecordBatch:
-            # languages never mix in a phrase: numbers of words belong to one language
-            flat = np.concatenate(held)
-            pairs.add(flat)
-            return _rows(BLOCKS, words=[flat.tobytes()], state=[flat.tobytes()])
-
-        gap = np.zeros(1, np.int32)
+        held, size, gap = [], 0, np.zeros(1, np.int32)
         for got in batches:
+            # numbers of words belong to one language, so languages never mix in a phrase
             for _, _, numbers in _numbers(shared.value, got):
                 held += [numbers, gap]
                 size += len(numbers) + 1
                 if size >= BLOCK:
-                    yield block()
+                    yield _block(flat := np.concatenate(held), flat)
                     held, size = [], 0
-                    yield from pairs.batches()
         if held:
-            yield block()
-        yield from pairs.batches(last=True)
+            yield _block(flat := np.concatenate(held), flat)
 
     return run
 
@@ -294,11 +314,11 @@ def _advanced(blocks: DataFrame, shared, length: int, last: bool) -> DataFrame:
     """One pass: states advance where this trie accepts them. ``last`` tells that no trie of the level follows.
 
     ``state`` has the states of the level before, and after them, once a pass has been made, those of this level.
+    Blocks without a state left cannot grow a phrase and are dropped.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie: Trie = shared.value
-        accepted, pairs = Counter(), Pairs()
         for got in batches:
             for flat, held in zip(got.column("words"), got.column("state")):
                 words, both = np.frombuffer(flat.as_buffer(), np.int32), np.frombuffer(held.as_buffer(), np.int32)
@@ -307,30 +327,17 @@ def _advanced(blocks: DataFrame, shared, length: int, last: bool) -> DataFrame:
                 reach = max(0, len(words) - length + 1)
                 at, to = trie.advance(state[:reach], words[length - 1 :])
                 new[at] = to
-                if len(to):
-                    base = int(to.min())
-                    counts = np.bincount(to - base)
-                    seen = np.flatnonzero(counts)
-                    accepted.update(dict(zip((seen + base).tolist(), counts[seen].tolist())))
                 if not last:
-                    yield _rows(BLOCKS, words=[words.tobytes()], state=[state.tobytes() + new.tobytes()])
+                    yield _block(words, state.tobytes() + new.tobytes())
                 elif new.any():
-                    pairs.add(new)
-                    yield _rows(BLOCKS, words=[words.tobytes()], state=[new.tobytes()])
-                    yield from pairs.batches()
-                if len(accepted) > HELD:
-                    yield _rows(COUNTS, prev=list(accepted), n=list(accepted.values()))
-                    accepted.clear()
-        if accepted:
-            yield _rows(COUNTS, prev=list(accepted), n=list(accepted.values()))
-        yield from pairs.batches(last=True)
+                    yield _block(words, new)
 
-    return stored(blocks.select("words", "state").mapInArrow(run, PASS), "phrase-states")
+    return stored(blocks.mapInArrow(run, BLOCKS), "phrase-states")
 
 
-def _candidates(passed: DataFrame, level: DataFrame, least: int) -> DataFrame:
+def _candidates(counts: DataFrame, level: DataFrame) -> DataFrame:
     """Phrases one word longer whose parts are frequent: state, prev, next, last word, words, and counts of first and last parts."""
-    pairs = passed.where(F.col("kind") == PAIRS).groupBy("prev", "next").agg(F.sum("n").alias("seen")).where(F.col("seen") >= least)
+    pairs = counts.where(F.col("next") > 0).select("prev", "next")
     left = level.select(F.col("state").alias("prev"), "lang", F.col("words").alias("l_words"), F.col("pre").alias("l_pre"), F.col("a").alias("l_a"))
     right = level.select(F.col("state").alias("next"), "last", F.element_at("words", -1).alias("r_word"), F.col("suf").alias("r_suf"), F.col("a").alias("r_a"))
     made = pairs.join(left, "prev").join(right, "next").select(
@@ -356,21 +363,21 @@ def frequent(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tu
     levels: list[DataFrame] = []
     if not before:
         return totals, levels
-    passed = _encode(texts, words)
+    blocks = _encode(texts, words)
+    counts = _count(blocks, longest > 1, least)
     for length in range(2, longest + 1):
-        found = _candidates(passed, level, least)
+        found = _candidates(counts, level)
         n_found = found.count()
         if not n_found:
             break
-        blocks, counts, stretches = passed.where(F.col("kind") == BLOCKS), [], _stretches(found, before)
+        stretches = _stretches(found, before)
         for i, (low, high) in enumerate(stretches):
             shared = texts.sparkSession.sparkContext.broadcast(_trie(found, low, high, digits))
-            passed = _advanced(blocks, shared, length, i == len(stretches) - 1)
+            blocks = _advanced(blocks, shared, length, i == len(stretches) - 1)
             shared.unpersist()
-            blocks = passed.where(F.col("kind") == BLOCKS)
-            counts.append(passed.where(F.col("kind") == COUNTS).select(F.col("prev").alias("state"), "n"))
-        total = reduce(DataFrame.union, counts).groupBy("state").agg(F.sum("n").alias("a"))
-        level = stored(found.join(total, "state"), "phrase-level")
+        counts = _count(blocks, length < longest, least)
+        totals_of = counts.where(F.col("next") == 0).select(F.col("prev").alias("state"), F.col("n").alias("a"))
+        level = stored(found.join(totals_of, "state"), "phrase-level")
         levels.append(level)
         before = n_found
     return totals, levels
