@@ -46,10 +46,9 @@ SALTS = 32
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id, label and the vector as doubles, of one length."""
+    """vec_id, label and the vector, of one length."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    v = F.col("embedding").cast("array<double>")
-    kept = rows.select("vec_id", "label", v.alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", fine))
+    kept = rows.select("vec_id", "label", F.col("embedding").alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", fine))
     common = kept.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return kept.where(F.size("v") == (common["n"] if common else 1))
 
@@ -129,7 +128,8 @@ def _measured(rows: DataFrame, pivots: list[np.ndarray], spans: list[tuple[int,
             column = pa.FixedSizeListArray.from_arrays(pa.array(far.ravel()), far.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*got.columns, column], [*got.schema.names, "pivots"])
 
-    return rows.mapInArrow(run, "vec_id long, label int, v array<double>, pivots array<double>")
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{own}, pivots array<double>")
 
 
 def _assigned(got: pa.RecordBatch, books: list[np.ndarray], pivots: list[np.ndarray], spans: list[tuple[int, int]], width: int):
