@@ -217,6 +217,26 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(words(F.coalesce(text, F.lit(""))), pieces)))
 
 
+def letter_pieces(text: Column) -> Column:
+    """Every three letters in a row, lower-cased; shorter texts have none."""
+    letters = F.split(F.lower(F.coalesce(text, F.lit(""))), "")
+
+    def pieces(c: Column) -> Column:
+        return F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 2, F.lit(0))), lambda a, i: F.concat(a, F.get(c, i + 1), F.get(c, i + 2)))
+
+    return let(letters, pieces)
+
+
+def needle_pieces(term: Column) -> Column:
+    """Pieces that any text with the term in it must hold; none where wildcards leave no three letters in a row.
+
+    An escape in a term makes its runs unsure, so it has none either.
+    """
+    runs = F.split(term, "[%_]")
+    held = F.array_distinct(F.flatten(F.transform(runs, letter_pieces)))
+    return F.when(F.contains(term, F.lit("\\")), F.array().cast("array<string>")).otherwise(held)
+
+
 def jaccard(shared: Column, left: Column, right: Column) -> Column:
     """Set similarity from sizes, in single precision like the score it feeds."""
     return F.coalesce(F.try_divide(shared.cast("double"), left + right - shared), F.lit(0.0)).cast("float")

@@ -6,12 +6,15 @@ scan, so neither item bodies nor notes are ever shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import shelves, text, values
 from keepsake.functions.text import let
-from keepsake.schema import FIELD_WEIGHTS
+from keepsake.functions.english import stems
+from keepsake.schema import FIELD_WEIGHTS, STOP_WORDS
 from keepsake.session import broadcast_if_small, each, stored
 
 
@@ -176,11 +179,13 @@ def _floating(entries: DataFrame, notes: DataFrame, wanted: DataFrame, stop: lis
 # -- queries ---------------------------------------------------------------------
 
 
-def query_clauses(queries: DataFrame) -> DataFrame:
+def query_clauses(queries: DataFrame, english: bool = False) -> DataFrame:
     """Search strings as columns: words, quoted phrases, ``or`` and leading minus.
 
     Result: query_id, terms, and clauses as a list of ``{must, phrases, must_not}``
     whose numbers index ``terms``. A query of no words has no clauses.
+
+    In English mode terms are stems; stop words are left out, and hold a place (-1) in phrases.
     """
     raw = F.regexp_extract_all(F.col("query"), F.lit(r'(-?"[^"]*"|\S+)'), F.lit(1))
     units = queries.select("query_id", raw.alias("raw")).select(
@@ -194,19 +199,21 @@ def query_clauses(queries: DataFrame) -> DataFrame:
             ),
         ).alias("units"),
     )
-    units = units.withColumn("units", F.filter("units", lambda u: F.size(u["words"]) > 0))
-    terms = F.array_distinct(F.flatten(F.transform("units", lambda u: u["words"])))
+    units = _stemmed(units) if english else units
+    said = lambda words: F.filter(words, lambda w: w != "")
+    units = units.withColumn("units", F.filter("units", lambda u: F.size(said(u["words"])) > 0))
+    terms = F.array_distinct(F.flatten(F.transform("units", lambda u: said(u["words"]))))
     q = units.withColumn("terms", terms)
 
     def index(words: Column) -> Column:
-        return F.transform(words, lambda w: (F.array_position("terms", w) - 1).cast("int"))
+        return F.transform(words, lambda w: F.when(w == "", F.lit(-1)).otherwise((F.array_position("terms", w) - 1).cast("int")))
 
     def clause(c: Column) -> Column:
         mine = F.filter("units", lambda u: u["clause"] == c)
         positive = F.filter(mine, lambda u: ~u["negated"])
         return F.struct(
-            F.array_distinct(F.flatten(F.transform(positive, lambda u: index(u["words"])))).alias("must"),
-            F.transform(F.filter(positive, lambda u: F.size(u["words"]) > 1), lambda u: index(u["words"])).alias("phrases"),
+            F.array_distinct(F.flatten(F.transform(positive, lambda u: index(said(u["words"]))))).alias("must"),
+            F.transform(F.filter(positive, lambda u: F.size(said(u["words"])) > 1), lambda u: index(u["words"])).alias("phrases"),
             F.transform(F.filter(mine, lambda u: u["negated"]), lambda u: index(u["words"])).alias("must_not"),
         )
 
@@ -214,17 +221,33 @@ def query_clauses(queries: DataFrame) -> DataFrame:
     return q.select("query_id", "terms", F.transform(numbers, clause).alias("clauses"))
 
 
+def _stemmed(units: DataFrame) -> DataFrame:
+    """The units with each word replaced by its stem, stop words by nothing."""
+    words = F.array_distinct(F.flatten(F.transform("units", lambda u: u["words"])))
+    used = units.select("query_id", F.explode(words).alias("term"))
+    known = stems(used.select("term").distinct())
+    forms = used.join(known, "term").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "stem"))).alias("forms"))
+
+    def one(w: Column) -> Column:
+        return F.when(w.isin(STOP_WORDS), F.lit("")).otherwise(F.try_element_at("forms", w))
+
+    new = F.transform("units", lambda u: u.withField("words", F.transform(u["words"], one)))
+    return units.join(forms, "query_id", "left").select("query_id", new.alias("units"))
+
+
 def _contains_phrase(occ: Column, phrase: Column) -> Column:
     """Whether the words stand next to each other in order."""
 
     def starts(i: Column) -> Column:
         return F.transform(F.filter(occ, lambda o: o["k"] == F.get(phrase, i)), lambda o: o["pos"] - i)
 
-    rest = F.sequence(F.lit(1), F.size(phrase) - 1)
-    common = F.when(
-        F.size(phrase) > 1, F.aggregate(rest, starts(F.lit(0)), lambda acc, i: F.array_intersect(acc, starts(i)))
-    ).otherwise(starts(F.lit(0)))
-    return F.size(common) > 0
+    def common(places: Column) -> Column:
+        rest = F.slice(places, F.lit(2), F.size(places))
+        return F.aggregate(rest, starts(F.get(places, F.lit(0))), lambda acc, i: F.array_intersect(acc, starts(i)))
+
+    # a stop word takes a place but is not looked for
+    places = F.filter(F.transform(phrase, lambda k, i: F.when(k >= 0, i)), lambda i: i.isNotNull())
+    return F.size(let(places, common)) > 0
 
 
 def _satisfied(occ: Column, clauses: Column) -> Column:
@@ -326,6 +349,8 @@ def cover_density(occ: Column, clauses: Column) -> Column:
 
 # A thread of more characters than this is matched in blocks of positions.
 THREAD_CHARS, BLOCK = 16_000_000, 65_536
+# The same for stored occurrences: matched words of one item.
+THREAD_WORDS = 2_000_000
 
 
 def long_threads(notes: DataFrame) -> DataFrame:
@@ -340,38 +365,81 @@ def match(
     notes: DataFrame,
     stopwords: list[str] | None = None,
     postings: DataFrame | None = None,
+    english: bool = False,
 ) -> DataFrame:
     """(query_id, id, rank) of every item that satisfies a query's words.
 
     A query part of excluded words only is met by every item without them, at
     rank zero.
 
-    With ``postings``, as ``write_postings`` returns them, nothing is tokenised
-    and only the folders of the wanted words are read. A small
+    With ``postings``, as ``write_postings`` returns them, nothing is tokenised, but all of them are read;
+    ``search_index`` opens those of the wanted words only. A small
     query table is broadcast, so occurrences are picked where they are found.
+
+    In English mode words match by stem: the store's distinct words are stemmed, and those that share a stem
+    with a query are looked for.
     """
-    q = query_clauses(queries)
+    stop = (STOP_WORDS if english else []) if stopwords is None else stopwords
+    if postings is not None:
+        return match_stored(queries, entries, lambda wanted: postings.join(wanted.select("*", _bucket()), ["bucket", "term"]).drop("bucket"), english)
+    q = query_clauses(queries, english)
     wanted = q.select("query_id", F.posexplode("terms").alias("k", "term"))
-    stop = stopwords or []
-    if postings is None:
-        found = _floating(entries, notes, wanted, stop)
+    if english:
+        wanted = broadcast_if_small(stored(forms_of(wanted, vocabulary(entries, notes)), "query-forms"))
+    found = _floating(entries, notes, wanted, stop)
+    long = long_threads(notes)
+    if long.isEmpty():
+        hits = _match_rows(found, q)
+    else:
+        long = broadcast_if_small(stored(long, "long-threads"))
+        theirs = lambda df, key: df.join(long.withColumnRenamed("entry_id", key), key, "left_semi")
+        of_long = occurrences(theirs(entries, "id"), theirs(notes, "entry_id"), wanted, stop)
+        hits = _match_rows(found.join(long, "entry_id", "left_anti"), q).unionByName(_match_blocks(of_long, q))
+    return _with_excluders(hits, q, entries, lambda ids: occurrences(entries, notes, wanted.join(ids, "query_id", "left_semi"), stop))
+
+
+def match_stored(queries: DataFrame, entries: DataFrame, postings_of: Callable[[DataFrame], DataFrame], english: bool = False) -> DataFrame:
+    """``match`` over stored occurrences: ``postings_of`` gives those of wanted words (query_id, k, term)."""
+    q = query_clauses(queries, english)
+    wanted = q.select("query_id", F.posexplode("terms").alias("k", "term"))
+    found = stored(postings_of(wanted), "matched-words")
+    sizes = found.groupBy("query_id", "entry_id").agg(F.count("*").alias("n"))
+    long = sizes.where(F.col("n") > THREAD_WORDS).select("entry_id").distinct()
+    standing = found.withColumn("in_notes", F.lit(False)).withColumn("end_of_body", F.lit(None).cast("bigint"))
+    if long.isEmpty():
+        hits = _match_rows(standing, q)
     else:
-        by_word = postings.join(wanted.select("*", _bucket()), ["bucket", "term"]).drop("bucket")
-        found = _standing(by_word)
-    hits = _match_found(found, q, wanted, entries, notes, stop, postings)
+        long = broadcast_if_small(stored(long, "long-threads"))
+        short, of_long = standing.join(long, "entry_id", "left_anti"), found.join(long, "entry_id", "left_semi")
+        hits = _match_rows(short, q).unionByName(_match_blocks(of_long, q))
+    return _with_excluders(hits, q, entries, lambda ids: found.join(ids, "query_id", "left_semi"))
+
+
+def _with_excluders(hits: DataFrame, q: DataFrame, entries: DataFrame, found_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The hits and, for queries with a part of excluded words only, all items without those."""
     bare = q.where(F.exists("clauses", _only_excludes))
     if bare.isEmpty():
         return hits
-    terms = bare.select("query_id", F.posexplode("terms").alias("k", "term"))
-    if postings is None:
-        theirs = occurrences(entries, notes, terms, stop)
-    else:
-        theirs = postings.join(terms.select("*", _bucket()), ["bucket", "term"])
     free = entries.select("id").join(broadcast_if_small(bare.select("query_id")))
-    free = free.join(_barred(theirs, bare), ["query_id", "id"], "left_anti").join(hits, ["query_id", "id"], "left_anti")
+    barred = _barred(found_of(bare.select("query_id")), bare)
+    free = free.join(barred, ["query_id", "id"], "left_anti").join(hits, ["query_id", "id"], "left_anti")
     return hits.unionByName(free.withColumn("rank", F.lit(0.0)))
 
 
+def vocabulary(entries: DataFrame, notes: DataFrame) -> DataFrame:
+    """The distinct words of the store."""
+    fields = [F.coalesce("title", F.lit("")), F.array_join(shelves.tag_list(F.col("tags")), " "), F.coalesce("body", F.lit("")), values.values_text(F.col("data"))]
+    own = entries.select(F.array_distinct(text.words(F.concat_ws(" ", *fields))).alias("t"))
+    said = notes.select(F.array_distinct(text.words(F.col("body"))).alias("t"))
+    return each(own.unionByName(said), F.col("t"), "term").distinct()
+
+
+def forms_of(wanted: DataFrame, words: DataFrame) -> DataFrame:
+    """``wanted`` (term, …), each stem replaced by the words that have it."""
+    # stored: a join on stems would push its null test down through every stage of the stemmer
+    return stored(stems(words), "stems").join(wanted.withColumnRenamed("term", "stem"), "stem").drop("stem")
+
+
 def _only_excludes(clause: Column) -> Column:
     return (F.size(clause["must"]) == 0) & (F.size(clause["must_not"]) > 0)
 
@@ -388,7 +456,8 @@ def _barred(found: DataFrame, bare: DataFrame) -> DataFrame:
 
     b = bare.select("query_id", F.transform(F.filter("clauses", _only_excludes), lambda c: c["must_not"]).alias("out"))
     units = b.select("query_id", F.explode(F.array_distinct(F.flatten("out"))).alias("unit"))
-    units = units.select("query_id", name(F.col("unit")).alias("u"), F.size("unit").alias("len"), F.posexplode("unit").alias("i", "k"))
+    looked = F.size(F.filter("unit", lambda k: k >= 0))
+    units = units.select("query_id", name(F.col("unit")).alias("u"), looked.alias("len"), F.posexplode("unit").alias("i", "k"))
     present = (
         found.join(units, ["query_id", "k"])
         .groupBy("query_id", "entry_id", "u", "len", (F.col("pos") - F.col("i")).alias("start"))
@@ -401,26 +470,6 @@ def _barred(found: DataFrame, bare: DataFrame) -> DataFrame:
     return present.join(b, "query_id").where(holds).select("query_id", F.col("entry_id").alias("id"))
 
 
-def _match_found(
-    found: DataFrame, q: DataFrame, wanted: DataFrame, entries: DataFrame, notes: DataFrame, stop: list[str], postings: DataFrame | None
-) -> DataFrame:
-    long = long_threads(notes)
-    if long.isEmpty():
-        return _match_rows(found, q)
-    long = broadcast_if_small(stored(long, "long-threads"))
-    theirs = lambda df, key: df.join(long.withColumnRenamed("entry_id", key), key, "left_semi")
-    if postings is None:
-        of_long = occurrences(theirs(entries, "id"), theirs(notes, "entry_id"), wanted, stop)
-    else:
-        of_long = theirs(found, "entry_id")
-    return _match_rows(found.join(long, "entry_id", "left_anti"), q).unionByName(_match_blocks(of_long, q))
-
-
-def _standing(found: DataFrame) -> DataFrame:
-    """Occurrences whose positions are final."""
-    return found.withColumn("in_notes", F.lit(False)).withColumn("end_of_body", F.lit(None).cast("bigint"))
-
-
 def _match_rows(found: DataFrame, q: DataFrame) -> DataFrame:
     """Items of ordinary length: the matched words of one item meet in one row."""
     gathered = found.groupBy("query_id", "entry_id").agg(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keepsake.operators.filters import EntryFilter
 from keepsake.operators.nearest import vector_search
 from keepsake.operators.recall import text_search
+from keepsake.operators.search_index import SearchIndex
 from keepsake.operators.views import by_ids
 from keepsake.schema import RRF_K
 
@@ -55,13 +56,13 @@ def fuse(text_hits: DataFrame, vector_hits: DataFrame, entries: DataFrame, filte
 
 def hybrid_search(
     queries: DataFrame, entries: DataFrame, notes: DataFrame, vectors: DataFrame, provider: str,
-    filters: EntryFilter = EntryFilter(), postings: DataFrame | None = None, **cutoffs,
+    filters: EntryFilter = EntryFilter(), postings: DataFrame | None = None, index: SearchIndex | None = None, **cutoffs,
 ) -> DataFrame:
     """Recall for queries with text and vector: query_id, query, provider, vec.
 
     A blank query is a listing, so its vector is not looked at.
     """
-    text_hits = text_search(queries.select("query_id", "query"), entries, notes, filters, postings=postings)
+    text_hits = text_search(queries.select("query_id", "query"), entries, notes, filters, postings=postings, index=index)
     asked = queries.where(F.trim("query") != "").where(F.col("vec").isNotNull())
     vector_hits = vector_search(asked, vectors, entries, provider, **cutoffs)
     return fuse(text_hits, vector_hits, entries, filters)

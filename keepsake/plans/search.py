@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import text
 from keepsake.operators import fulltext, recall
+from keepsake.operators.search_index import SearchIndex
 from keepsake.operators.filters import EntryFilter
 from keepsake.plans import oracle_text as o
+from keepsake.plans.oracle_stem import STEMS, STOPS
+from keepsake.plans.oracle_tables import TABLES
 from keepsake.plans.registry import query
-from keepsake.session import broadcast_if_small, spread
+from keepsake.session import broadcast_if_small, spread, state_dir
 from keepsake.sources import bindings as b
 
 WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -127,6 +130,81 @@ def _(spark, sf):
     return _ranks(spark, sf, BOOLEAN).select("query_id", "id")
 
 
+def _index(spark, sf, english=False):
+    path = state_dir(spark, "search-index")
+    return SearchIndex.build(spread(b.entries(spark, sf)), spread(b.notes(spark, sf)), path, english)
+
+
+@query("fts_indexed", "select query_id, entry_id as id, round(rank, 6) as rank from ranked", **_with_queries(THREE))
+def _(spark, sf):
+    """The three-word ranks again, from an index that is opened at those words only."""
+    q = broadcast_if_small(b.typed_queries(spark, THREE))
+    return _index(spark, sf).match(q, b.entries(spark, sf)).withColumn("rank", F.round("rank", 6))
+
+
+ENGLISH = [(1, "thanedbles"), (2, "the of"), (3, "inorans hehely"), (4, "the esndas or reedes -of"), (5, '"rewhing the hehely"'), (6, "ering -\"and rean\"")]
+ENGLISH_TABLES = {
+    **STEMS,
+    "vocabulary": "select distinct term from postings union select unnest(['thanedbles', 'inorans', 'hehely', 'esndas', 'reedes', 'rewhing', 'ering', 'rean'])",
+    "stop": f"select unnest({STOPS}) as term",
+    "has": "select p.entry_id, s.stem, p.pos from postings p join stems s on s.term = p.term where p.term not in (select term from stop)",
+    "of_word": "select w.word, h.entry_id, h.pos from (select s.term as word, s.stem from stems s) w join has h on h.stem = w.stem",
+}
+
+
+@query(
+    "fts_english",
+    """select 1 as query_id, entry_id as id from (select distinct entry_id from of_word where word = 'thanedbles')
+       union all select 3, entry_id from (select distinct entry_id from of_word where word = 'inorans' intersect select entry_id from of_word where word = 'hehely')
+       union all select 4, entry_id from (select entry_id from of_word where word = 'esndas' union select entry_id from of_word where word = 'reedes')
+       union all select distinct 5, x.entry_id from of_word x join of_word y on x.entry_id = y.entry_id and y.pos = x.pos + 2 where x.word = 'rewhing' and y.word = 'hehely'
+       union all select 6, entry_id from (select distinct entry_id from of_word where word = 'ering'
+         except select entry_id from of_word where word = 'rean')""",
+    **ENGLISH_TABLES,
+)
+def _(spark, sf):
+    """Words match by stem, and stop words only hold their places."""
+    q = broadcast_if_small(b.typed_queries(spark, ENGLISH))
+    return fulltext.match(q, spread(b.entries(spark, sf)), spread(b.notes(spark, sf)), english=True).select("query_id", "id")
+
+
+def _number(c):
+    return F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
+
+
+def _later(entries, notes):
+    """The store some edits later: items renamed, extended, gone and new; notes gone and new."""
+    n = _number("id")
+    edited = entries.withColumn("title", F.when(n % 13 == 2, F.concat(F.lit("Thanedble "), "title")).otherwise(F.col("title")))
+    edited = edited.withColumn("body", F.when(n % 13 == 4, F.concat("body", F.lit(" the rewh in la"))).otherwise(F.col("body")))
+    new = entries.where(n % 50 == 7).withColumn("id", F.concat(F.lit("f"), F.substring("id", 2, 35)))
+    said = entries.where(n % 23 == 1).select(
+        F.concat(F.lit("e"), F.substring("id", 2, 35)).alias("id"), F.col("id").alias("entry_id"), F.lit("and esnda of the hehely").alias("body"),
+        F.col("updated_at").alias("created_at"), F.lit("me").alias("source"),
+    )
+    return edited.where(n % 17 != 5).unionByName(new), notes.where(_number("id") % 11 != 3).unionByName(said)
+
+
+LATER = {
+    "entries_old": TABLES["entries"],
+    "entries": """select * replace (case when doc_id % 13 = 2 then 'Thanedble ' || title else title end as title,
+        case when doc_id % 13 = 4 then body || ' the rewh in la' else body end as body) from entries_old where doc_id % 17 <> 5
+      union all select * replace ('f' || substring(id, 2) as id) from entries_old where doc_id % 50 = 7""",
+    "notes_old": TABLES["notes"],
+    "notes": """select id, entry_id, body, created_at, source from notes_old where cast('0x' || substring(id, 1, 8) as bigint) % 11 <> 3
+      union all select 'e' || substring(id, 2), id, 'and esnda of the hehely', updated_at, 'me' from entries_old where doc_id % 23 = 1""",
+}
+
+
+@query("fts_refresh", "select query_id, entry_id as id, round(rank, 6) as rank from ranked", **{**_with_queries(THREE), **LATER})
+def _(spark, sf):
+    """An index that followed the edits finds what one built anew would."""
+    index = _index(spark, sf)
+    e, n = _later(spread(b.entries(spark, sf)), spread(b.notes(spark, sf)))
+    q = broadcast_if_small(b.typed_queries(spark, THREE))
+    return index.refresh(e, n).match(q, e).withColumn("rank", F.round("rank", 6))
+
+
 TITLE_G = {"title_g": f"select id, title, {trigrams('title')} as g from entries", "asked_g": f"select query_id, query, {trigrams('query')} as g from asked"}
 
 
@@ -179,6 +257,19 @@ def _(spark, sf):
     return hits.withColumn("position", F.col("position").cast("bigint"))
 
 
+@query(
+    "text_search_indexed",
+    """select query_id, id, score, position from (select *, row_number() over (partition by query_id order by score desc, at_time desc, id) as position
+         from scored) where position <= 25""",
+    **scored(),
+)
+def _(spark, sf):
+    """Recall from the stored index: words, fragments and title trigrams."""
+    q = b.recall_queries(spark).where(F.trim("query") != "")
+    hits = recall.text_search(q, spread(b.entries(spark, sf)), b.notes(spark, sf), index=_index(spark, sf))
+    return hits.withColumn("position", F.col("position").cast("bigint"))
+
+
 @query(
     "text_search_plain",
     """select query_id, id, score, position from (select *, row_number() over (partition by query_id order by score desc, at_time desc, id) as position
