@@ -8,10 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keepsake.session import stored
+
 
 def entry_links(links: DataFrame, entries: DataFrame) -> DataFrame:
-    """Both ends' view of every link: (entry_id, rel, direction, neighbour…)."""
-    far = entries.select(F.col("id").alias("far"), "kind", "title", "status")
+    """Both ends' view of every link: (entry_id, rel, direction, neighbour…).
+
+    Items that are linked are picked first and written with their titles, so that whatever a title is computed from is
+    read once per item, not once per link.
+    """
+    ends = links.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    far = entries.select("id", "kind", "title", "status").join(ends, "id", "left_semi")
+    far = stored(far, "linked-items").withColumnRenamed("id", "far")
 
     def side(mine: str, other: str, label: str) -> Column:
         return F.struct(F.col(mine).alias("entry_id"), F.lit(label).alias("direction"), F.col(other).alias("far"))

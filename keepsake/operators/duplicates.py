@@ -16,16 +16,18 @@ HEAD = 64
 
 
 def _ordered_grams(titles: DataFrame) -> DataFrame:
-    """Each title's trigrams, rarest first, and how many there are."""
-    grams = titles.withColumn("g", text.trigrams(F.col("title")))
+    """(tid, kind, asked, at, n, o): each title's trigrams as numbers, rarest first, and how many there are.
+
+    From here on titles are numbers, too: no text travels with a trigram.
+    """
+    grams = stored(
+        titles.select("tid", "kind", "asked", "at", F.transform(text.trigrams(F.col("title")), lambda t: F.xxhash64(t)).alias("g")), "title-trigrams"
+    )
     # how often each trigram occurs among titles; a small table
     freq = each(grams, F.col("g"), "t").groupBy("t").agg(F.count("*").alias("df"))
-    return (
-        each(grams, F.col("g"), "t", "kind", "title", "asked", "at", F.size("g").alias("n"))
-        .join(freq, "t")
-        .groupBy("kind", "title", "asked", "at", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-        .withColumn("o", F.transform("o", lambda x: x["t"]))
+    placed = each(grams, F.col("g"), "t", "tid").join(freq, "t").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    return grams.select("tid", "kind", "asked", "at", F.size("g").alias("n")).join(
+        placed.select("tid", F.transform("o", lambda x: x["t"]).alias("o")), "tid"
     )
 
 
@@ -33,28 +35,24 @@ def _prefixes(titles: DataFrame, slack: float) -> DataFrame:
     """One row per trigram of a title's prefix, with its place in the order."""
     keep = (F.col("n") - F.ceil(F.col("n") * slack) + 1).cast("int")
     head = F.transform(F.slice("o", F.lit(1), keep), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    return each(titles, head, "h", "kind", "title", "at", "n", "o").select("kind", "title", "at", "n", "o", "h.t", "h.i")
+    return each(titles, head, "h", "kind", "tid", "at", "n").select("kind", "tid", "at", "n", "h.t", "h.i")
 
 
-def _compare(left: DataFrame, right: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """(kind, title, other, at): pairs above the threshold among those that share a prefix trigram.
+def _compare(left: DataFrame, right: DataFrame, grams: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """(tid, other, at): pairs above the threshold among those that share a prefix trigram.
 
-    Sizes and places in the order settle most pairs before any set is compared;
-    each pair counts under the first trigram it shares.
+    Sizes and places in the order settle most pairs; for the rest each pair fetches its two sets once, by number.
     """
-    r = right.select(
-        "kind", "t", F.col("title").alias("other"), "at", F.col("n").alias("m"), F.col("o").alias("p"), F.col("i").alias("j")
-    )
+    r = right.select("kind", "t", F.col("tid").alias("other"), "at", F.col("n").alias("m"), F.col("i").alias("j"))
     sized = (F.col("m") >= F.col("n") * slack) & (F.col("n") >= F.col("m") * slack)
     needed = (F.col("n") + F.col("m")) * (slack / (1 + slack))
     reachable = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed
-
-    def similar(common: Column) -> Column:
-        score = text.jaccard(F.size(common), F.col("n"), F.col("m")).cast("double")
-        return (F.get(common, F.lit(0)) == F.col("t")) & (score > F.lit(threshold))
-
-    pairs = left.drop("at").join(r, ["kind", "t"]).where((F.col("title") != F.col("other")) & sized & reachable)
-    return pairs.where(text.let(F.array_intersect("o", "p"), similar)).select("kind", "title", "other", "at")
+    met = left.drop("at").join(r, ["kind", "t"]).where((F.col("tid") != F.col("other")) & sized & reachable)
+    pairs = met.select("tid", "other", "at", "n", "m").distinct()
+    sets = grams.select("tid", "o")
+    held = pairs.join(sets, "tid").join(sets.select(F.col("tid").alias("other"), F.col("o").alias("p")), "other")
+    score = text.jaccard(F.size(F.array_intersect("o", "p")), F.col("n"), F.col("m")).cast("double")
+    return held.where(score > F.lit(threshold)).select("tid", "other", "at")
 
 
 def similar_titles(titles: DataFrame, threshold: float = FUZZY_DUPLICATE, enough: int = SHOWN + 1) -> DataFrame:
@@ -71,26 +69,23 @@ def similar_titles(titles: DataFrame, threshold: float = FUZZY_DUPLICATE, enough
     were cut; only what is left meets the whole lists.
     """
     slack = threshold - 1e-6
-    ordered = stored(_ordered_grams(titles), "title-grams")
+    named = stored(titles.withColumn("tid", F.monotonically_increasing_id()), "title-numbers")
+    ordered = stored(_ordered_grams(named), "title-grams")
     left = _prefixes(ordered.where("asked"), slack)
     right = _prefixes(ordered.where(F.col("at").isNotNull()), slack)
-    newest = Window.partitionBy("kind", "t").orderBy(F.desc("at"), "title")
-    heads = right.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= HEAD).drop("rank")
-    seen = stored(_compare(left, heads, threshold, slack), "title-pairs")
+    newest = Window.partitionBy("kind", "t").orderBy(F.desc("at"), "tid")
+    heads = stored(right.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= HEAD).drop("rank"), "title-heads")
+    seen = stored(_compare(left, heads, ordered, threshold, slack), "title-pairs")
 
     cuts = heads.groupBy("kind", "t").agg(F.count("*").alias("c"), F.min("at").alias("edge")).where(F.col("c") == HEAD)
-    cut = left.select("kind", "title", "t").join(cuts, ["kind", "t"]).groupBy("kind", "title").agg(F.max("edge").alias("edge"))
-    done = (
-        seen.join(cut, ["kind", "title"])
-        .where(F.col("at") > F.col("edge"))
-        .groupBy("kind", "title")
-        .agg(F.count("*").alias("c"))
-        .where(F.col("c") >= enough)
-    )
-    unsure = stored(cut.join(done, ["kind", "title"], "left_anti").select("kind", "title"), "title-rest")
-    settled = seen.join(unsure, ["kind", "title"], "left_anti")
-    rest = _compare(left.join(unsure, ["kind", "title"], "left_semi"), right, threshold, slack)
-    return settled.unionByName(rest).select("kind", "title", "other")
+    cut = left.select("kind", "tid", "t").join(cuts, ["kind", "t"]).groupBy("tid").agg(F.max("edge").alias("edge"))
+    done = seen.join(cut, "tid").where(F.col("at") > F.col("edge")).groupBy("tid").agg(F.count("*").alias("c")).where(F.col("c") >= enough)
+    unsure = stored(cut.join(done, "tid", "left_anti").select("tid"), "title-rest")
+    settled = seen.join(unsure, "tid", "left_anti")
+    rest = _compare(left.join(unsure, "tid", "left_semi"), right, ordered, threshold, slack)
+    both = settled.unionByName(rest).select("tid", "other")
+    other = named.select(F.col("tid").alias("other_id"), F.col("title").alias("other"))
+    return both.withColumnRenamed("other", "other_id").join(named.select("tid", "kind", "title"), "tid").join(other, "other_id").select("kind", "title", "other")
 
 
 def find_duplicates(probes: DataFrame, entries: DataFrame, fuzzy: bool = True) -> DataFrame:

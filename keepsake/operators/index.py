@@ -77,6 +77,11 @@ def pending(entries: DataFrame, vectors: DataFrame, provider: str) -> DataFrame:
     return coverage(entries, vectors).where(due).drop("held_by", "source_updated_at")
 
 
+def next_pending(entries: DataFrame, vectors: DataFrame, provider: str, limit: int) -> DataFrame:
+    """The ``limit`` pending items edited last, the newest first: what one round of embedding takes on."""
+    return pending(entries, vectors, provider).orderBy(F.desc("updated_at"), "id").limit(limit)
+
+
 def status(entries: DataFrame, vectors: DataFrame, provider: str, configured: str | None = None) -> DataFrame:
     """One pass over the index: held, stale, foreign and whether it may be searched.
 

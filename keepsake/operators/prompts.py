@@ -9,6 +9,8 @@ from keepsake.functions import shelves
 from keepsake.schema import CAPTURE_ACTIONS
 
 INPUT_CHARS, ERROR_CHARS = 8000, 500
+# A link with more text than this around it came with a reason.
+REASON_CHARS = 25
 
 
 def log_prompts(calls: DataFrame, entries: DataFrame) -> DataFrame:
@@ -74,33 +76,43 @@ def lengths(prompts: DataFrame) -> DataFrame:
     )
 
 
-def _habit_counters() -> dict[str, Column]:
-    """Conditions counted over capture-type prompts."""
+HABITS = ["captures", "with_url", "url_with_reason", "bare_url", "with_hashtags", "multi_entry"]
+
+
+def _flagged(prompts: DataFrame) -> DataFrame:
+    """(hour, one flag per habit): each text is looked through once per pattern, and only texts of captures.
+
+    A prompt without a link has no remainder to measure, so links are taken out of those that have one.
+    """
     capture = F.col("action").isin(CAPTURE_ACTIONS) & F.col("input").isNotNull()
-    has_url = capture & F.col("input").rlike("(?i)https?://")
-    residue = F.length(F.regexp_replace("input", r"https?://\S+", ""))
-    return {
-        "captures": capture,
-        "with_url": has_url,
-        "url_with_reason": has_url & (residue > 25),
-        "bare_url": has_url & (residue <= 25),
-        "with_hashtags": capture & F.col("input").rlike(r"(^|\s)#[\p{L}\p{N}]"),
-        "multi_entry": capture & (F.size("entry_ids") > 1),
-    }
+    typed = F.when(capture, F.col("input"))
+    seen = prompts.select(
+        F.hour("at").alias("hour"),
+        capture.alias("captures"),
+        (capture & (F.size("entry_ids") > 1)).alias("multi_entry"),
+        # one array, so that a flag used twice is not worked out twice
+        F.array(
+            F.contains(F.lower(typed), F.lit("http://")) | F.contains(F.lower(typed), F.lit("https://")),
+            typed.rlike(r"(^|\s)#[\p{L}\p{N}]"),
+            F.length(F.regexp_replace(typed, r"https?://\S+", "")) > REASON_CHARS,
+        ).alias("f"),
+    )
+    flag = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(False))
+    return seen.select(
+        "hour", "captures", flag(0).alias("with_url"), (flag(0) & flag(2)).alias("url_with_reason"),
+        (flag(0) & ~flag(2)).alias("bare_url"), flag(1).alias("with_hashtags"), "multi_entry",
+    )
 
 
 def habits(prompts: DataFrame) -> DataFrame:
-    return prompts.agg(*[F.count_if(c).alias(name) for name, c in _habit_counters().items()])
+    return _flagged(prompts).agg(*[F.count_if(name).alias(name) for name in HABITS])
 
 
 def rates(prompts: DataFrame) -> DataFrame:
     """Habits as whole percentages, and the busiest hour, in one pass."""
-    counters = _habit_counters()
-    hourly = prompts.groupBy(F.hour("at").alias("hour")).agg(
-        F.count("*").alias("n"), *[F.count_if(c).alias(name) for name, c in counters.items()]
-    )
+    hourly = _flagged(prompts).groupBy("hour").agg(F.count("*").alias("n"), *[F.count_if(name).alias(name) for name in HABITS])
     whole = hourly.agg(
-        *[F.sum(name).alias(name) for name in counters],
+        *[F.sum(name).alias(name) for name in HABITS],
         F.max_by("hour", F.struct(F.col("n"), -F.col("hour"))).alias("busiest_hour"),
         F.max("n").alias("busiest_n"),
     )

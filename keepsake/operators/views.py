@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import shelves, text
 from keepsake.operators.filters import EntryFilter, engaged, happened_at, live, page_size, still_open
 from keepsake.schema import LIST_MAX, PROMPTS_MAX, QUEUE_MAX, UNTOUCHED_STATUSES
+from keepsake.session import each
 
 
 def _top(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
@@ -25,8 +26,11 @@ def by_ids(entries: DataFrame, ids: DataFrame, filters: EntryFilter = EntryFilte
 
 
 def due(entries: DataFrame, as_of: Column, within_days: int = 0, limit: int = 50) -> DataFrame:
-    horizon = as_of + F.make_dt_interval(F.lit(max(0, within_days)))
-    return _top(entries.where(live() & (F.col("remind_at") <= horizon)), [F.col("remind_at").asc()], page_size(limit))
+    return _top(entries.where(live() & is_due(as_of, within_days)), [F.col("remind_at").asc()], page_size(limit))
+
+
+def is_due(as_of: Column, within_days: int) -> Column:
+    return F.col("remind_at") <= as_of + F.make_dt_interval(F.lit(max(0, within_days)))
 
 
 def open_items(entries: DataFrame, kind: str, limit: int = 50) -> DataFrame:
@@ -72,31 +76,24 @@ def recent_prompts(prompts: DataFrame, limit: int = 50, surface: str | None = No
 def briefing(entries: DataFrame, as_of: Column) -> DataFrame:
     """The orientation digest: each section's top rows, labelled and ranked.
 
-    Sections hold at most ten rows, so ranking them costs nothing; the order key
-    of each section becomes its rank.
+    One scan: an item is offered to every section that takes it, with that section's order as one
+    ascending number, and a section keeps its first rows while the store is read.
     """
-    from pyspark.sql import Window
-
+    recent = -F.unix_micros(F.greatest(F.col("updated_at"), happened_at()))
+    newest = -F.unix_micros(happened_at())
     sections = [
-        ("due", due(entries, as_of, 0, 10), [F.col("remind_at").asc()]),
-        ("recent", recently_engaged(entries, 10), [F.greatest(F.col("updated_at"), happened_at()).desc()]),
-        ("watchlist", open_items(entries, "movie", 8), [happened_at().desc()]),
-        ("open_tasks", open_items(entries, "task", 10), [happened_at().desc()]),
-        ("recent_people", list_entries(entries, EntryFilter(kind="person", limit=5)), [happened_at().desc()]),
-        ("collected", untouched_imports(entries, 6), [happened_at().desc()]),
+        ("due", 10, is_due(as_of, 0), F.unix_micros("remind_at")),
+        ("recent", 10, engaged(), recent),
+        ("watchlist", 8, (F.col("kind") == "movie") & still_open(), newest),
+        ("open_tasks", 10, (F.col("kind") == "task") & still_open(), newest),
+        ("recent_people", 5, F.col("kind") == "person", newest),
+        ("collected", 6, F.col("status").isin(UNTOUCHED_STATUSES), newest),
     ]
-    parts = [
-        rows.select(
-            F.lit(name).alias("section"),
-            F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order, F.col("id"))).alias("position"),
-            "id",
-            "kind",
-            "title",
-            "status",
-        )
-        for name, rows, order in sections
+    places = [
+        F.when(taken, F.struct(F.lit(name).alias("section"), F.lit(size).alias("size"), order.alias("key"))) for name, size, taken, order in sections
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    offered = each(entries.where(live()), F.filter(F.array(*places), lambda p: p.isNotNull()), "s", "id", "kind", "title", "status")
+    first = Window.partitionBy("section").orderBy("key", "id")
+    ranked = offered.select("s.*", "id", "kind", "title", "status").withColumn("position", F.row_number().over(first))
+    kept = ranked.where(F.col("position") <= max(size for _, size, _, _ in sections)).where(F.col("position") <= F.col("size"))
+    return kept.select("section", "position", "id", "kind", "title", "status")

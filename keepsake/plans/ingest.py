@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions import text, values
@@ -276,17 +279,17 @@ def _new_notes(spark, sf):
     return b.documents(spark, sf).select(
         b.make_id(d + 1000000).alias("id"),
         b.make_id((d * 3) % n).alias("entry_id"),
-        F.when(d % 4 == 0, "  \n ").otherwise(F.concat(F.lit(" \n"), "source", F.lit("  "))).alias("body"),
+        F.when(d % 4 == 0, "  \n ").otherwise(F.concat(F.lit(" \n"), "text", F.lit("  "))).alias("body"),
         b.as_of().alias("created_at"),
         F.when(d % 3 == 0, F.lit(" ")).when(d % 3 == 1, F.col("lang")).alias("source"),
     )
 
 
-NEW_NOTES = f"""
+NEW_NOTES = rf"""
 select concat(lpad(lower(hex(doc_id + 1000000)), 8, '0'), '-0000-4000-8000-000000000000') as id,
   concat(lpad(lower(hex(cast((doc_id * 3) % (select count(*) from documents) as bigint))), 8, '0'), '-0000-4000-8000-000000000000') as entry_id,
-  source as body, {NOW} as created_at, case when doc_id % 3 = 1 then lang else 'me' end as source
-from documents where doc_id % 4 <> 0"""
+  {o.strip('text')} as body, {NOW} as created_at, case when doc_id % 3 = 1 then lang else 'me' end as source
+from documents where doc_id % 4 <> 0 and {o.strip_null('text')} is not null"""
 
 
 @query("add_notes", "select id, entry_id, body, source from notes union all select id, entry_id, body, source from new_notes", new_notes=NEW_NOTES)
@@ -317,18 +320,19 @@ def _(spark, sf):
 
 @query(
     "upsert_links",
-    """select from_id, to_id, rel, strftime(min(created_at), '%Y-%m-%dT%H:%M:%S.%fZ') as created_at, count(distinct id) > 0 as kept from (
-         select from_id, to_id, rel, id, created_at, min(gen) over (partition by from_id, to_id, rel) as g, gen from (
-           select id, from_id, to_id, rel, created_at, 1 as gen from link_requests where from_id <> to_id
-           union all select 'stored-' || to_id, from_id, to_id, rel, timestamp '2030-01-01', 0 from links where rel = 'about'))
-       where gen = g group by 1, 2, 3""",
+    """select id, from_id, to_id, rel, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') as created_at from (
+         select id, from_id, to_id, rel, created_at, 1 as gen from link_requests where from_id <> to_id
+         union all select concat_ws('/', 'stored', from_id, to_id), to_id, from_id, rel, timestamp '2030-01-01', 0 from links)
+       qualify row_number() over (partition by from_id, to_id, rel order by gen, created_at, id) = 1""",
 )
 def _(spark, sf):
-    stored = b.links(spark, sf).where("rel = 'about'").select(
-        F.concat(F.lit("stored-"), "to_id").alias("id"), "from_id", "to_id", "rel", F.lit("2030-01-01").cast("timestamp").alias("created_at")
+    """Requests against a store that holds every link the other way round, some of which are requested too."""
+    stored = b.links(spark, sf).select(
+        F.concat_ws("/", F.lit("stored"), "from_id", "to_id").alias("id"), F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "rel",
+        F.lit("2030-01-01").cast("timestamp").alias("created_at"),
     )
     out = mutate.upsert_links(stored, b.link_requests(spark, sf))
-    return out.select("from_id", "to_id", "rel", iso(F.col("created_at")).alias("created_at"), F.col("id").isNotNull().alias("kept"))
+    return out.select("id", "from_id", "to_id", "rel", iso(F.col("created_at")).alias("created_at"))
 
 
 @query(
@@ -372,22 +376,28 @@ def _(spark, sf):
     )
 
 
+_KEPT = "(select id from entries where archived_at is null)"
+
+
 @query(
     "delete_cascade",
-    """select 'entries' as tbl, count(*) as n, min(id) as lo, max(id) as hi from entries where archived_at is null
-       union all select 'notes', count(*), min(id), max(id) from notes where entry_id not in (select id from entries where archived_at is not null)
-       union all select 'links', count(*), min(from_id), max(to_id) from links where from_id not in (select id from entries where archived_at is not null)
+    f"""select 'entries' as tbl, id as a, kind as b, title as c from entries where id in {_KEPT}
+       union all select 'notes', id, entry_id, body from notes where entry_id not in (select id from entries where archived_at is not null)
+       union all select 'links', from_id, to_id, rel from links where from_id not in (select id from entries where archived_at is not null)
          and to_id not in (select id from entries where archived_at is not null)
-       union all select 'vectors', count(*), min(entry_id), max(entry_id) from vectors where entry_id not in (select id from entries where archived_at is not null)""",
+       union all select 'vectors', entry_id, provider, cast(len(vec) as varchar) from vectors where entry_id not in (select id from entries where archived_at is not null)""",
 )
 def _(spark, sf):
     e = b.entries(spark, sf)
     left = mutate.delete_entries(
         e.where("archived_at is not null"), entries=e, notes=b.notes(spark, sf), links=b.links(spark, sf), vectors=b.vectors(spark, sf)
     )
-    lo_hi = {"entries": ("id", "id"), "notes": ("id", "id"), "links": ("from_id", "to_id"), "vectors": ("entry_id", "entry_id")}
+    shown = {
+        "entries": ("id", "kind", "title"), "notes": ("id", "entry_id", "body"), "links": ("from_id", "to_id", "rel"),
+        "vectors": ("entry_id", "provider", F.size("vec").cast("string")),
+    }
     parts = [
-        df.agg(F.lit(name).alias("tbl"), F.count("*").alias("n"), F.min(lo_hi[name][0]).alias("lo"), F.max(lo_hi[name][1]).alias("hi"))
+        df.select(F.lit(name).alias("tbl"), *[(F.col(c) if isinstance(c, str) else c).alias(x) for c, x in zip(shown[name], "abc")])
         for name, df in left.items()
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return reduce(DataFrame.unionByName, parts)

@@ -157,14 +157,16 @@ BULK = {
     "capture_many",
     """select 'item' as part, cast(seq as varchar) as key, id as a, case when created then 'created' else 'reused' end as b from bulk_placed
        union all select 'link', 'compares', from_id, to_id from (select distinct from_id, to_id from bulk_ends where from_id <> to_id)
+       union all select 'link', rel, from_id, to_id from links
+       union all select 'note', source, entry_id, body from notes
        union all select 'failed', cast(conv_id as varchar), from_ref, to_ref from bulk_ends where coalesce(from_id = to_id, true)
        union all select 'note', case when turn % 2 = 0 then 'tool' else 'me' end, id, 'note on ' || seq from bulk_placed where turn % 3 = 0""",
     **BULK,
 )
 def _(spark, sf):
     items, requests = _bulk(spark, sf)
-    none = b.links(spark, sf).where("false").select(F.lit("").alias("id"), "from_id", "to_id", "rel", F.current_timestamp().alias("created_at"))
-    r = bulk.capture_many(items, requests, b.entries(spark, sf), b.notes(spark, sf).where("false"), none)
+    held = b.links(spark, sf).select(F.concat_ws("/", "from_id", "to_id", "rel").alias("id"), "from_id", "to_id", "rel", b.as_of().alias("created_at"))
+    r = bulk.capture_many(items, requests, b.entries(spark, sf), b.notes(spark, sf), held)
     return (
         r.placed.select(F.lit("item").alias("part"), F.col("seq").cast("string").alias("key"), F.col("id").alias("a"), F.when(F.col("created"), "created").otherwise("reused").alias("b"))
         .unionByName(r.links.select(F.lit("link").alias("part"), F.col("rel").alias("key"), F.col("from_id").alias("a"), F.col("to_id").alias("b")))
