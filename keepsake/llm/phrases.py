@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import ASCII_LOWER, raw, table
-from keepsake.session import state_dir, stored
+from keepsake.session import stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 # Words of one dictionary, and phrases of one trie: some 150 and 40 bytes each.
@@ -46,7 +46,7 @@ STRETCHES = 4096
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 # A-Z to lower case, tab to space, the ends of pieces to line feeds.
 _TABLE = bytes(10 if c in _ENDS else 32 if c == 9 else ASCII_LOWER[c] for c in range(256))
-BLOCKS = "words binary, state binary"  # no state: the words are the states
+BLOCKS = "words binary, state binary"  # packed numbers; without states the words are the states
 
 
 def words_of(text: bytes) -> Iterator[bytes]:
@@ -119,8 +119,8 @@ def _count(blocks: DataFrame, pairs: bool, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         accepted, tally = Counter(), Tally()
         for got in batches:
-            for flat, held in zip(got.column("words"), got.column("state")):
-                state = np.frombuffer((held if held.is_valid else flat).as_buffer(), np.int32)
+            for held in got.column("state"):
+                state = _unpacked(held)
                 some = state[state > 0]
                 if len(some):
                     base = int(some.min())
@@ -137,7 +137,7 @@ def _count(blocks: DataFrame, pairs: bool, least: int) -> DataFrame:
         yield _accepted(accepted)
         yield from tally.batches(last=True)
 
-    counts = blocks.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = blocks.select(F.coalesce("state", "words").alias("state")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     low = F.col("code").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     return stored(counts.where(F.col("n") >= least).select(F.shiftright("code", 32).cast("int").alias("prev"), low.alias("next"), "n"), "phrase-counts")
 
@@ -149,15 +149,20 @@ def _accepted(counts: Counter) -> pa.RecordBatch:
     return out
 
 
-def _block(words: np.ndarray, state: bytes | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([state], pa.binary())], ["words", "state"])
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers in rows of four bytes shrink well; only the worker that uses them unpacks them, block by block."""
+    return len(numbers).to_bytes(4, "little") + pa.compress(numbers.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: pa.Scalar) -> np.ndarray:
+    held = packed.as_buffer()
+    size = int.from_bytes(held[:4].to_pybytes(), "little")
+    return np.frombuffer(pa.decompress(held[4:], 4 * size, "zstd"), np.int32)
 
 
-def _kept(rows: DataFrame, name: str) -> DataFrame:
-    """Blocks written and read back; numbers in rows of four bytes shrink well."""
-    path = f"{state_dir(rows.sparkSession, name)}/table"
-    rows.write.option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(BLOCKS).parquet(path)
+def _block(words: np.ndarray, state: np.ndarray | None) -> pa.RecordBatch:
+    packed = [_packed(words), None if state is None else _packed(state)]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["words", "state"])
 
 
 def _encode(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -174,7 +179,7 @@ def _encode(texts: DataFrame, words: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(known)
         if piece < pieces - 1:
             rows = stored(rows.mapInArrow(_filling(shared), "lang string, text binary, words binary"), "phrase-texts")
-    return _kept(rows.mapInArrow(_blocks(shared), BLOCKS), "phrase-blocks")
+    return stored(rows.mapInArrow(_blocks(shared), BLOCKS), "phrase-blocks")
 
 
 def _numbers(known: dict[str, dict[bytes, int]], got: pa.RecordBatch) -> Iterator[tuple[str, pa.Scalar, np.ndarray]]:
@@ -327,19 +332,19 @@ def _advanced(blocks: DataFrame, shared, length: int, last: bool) -> DataFrame:
         trie: Trie = shared.value
         for got in batches:
             for flat, held in zip(got.column("words"), got.column("state")):
-                words = np.frombuffer(flat.as_buffer(), np.int32)
-                both = np.frombuffer((held if held.is_valid else flat).as_buffer(), np.int32)
+                words = _unpacked(flat)
+                both = _unpacked(held) if held.is_valid else words
                 state, new = both[: len(words)], both[len(words) :]
                 new = new.copy() if len(new) else np.zeros(len(words), np.int32)
                 reach = max(0, len(words) - length + 1)
                 at, to = trie.advance(state[:reach], words[length - 1 :])
                 new[at] = to
                 if not last:
-                    yield _block(words, state.tobytes() + new.tobytes())
+                    yield _block(words, np.concatenate([state, new]))
                 elif new.any():
-                    yield _block(_wanted(words, new, length), new.tobytes())
+                    yield _block(_wanted(words, new, length), new)
 
-    return _kept(blocks.mapInArrow(run, BLOCKS), "phrase-states")
+    return stored(blocks.mapInArrow(run, BLOCKS), "phrase-states")
 
 
 def _wanted(words: np.ndarray, state: np.ndarray, length: int) -> np.ndarray:
