@@ -306,8 +306,29 @@ _sql, _tables = _kind_oracle("repo", "thanedble")
 query("repos", _sql, **_tables)(_recall_of_kind("repo", "thanedble"))
 
 
-@query("snippet")
+SNIPPETS = {
+    **scored(),
+    "hits": """select query_id, id, score, position from (select *, row_number() over (partition by query_id order by score desc, at_time desc, id) as position
+         from scored) where position <= 25
+       union all select q.query_id, e.id, 0.0, e.position from recall_queries q, (select id, row_number() over (order by coalesce(occurred_at, created_at) desc, id) as position
+         from entries where archived_at is null) e where trim(q.query) = '' and e.position <= 25""",
+    "shown": f"""select h.*, list_filter(string_split_regex(coalesce(e.title, '') || ' — ' || coalesce(e.body, ''), '\\s+'), lambda x: x <> '') as p,
+         {WORDS.format("q.query")} as t from hits h join entries e on e.id = h.id join recall_queries q on q.query_id = h.query_id""",
+    "flagged": f"select *, list_transform(p, lambda x: len(list_intersect({WORDS.format('x')}, t)) > 0) as hit from shown",
+    "spots": "select query_id, id, i, len(list_filter(hit[i : i + 27], lambda y: y)) as n from flagged, range(1, len(hit) + 1) as r(i) where hit[i]",
+    "best": "select * from spots qualify row_number() over (partition by query_id, id order by n desc, i) = 1",
+}
+
+
+@query(
+    "snippet",
+    """select f.query_id, f.id, f.score, f.position, nullif(array_to_string(list_transform(
+         range(coalesce(i, 1), least(len(p), coalesce(i, 1) + case when i is null then 7 else 27 end) + 1),
+         lambda k: case when hit[k] then '**' || p[k] || '**' else p[k] end), ' '), '') as snippet
+       from flagged f left join best b on b.query_id = f.query_id and b.id = f.id""",
+    **SNIPPETS,
+)
 def _(spark, sf):
     q, e = b.recall_queries(spark), spread(b.entries(spark, sf))
     hits = recall.text_search(q, e, spread(b.notes(spark, sf)))
-    return recall.with_snippets(hits, q, e)
+    return recall.with_snippets(hits, q, e).withColumn("position", F.col("position").cast("bigint"))
