@@ -381,7 +381,10 @@ def match(
     """
     stop = (STOP_WORDS if english else []) if stopwords is None else stopwords
     if postings is not None:
-        return match_stored(queries, entries, lambda wanted: postings.join(wanted.select("*", _bucket()), ["bucket", "term"]).drop("bucket"), english)
+        def of(wanted: DataFrame) -> DataFrame:
+            return postings.join(wanted.select("*", _bucket()), ["bucket", "term"], "left_semi").drop("bucket")
+
+        return match_stored(queries, entries, of, english)
     q = query_clauses(queries, english)
     wanted = q.select("query_id", F.posexplode("terms").alias("k", "term"))
     if english:
@@ -399,10 +402,18 @@ def match(
 
 
 def match_stored(queries: DataFrame, entries: DataFrame, postings_of: Callable[[DataFrame], DataFrame], english: bool = False) -> DataFrame:
-    """``match`` over stored occurrences: ``postings_of`` gives those of wanted words (query_id, k, term)."""
+    """``match`` over stored occurrences: ``postings_of`` gives those of wanted terms (term) as (term, entry_id, pos, w).
+
+    An item that meets a part of a query holds its rarest needed word, so the lists of those
+    words name the few items whose other words are looked at. A word every item holds costs its own list,
+    not its list times the queries that use it.
+    """
     q = query_clauses(queries, english)
-    wanted = q.select("query_id", F.posexplode("terms").alias("k", "term"))
-    found = stored(postings_of(wanted), "matched-words")
+    wanted = stored(q.select("query_id", F.posexplode("terms").alias("k", "term")), "wanted-words")
+    held = stored(postings_of(wanted.select("term").distinct()), "matched-words")
+    met = _rarest_met(q, wanted, held)
+    asked = broadcast_if_small(wanted)
+    found = stored(held.join(asked, "term").join(broadcast_if_small(met), ["query_id", "entry_id"], "left_semi"), "met-words")
     sizes = found.groupBy("query_id", "entry_id").agg(F.count("*").alias("n"))
     long = sizes.where(F.col("n") > THREAD_WORDS).select("entry_id").distinct()
     standing = found.withColumn("in_notes", F.lit(False)).withColumn("end_of_body", F.lit(None).cast("bigint"))
@@ -412,7 +423,17 @@ def match_stored(queries: DataFrame, entries: DataFrame, postings_of: Callable[[
         long = broadcast_if_small(stored(long, "long-threads"))
         short, of_long = standing.join(long, "entry_id", "left_anti"), found.join(long, "entry_id", "left_semi")
         hits = _match_rows(short, q).unionByName(_match_blocks(of_long, q))
-    return _with_excluders(hits, q, entries, lambda ids: found.join(ids, "query_id", "left_semi"))
+    return _with_excluders(hits, q, entries, lambda ids: held.join(asked.join(ids, "query_id", "left_semi"), "term"))
+
+
+def _rarest_met(q: DataFrame, wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, entry_id) of items that hold, for some part of the query, the rarest word it needs."""
+    counts = held.groupBy("term").agg(F.count("*").alias("n"))
+    rated = wanted.join(counts, "term", "left").select("query_id", "k", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    needs = q.select("query_id", F.posexplode("clauses").alias("part", "c")).select("query_id", "part", F.explode("c.must").alias("k"))
+    rarest = needs.join(rated, ["query_id", "k"]).groupBy("query_id", "part").agg(F.min(F.struct("n", "term")).alias("r"))
+    rarest = stored(rarest.where("r.n > 0").select("query_id", F.col("r.term").alias("term")).distinct(), "rarest-words")
+    return stored(held.join(broadcast_if_small(rarest), "term").select("query_id", "entry_id").distinct(), "met-items")
 
 
 def _with_excluders(hits: DataFrame, q: DataFrame, entries: DataFrame, found_of: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -9,10 +9,11 @@ from keepsake.functions.text import iso
 from keepsake.operators import asking, hybrid, index, nearest, recall
 from keepsake.operators.embedders import BatchFunction, WordHash
 from keepsake.operators.filters import EntryFilter, live
+from keepsake.operators.search_index import SearchIndex
 from keepsake.plans.registry import query
 from keepsake.plans.search import FTS, TERMS, covers, scored
 from keepsake.schema import QUESTION_STOPWORDS
-from keepsake.session import spread
+from keepsake.session import spread, state_dir
 from keepsake.sources import bindings as b
 
 TEXTS = """
@@ -216,13 +217,14 @@ def _(spark, sf):
 
 
 def _questions(spark, sf):
-    """Benchmark passages read as questions with planned searches."""
+    """Whole benchmark passages read as questions, with planned searches: the question itself, its halves, one word, or nonsense."""
     i = F.col("item_id")
     w = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    lead = F.array_join(F.slice(w, 1, 4), " ")
+    half = F.floor(F.size(w) / 2).cast("int")
+    lead = F.array_join(w, " ")
     plan = (
         F.when(i % 4 == 0, F.array().cast("array<string>"))
-        .when(i % 4 == 1, F.array(F.array_join(F.slice(w, 1, 2), " "), F.get(w, F.lit(3))))
+        .when(i % 4 == 1, F.array(F.array_join(F.slice(w, F.lit(1), half), " "), F.array_join(F.slice(w, half + 1, F.size(w)), " ")))
         .when(i % 4 == 2, F.array(F.concat(F.lit("zz"), F.get(w, F.lit(2)), F.lit("qq"))))
         .otherwise(F.array(F.get(w, F.lit(1))))
     )
@@ -235,13 +237,18 @@ def _questions(spark, sf):
 
 _STOP = ", ".join(f"'{w}'" for w in QUESTION_STOPWORDS)
 QUESTIONS = r"""
-select item_id as question_id, 'What about ' || case when item_id % 8 = 2 then 'xqzv' else array_to_string(w[1:4], ' ') end || '?' as question,
+select item_id as question_id, 'What about ' || case when item_id % 8 = 2 then 'xqzv' else array_to_string(w, ' ') end || '?' as question,
   case item_id % 3 when 0 then 'reading' when 1 then 'nosuchkind' end as kind,
-  case item_id % 4 when 0 then cast([] as varchar[]) when 1 then [array_to_string(w[1:2], ' '), w[4]] when 2 then ['zz' || w[3] || 'qq'] else [w[2]] end as queries
+  case item_id % 4 when 0 then cast([] as varchar[]) when 1 then [array_to_string(w[1 : len(w) // 2], ' '), array_to_string(w[len(w) // 2 + 1 :], ' ')] when 2 then ['zz' || w[3] || 'qq'] else [w[2]] end as queries
 from (select item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') as w from benchmark)"""
+# questions are long, so covers are worked out for the items that hold every word only
+MOST_WORDS = 64
+LONG_COVERS = covers(MOST_WORDS)
+LONG_COVERS["placed_occ"] = LONG_COVERS["placed_occ"].replace("from occ", "from occ_met")
 ASK = {
     **scored(),
-    **covers(8),
+    **LONG_COVERS,
+    "occ_met": "select o.* from occ o join matched m on m.query_id = o.query_id and m.entry_id = o.entry_id",
     "terms": TERMS,
     "questions": QUESTIONS,
     "planned": "select question_id, kind, unnest(qs) as query, unnest(range(0, len(qs))) as no from (select *, case when len(queries) > 0 then queries else [question] end as qs from questions)",
@@ -266,9 +273,10 @@ ASK = {
 
 def _candidates(spark, sf):
     e, n = spread(b.entries(spark, sf)), spread(b.notes(spark, sf))
+    words = SearchIndex.build(e, n, state_dir(spark, "ask-index"))
 
     def search(queries):
-        return recall.text_search(queries, e, n, EntryFilter(limit=asking.PER_QUERY))
+        return recall.text_search(queries, e, n, EntryFilter(limit=asking.PER_QUERY), index=words)
 
     return asking.retrieve(_questions(spark, sf), e, search)
 
@@ -308,6 +316,26 @@ def _(spark, sf):
     return asking.context_blocks(c, e)
 
 
+_BLOCK = """'[' || substring(e.id, 1, 8) || '] ' || coalesce(title, '(untitled)') || ' — ' || e.kind, 'status: ' || status,
+         'rating: ' || rating || '/10', 'tags: ' || nullif(array_to_string(tags, ', '), ''), 'captured: ' || strftime(coalesce(occurred_at, created_at), '%Y-%m-%d'),
+         'reminder: ' || strftime(remind_at, '%Y-%m-%d'), 'lang: ' || data_lang || ' | source: ' || data_source || ' | n_chars: ' || data_n_chars,
+         case when length(body) > 600 then substring(body, 1, 600) || '…' else nullif(body, '') end"""
+
+
+@query(
+    "ask_grounding",
+    f"""select question_id, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from (
+         select c.question_id, c.rank, concat_ws(chr(10), {_BLOCK}, t.lines) as block from candidates c join entries e on e.id = c.id
+         left join (select c.question_id, c.id, string_agg('note (' || strftime(n.created_at, '%Y-%m-%d') || '): ' || n.body, chr(10) order by n.created_at, n.id) as lines
+           from candidates c join notes n on n.entry_id = c.id where c.rank <= 8 group by 1, 2) t on t.question_id = c.question_id and t.id = c.id)
+       group by 1""",
+    **ASK,
+)
+def _(spark, sf):
+    """Each question's whole grounding text."""
+    return asking.contexts(_candidates(spark, sf), b.entries(spark, sf), b.notes(spark, sf))
+
+
 @query(
     "ask_context_notes",
     """select question_id, rank, c.id, n.id as note_id, 'note (' || strftime(n.created_at, '%Y-%m-%d') || '): ' || n.body as line
