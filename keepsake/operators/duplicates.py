@@ -38,17 +38,24 @@ def _prefixes(titles: DataFrame, slack: float) -> DataFrame:
     return each(titles, head, "h", "kind", "tid", "at", "n").select("kind", "tid", "at", "n", "h.t", "h.i")
 
 
-def _compare(left: DataFrame, right: DataFrame, grams: DataFrame, threshold: float, slack: float) -> DataFrame:
+def _compare(left: DataFrame, right: DataFrame, grams: DataFrame, threshold: float, slack: float, whole: bool = False) -> DataFrame:
     """(tid, other, at): pairs above the threshold among those that share a prefix trigram.
 
     Sizes and places in the order settle most pairs; for the rest each pair fetches its two sets once, by number.
+    Where ``right`` is ``whole``, shared prefix trigrams are all counted: whatever else two titles share lies
+    behind one of their prefixes, so a pair with too few of them is left out as well.
     """
     r = right.select("kind", "t", F.col("tid").alias("other"), "at", F.col("n").alias("m"), F.col("i").alias("j"))
     sized = (F.col("m") >= F.col("n") * slack) & (F.col("n") >= F.col("m") * slack)
     needed = (F.col("n") + F.col("m")) * (slack / (1 + slack))
     reachable = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed
-    met = left.drop("at").join(r, ["kind", "t"]).where((F.col("tid") != F.col("other")) & sized & reachable)
-    pairs = met.select("tid", "other", "at", "n", "m").distinct()
+    met = left.drop("at").join(r, ["kind", "t"]).where((F.col("tid") != F.col("other")) & sized)
+    if whole:
+        behind = F.ceil(F.greatest("n", "m") * slack) - 1
+        counted = met.groupBy("tid", "other", "at", "n", "m").agg(F.count("*").alias("c"), F.max(reachable).alias("reachable"))
+        pairs = counted.where(F.col("reachable") & (F.col("c") + behind >= needed))
+    else:
+        pairs = met.where(reachable).select("tid", "other", "at", "n", "m").distinct()
     sets = grams.select("tid", "o")
     held = pairs.join(sets, "tid").join(sets.select(F.col("tid").alias("other"), F.col("o").alias("p")), "other")
     score = text.jaccard(F.size(F.array_intersect("o", "p")), F.col("n"), F.col("m")).cast("double")
@@ -82,7 +89,7 @@ def similar_titles(titles: DataFrame, threshold: float = FUZZY_DUPLICATE, enough
     done = seen.join(cut, "tid").where(F.col("at") > F.col("edge")).groupBy("tid").agg(F.count("*").alias("c")).where(F.col("c") >= enough)
     unsure = stored(cut.join(done, "tid", "left_anti").select("tid"), "title-rest")
     settled = seen.join(unsure, "tid", "left_anti")
-    rest = _compare(left.join(unsure, "tid", "left_semi"), right, ordered, threshold, slack)
+    rest = _compare(left.join(unsure, "tid", "left_semi"), right, ordered, threshold, slack, whole=True)
     both = settled.unionByName(rest).select("tid", "other")
     other = named.select(F.col("tid").alias("other_id"), F.col("title").alias("other"))
     return both.withColumnRenamed("other", "other_id").join(named.select("tid", "kind", "title"), "tid").join(other, "other_id").select("kind", "title", "other")

@@ -90,17 +90,19 @@ def _flagged(prompts: DataFrame) -> DataFrame:
         F.hour("at").alias("hour"),
         capture.alias("captures"),
         (capture & (F.size("entry_ids") > 1)).alias("multi_entry"),
-        # one array, so that a flag used twice is not worked out twice
-        F.array(
-            F.contains(F.lower(typed), F.lit("http://")) | F.contains(F.lower(typed), F.lit("https://")),
-            typed.rlike(r"(^|\s)#[\p{L}\p{N}]"),
-            F.length(F.regexp_replace(typed, r"https?://\S+", "")) > REASON_CHARS,
-        ).alias("f"),
+        typed.alias("typed"),
     )
+    # most texts hold neither sign, and looking for a sign is far cheaper than a pattern
+    linked = F.contains("typed", F.lit("://")) & F.col("typed").rlike("(?i)https?://")
+    tagged = F.contains("typed", F.lit("#")) & F.col("typed").rlike(r"(^|\s)#[\p{L}\p{N}]")
+    seen = seen.select("hour", "captures", "multi_entry", "typed", linked.alias("linked"), tagged.alias("tagged"))
+    bare = F.length(F.regexp_replace("typed", r"https?://\S+", "")) <= REASON_CHARS
+    # one array, so that a flag used twice is not worked out twice
+    seen = seen.select("hour", "captures", "multi_entry", F.array("linked", "tagged", F.when(F.col("linked"), bare)).alias("f"))
     flag = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(False))
     return seen.select(
-        "hour", "captures", flag(0).alias("with_url"), (flag(0) & flag(2)).alias("url_with_reason"),
-        (flag(0) & ~flag(2)).alias("bare_url"), flag(1).alias("with_hashtags"), "multi_entry",
+        "hour", "captures", flag(0).alias("with_url"), (flag(0) & ~flag(2)).alias("url_with_reason"),
+        (flag(0) & flag(2)).alias("bare_url"), flag(1).alias("with_hashtags"), "multi_entry",
     )
 
 
