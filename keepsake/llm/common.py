@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +33,45 @@ def raw(text: Column) -> Column:
     """The UTF-8 bytes of a text, empty for null: Python sees the same bytes as Spark."""
     return F.coalesce(text.cast("binary"), F.lit(b""))
 
+
+def quoted(name: str) -> str:
+    """A column name as it stands, dots and quotes in it included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct, ``doc``: whatever their names are, none can meet a name of an operator."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or with underscores in front until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_score(docs: DataFrame, column: str, scores: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Array]]) -> DataFrame:
+    """The documents with a column of scores worked out from their texts; a column of that name is replaced.
+
+    ``scores`` gives an array for each batch of a column ``text`` of bytes. On the way through the
+    workers columns have numbers for names, so names of any kind come back as they were.
+    """
+    others = [c for c in docs.columns if c.lower() != column.lower()]
+    numbered = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)], raw(F.col("text")).alias("text"))
+    schema = numbered.drop("text").withColumn("score", F.lit(0.0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for got in batches:
+                waiting.append(got)
+                yield got
+
+        for made in scores(seen()):
+            got = waiting.popleft()
+            yield pa.RecordBatch.from_arrays([*got.columns[:-1], made], names=[*got.schema.names[:-1], "score"])
+
+    return numbered.mapInArrow(run, schema).toDF(*others, column)

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import table
+from keepsake.llm.common import table, whole_row
 from keepsake.session import stored
 
 # A word character, before and after lower-casing A-Z.
@@ -152,7 +152,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, piece_word
 def remove(docs: DataFrame, benchmark: DataFrame, min_hits: int = 1, **how) -> DataFrame:
     """The documents, all columns kept, without those of ``min_hits`` hit words or more."""
     bad = hits(docs, benchmark, **how).where(F.col("n_hit") >= min_hits).select(F.struct("doc_id", "h").alias("key")).distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"))
+    keyed = docs.select(whole_row(docs), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"))
     return keyed.join(bad, "key", "left_anti").select("doc.*")
 
 
@@ -163,7 +163,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     lower or upper case as they were, are joined by one space.
     """
     found = hits(docs, benchmark, **how).where("n_hit > 0").select(F.struct("doc_id", "h").alias("key"), "spans").distinct()
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"))
+    keyed = docs.select(whole_row(docs), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["s"] + x["len"] - 1))))
     places = F.array_except(F.sequence(F.lit(0), F.size("words") - 1), covered)
     out = keyed.join(found, "key", "left").withColumn("words", F.when(F.col("spans").isNotNull(), words_of(F.col("doc.text"))))

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import WORD, table
+from keepsake.llm.common import WORD, table, whole_row
 from keepsake.session import each, stored
 
 SIMILARITY = 0.8
@@ -118,7 +118,7 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def remove(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, all columns kept, without the lines that repeat or resemble earlier ones."""
     gone = find(docs, similarity).where("removed").groupBy(F.struct("doc_id", "h").alias("key")).agg(F.collect_set("line_no").alias("gone"))
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key")).join(gone, "key", "left")
+    keyed = docs.select(whole_row(docs), F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key")).join(gone, "key", "left")
     left = F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
     return keyed.withColumn("doc", F.col("doc").withField("text", text)).select("doc.*")

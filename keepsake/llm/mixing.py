@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import WORD, table, word_count
+from keepsake.llm.common import WORD, table, whole_row, word_count
 from keepsake.session import broadcast_if_small, stored
 
 WEIGHTS = (1, 2, 3)
@@ -122,7 +122,7 @@ def expand(docs: DataFrame, **how) -> DataFrame:
     """
     row = F.struct("doc_id", "source", word_count(F.col("text")).alias("size")).alias("row")
     plan = mix(docs, **how).groupBy(F.struct("doc_id", "source", "size").alias("row")).agg(F.max("copies").alias("copies"))
-    out = docs.select(F.struct(*docs.columns).alias("doc"), row).join(plan.where("copies > 0"), "row")
+    out = docs.select(whole_row(docs), row).join(plan.where("copies > 0"), "row")
     return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import ASCII_LOWER, raw, table
+from keepsake.llm.common import ASCII_LOWER, raw, table, whole_row
 from keepsake.session import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -388,11 +388,11 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The first document of every class, all columns kept; of its repeated rows, one."""
     _, labels = classes(docs, similarity)
     first = labels.where(F.col("label.text_key") == F.col("text_key")).select(F.struct(F.col("label.doc_id").alias("doc_id"), "text_key").alias("key"))
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("doc_id", text_key().alias("text_key")).alias("key"), F.col("text").alias("__text"))
-    some = F.coalesce(F.regexp_count(F.col("__text"), F.lit(r"[^\x20\x09-\x0D]")) > 0, F.lit(False))
+    keyed = docs.select(whole_row(docs), F.struct("doc_id", text_key().alias("text_key")).alias("key"), F.col("text").alias("said"))
+    some = F.coalesce(F.regexp_count(F.col("said"), F.lit(r"[^\x20\x09-\x0D]")) > 0, F.lit(False))
     kept = keyed.where(some).join(first, "key", "left_semi")
     repeated = keyed.where(some).groupBy("key").count().where("count > 1").select("key")
-    once = kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc")).select("doc.*")
+    once = kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc.*")
     return kept.join(repeated, "key", "left_anti").select("doc.*").union(once).union(keyed.where(~some).select("doc.*"))
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import crc_part, raw, table
+from keepsake.llm.common import crc_part, raw, table, with_score
 
 SHAPES = 512
 MAX_POSITIVE, MAX_UNLABELLED = 6_000, 12_000
@@ -164,20 +164,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_positi
     return np.array([r[0] for r in found.repartition(1).mapInArrow(_fit, "w double").collect()])
 
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """The documents with ``quality``, the chance that their text is good."""
+def score(docs: DataFrame, model: np.ndarray, column: str = "quality") -> DataFrame:
+    """The documents with ``column``, the chance that their text is good; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit(0.0).alias("quality")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
         w, made = shared.value, Shapes()
         for got in batches:
-            texts = got.column("__text")
+            texts = got.column("text")
             p = np.array([made.row(t.as_py()) @ w[:-2] + w[-2] for t in texts], float) if len(w) else np.zeros(len(texts))
-            columns = [got.column(i) for i in range(got.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(_sigmoid(p))], names=[*got.schema.names[:-1], "quality"])
+            yield pa.array(_sigmoid(p))
 
-    return docs.select("*", raw(F.col("text")).alias("__text")).mapInArrow(run, schema)
+    return with_score(docs, column, scores)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

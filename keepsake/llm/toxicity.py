@@ -6,13 +6,13 @@ learner keeps a rate per coordinate and drives most weights to exactly zero, so
 the model that goes to the tasks is short, and its size is bounded by the slots.
 
 It is fitted in one task on at most ``MAX_ROWS`` labelled rows, picked by a hash
-of their id. Rows with a third of the sample of either class are not needed; a sample
-without both classes gives the share of toxic rows as everyone's score.
+of their id. From a sample without both classes nothing can be learnt: every text then scores
+0, and ``reject`` keeps all documents.
 
 Edge cases: null and empty texts have no features and get the score of the bias
 alone; a document without label, or with a null one, is scored and not learnt
 from; repeated rows are scored each; an empty table gives no rows. Extra columns
-are ignored by ``score`` and kept by ``reject``.
+are kept, whatever their names; one that has the name of the score is replaced by ``score`` and kept by ``reject``.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import ASCII_LOWER, crc_part, raw, table
+from keepsake.llm.common import ASCII_LOWER, crc_part, free_name, quoted, raw, table, with_score
 
 SLOT_BITS = 20
 MAX_ROWS = 12_000
@@ -106,7 +106,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = got.column("slots")
         flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
         rows += [flat[a:b].astype(np.int32) for a, b in zip(edges[:-1], edges[1:])]
-    if not rows:
+    if len(set(labels)) < 2:
         return
     order = sorted(range(len(rows)), key=lambda k: (keys[k], labels[k], rows[k].tobytes()))  # not the order of arrival
     slots, weights, bias = fit_ftrl([rows[k] for k in order], np.array([labels[k] for k in order], float))
@@ -123,34 +123,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     key = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     share = max_rows / max(max_rows, wanted.count())
     wanted = wanted.where(F.pmod(key, F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.join(wanted, "doc_id").select(key.alias("key"), "label", raw(F.col("text")).alias("text"))
+    sample = docs.select("doc_id", "text").join(wanted, "doc_id").select(key.alias("key"), "label", raw(F.col("text")).alias("text"))
     found = sample.mapInArrow(_features, "key long, label int, slots array<int>")
     model = found.repartition(1).mapInArrow(_fit, "slot long, weight double").collect()  # at most one row per slot
     return np.array([r[0] for r in model], np.int64), np.array([r[1] for r in model], float)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The documents with ``toxicity``, the chance that their text is toxic."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], column: str = "toxicity") -> DataFrame:
+    """The documents with ``column``, the chance that their text is toxic."""
     slots, weights = model
+    known = bool((slots == -1).any())
     shared = docs.sparkSession.sparkContext.broadcast((slots[slots >= 0], weights[slots >= 0], float(weights[slots == -1].sum())))
-    schema = docs.select("*", F.lit(0.0).alias("toxicity")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
         kept, values, bias = shared.value
         dense = np.zeros(1 << SLOT_BITS)
         dense[kept] = values
         made = Features()
         for got in batches:
             sums = []
-            for text in got.column("__text"):
+            for text in got.column("text"):
                 slots = made.slots(text.as_py())
                 w = dense[slots]
                 sums.append(dense[np.unique(slots[w != 0])].sum() + bias)
-            p = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -30, 30)))
-            columns = [got.column(i) for i in range(got.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p)], names=[*got.schema.names[:-1], "toxicity"])
+            p = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -30, 30))) if known else np.zeros(got.num_rows)
+            yield pa.array(p)
 
-    return docs.select("*", raw(F.col("text")).alias("__text")).mapInArrow(run, schema)
+    return with_score(docs, column, scores)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -159,7 +158,9 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns kept, that score below ``threshold``."""
-    return score(docs, model).where(F.col("toxicity") < threshold).drop("toxicity")
+    own = free_name(docs, "toxicity")
+    kept = score(docs, model, own).where(F.col(quoted(own)) < threshold)
+    return kept.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def query(spark, sf_dir):
