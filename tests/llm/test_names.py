@@ -50,14 +50,15 @@ def labels(spark, rows):
 
 def test_scores_keep_other_columns(spark):
     docs = odd(spark, ROWS)
-    marks = labels(spark, [(1, 0, 1), (2, 0, 1), (3, 0, 0), (4, 0, 1), (7, 1, 0)])
-    model = toxicity.train(docs, marks)
+    many = odd(spark, [(i, prose(30, i) + " vile stuff vile stuff" * (i % 2)) for i in range(300)])
+    marks = labels(spark, [(i, i % 2, 1 - i % 2) for i in range(300)])
+    model = toxicity.train(many, marks)
     scored = toxicity.score(docs, model)
     found = {row["doc_id"]: row["toxicity"] for row in scored.collect()}
     assert found[7] > max(found[1], found[3])
     same_rows(toxicity.reject(docs, model, found[7]), docs, [i for i, _ in ROWS if found[i] < found[7]])
     assert sorted(scored.columns) == sorted(docs.columns) and dict(scored.dtypes)["toxicity"] == "double"
-    own = quality.score(docs, quality.train(docs, marks), "good")
+    own = quality.score(docs, quality.train(many, marks), "good")
     assert own.columns == [*docs.columns, "good"] and all(0 <= row["good"] <= 1 and row["quality"].startswith("quality") for row in own.collect())
 
 
