@@ -34,13 +34,16 @@ def capture_many(
     one stored item is attached to that; links with an end that resolves to
     nothing or to several items are left out and returned apart.
     """
+    # what references are resolved against, read from the store once
+    named = stored(entries.select("id", "title", "archived_at", "created_at"), "named-items")
     titled = items.where(text.strip_to_null(F.col("title")).isNotNull())
-    resolved = resolve(titled.select(F.col("seq").alias("ref_id"), F.col("title").alias("ref")), entries)
+    resolved = resolve(titled.select(F.col("seq").alias("ref_id"), F.col("title").alias("ref")), named)
     # a full id resolves unseen; only one that is stored counts as known
     known = (
-        resolved.where("status = 'ok'").select(F.col("ref_id").alias("seq"), "id").join(entries.select("id"), "id", "left_semi")
+        resolved.where("status = 'ok'").select(F.col("ref_id").alias("seq"), "id").join(named.select("id"), "id", "left_semi")
     )
-    fresh = items.join(known.select("seq"), "seq", "left_anti")
+    known = stored(known, "known")
+    fresh = stored(items.join(known.select("seq"), "seq", "left_anti"), "fresh")
     # everything below reads these two, so they are written once
     created = stored(capture(fresh.drop("batch_id", "ref", "note", "note_source"), entries), "created")
     placed = (
@@ -67,17 +70,17 @@ def capture_many(
     ends = asked.select("batch_id", F.explode(F.array("from", "to")).alias("ref")).distinct()
     own = ends.join(refs, ["batch_id", "ref"], "left")
     others = own.where(F.col("ref_entry").isNull()).select("ref").distinct()
-    store = entries.select("id", "title", "archived_at", "created_at").unionByName(
-        created.select("id", "title", "archived_at", "created_at")
-    )
+    store = named.unionByName(created.select("id", "title", "archived_at", "created_at"))
     found = resolve(others.select(F.col("ref").alias("ref_id"), "ref"), store).where("status = 'ok'")
     targets = own.join(found.select("ref", F.col("id").alias("found")), "ref", "left").select(
         "batch_id", "ref", F.coalesce("ref_entry", "found").alias("target")
     )
+    targets = stored(targets, "targets")
     paired = (
         asked.join(targets.select("batch_id", F.col("ref").alias("from"), F.col("target").alias("from_id")), ["batch_id", "from"], "left")
         .join(targets.select("batch_id", F.col("ref").alias("to"), F.col("target").alias("to_id")), ["batch_id", "to"], "left")
     )
+    paired = stored(paired, "paired")
     sound = F.coalesce(F.col("from_id") != F.col("to_id"), F.lit(False))
     wanted = paired.where(sound).select(
         stable_id(F.concat_ws("|", "from_id", "to_id", "rel")).alias("id"), "from_id", "to_id", "rel", "created_at"
