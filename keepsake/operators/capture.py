@@ -102,6 +102,11 @@ def _stored_ids(entries: DataFrame) -> DataFrame:
     return entries.where(F.col("capture_id").isNotNull()).select("capture_id", F.col("id").alias("stored_id"))
 
 
+def ids_asked(requests: DataFrame) -> DataFrame:
+    """The capture ids a batch of requests carries."""
+    return _with_id(requests).where(F.col("capture_id").isNotNull()).select("capture_id").distinct()
+
+
 def to_store(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Requests that are neither retries within the batch nor replays of stored ids.
 
@@ -120,7 +125,8 @@ def capture(
     """New items for a batch of requests; retries of known ids yield none.
 
     ``requests``: seq, capture_id, kind, title, body, data, tags, status, rating,
-    occurred_at, remind_at, source, requested_at. Nothing stored is changed.
+    occurred_at, remind_at, source, requested_at. Nothing stored is changed, and of
+    ``entries`` only id and capture_id are read.
     """
     rows = normalise(to_store(requests, entries), enrich, pages)
     key = F.coalesce("capture_id", F.concat(F.lit("request:"), F.col("seq").cast("string")))

@@ -181,6 +181,25 @@ def _(spark, sf):
     return capture_stream.captured(spark, f"{path}/items").select("id", "capture_id", "kind", "title", "status")
 
 
+@query(
+    "stream_capture_batches",
+    f"""select {SID} as id, capture_id, kind, title, status from (select *, sha256(coalesce(capture_id, 'request:' || seq)) as h from normal)""",
+    requests=REQUESTS, fresh=FRESH, **steps("fresh"),
+)
+def _(spark, sf):
+    """The capture requests in three batches, in order, the last of which brings all earlier ids again."""
+    path = state_dir(spark, "stream-capture-batches")
+    requests = b.requests_of(b.documents(spark, sf))
+    first, last = requests.agg(F.min("seq"), F.max("seq")).first()
+    middle = F.lit((first + last) // 2)
+    again = requests.where(F.col("capture_id").isNotNull() & (F.col("seq") <= middle))
+    for part in (requests.where(F.col("seq") <= middle), requests.where(F.col("seq") > middle), again):
+        part.write.mode("append").parquet(f"{path}/inbox")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{path}/inbox")
+        _finish(capture_stream.capture_stream(stream, b.entries(spark, sf), f"{path}/items", f"{path}/checkpoint", merge_every=2))
+    return capture_stream.captured(spark, f"{path}/items").select("id", "capture_id", "kind", "title", "status")
+
+
 HOURS = """select strftime(date_trunc('hour', at_time), '%Y-%m-%dT%H:%M:%S.%fZ') as hour, surface, action, count(*) as n, count(*) filter (where not ok) as failed
        from prompts group by 1, 2, 3"""
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from keepsake.operators.capture import capture
+from keepsake.operators.capture import capture, ids_asked
 from keepsake.schema import ENTRY, ENTRY_COLUMNS
+from keepsake.streaming.ledger import add_ids, known_ids, seed_ids, stored_ids
 
 STORED = T.StructType([*ENTRY.fields, T.StructField("batch", T.LongType())])
 
@@ -19,29 +20,33 @@ def captured(spark, path: str, before: int | None = None) -> DataFrame:
     return df if before is None else df.where(F.col("batch") < before)
 
 
+# batches after which the stored ids are merged into one part
+MERGE_EVERY = 32
+ONCE = {"availableNow": True}
+
+
 def capture_stream(
-    requests: DataFrame, entries: DataFrame, path: str, checkpoint: str, enrich: bool = True, pages: DataFrame | None = None
+    requests: DataFrame, entries: DataFrame, path: str, checkpoint: str, enrich: bool = True, pages: DataFrame | None = None,
+    trigger: dict | None = None, merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Run capture on every micro-batch against all that is stored, however old.
 
     Each batch writes its own partition, replacing it when the batch is retried
-    after a failure, and reads only earlier ones; so a batch counts once.
+    after a failure, and looks at earlier ones only; so a batch counts once. What it looks at are stored ids,
+    kept beside the items in folders by hash: the items themselves, and ids of other folders, are not read again.
+    ``trigger`` holds the arguments of the stream's trigger.
     """
+    ids = stored_ids(requests.sparkSession, f"{path}-ids")
+    seed_ids(ids, entries)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = entries.select(ENTRY_COLUMNS)
-        if batch_id > 0:
-            known = known.unionByName(captured(spark, path, batch_id).select(ENTRY_COLUMNS))
-        made = capture(batch, known, enrich, pages)
+        held = stored_ids(spark, f"{path}-ids")
+        made = capture(batch, known_ids(held, ids_asked(batch), batch_id), enrich, pages)
         made.select(ENTRY_COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        add_ids(held, batch_id, spark.read.schema(ENTRY).parquet(f"{path}/batch={batch_id}"), merge_every)
 
-    return (
-        requests.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
 
 
 def drop_recent_retries(requests: DataFrame, within: str = "7 days") -> DataFrame:

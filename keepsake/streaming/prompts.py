@@ -6,26 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from keepsake.streaming.ledger import Ledger
+
 
 def hourly_counts(prompts: DataFrame) -> DataFrame:
     """Counts in event-time hours of some calls."""
     return prompts.groupBy(F.date_trunc("hour", "at").alias("hour"), "surface", "action").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("failed"))
 
 
-def counts_stream(prompts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+COUNTS = "hour timestamp, surface string, action string, n long, failed long"
+# batches after which the counts of all batches are merged into one part
+MERGE_EVERY = 32
+
+
+def counts_stream(prompts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, merge_every: int = MERGE_EVERY) -> StreamingQuery:
     """Keep a table of counts: each batch writes what it adds to its hours.
 
     A batch that is retried replaces its own partition, so it counts once. No hour
-    is ever closed and no state is held for it, so calls count however late they come.
+    is ever closed and no state is held for it, so calls count however late they come. Now and then the parts are summed
+    into one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        hourly_counts(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        ledger = Ledger(batch.sparkSession, path, COUNTS)
+        ledger.add(batch_id, hourly_counts(batch))
+        if (batch_id + 1) % merge_every == 0:
+            ledger.merge(batch_id + 1, _summed(ledger.read(batch_id + 1)))
+
+    return prompts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
 
-    return prompts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("hour", "surface", "action").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"))
 
 
 def current_counts(spark, path: str) -> DataFrame:
     """The count of every hour, surface and action over all batches."""
-    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    return rows.groupBy("hour", "surface", "action").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"))
+    return _summed(Ledger(spark, path, COUNTS).read())

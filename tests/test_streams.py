@@ -102,3 +102,38 @@ def test_imports_count_what_is_known(spark, tmp_path):
     rows = {r["capture_id"]: r for r in cs.captured(spark, f"{out}/items").collect()}
     one = rows["github:repo:1"]
     assert one["title"] == "o/one" and one["status"] == "starred" and one["data"]["topics"] == "x, y" and one["data"]["archived"] == "yes" and "summary" not in one["data"]
+
+
+def test_stored_ids_are_read_by_folder_and_merged(spark, tmp_path):
+    from keepsake.streaming import ledger
+
+    ids = ledger.stored_ids(spark, str(tmp_path / "ids"))
+    row = lambda ks: spark.createDataFrame([(k, f"i-{k}") for k in ks], "capture_id string, id string")
+    assert ids.read().count() == 0
+    ledger.seed_ids(ids, row(["s1", "s2"]))
+    ledger.seed_ids(ids, row(["never"]))
+    for n in range(5):
+        ledger.add_ids(ids, n, row([f"b{n}x{k}" for k in range(200)]), merge_every=3)
+    ledger.add_ids(ids, 4, row(["again"]), merge_every=3)  # a retried batch replaces its part
+    wanted = row(["b1x7", "again", "nobody"]).select("capture_id")
+    known = ledger.known_ids(ids, wanted, 5)
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    filters = [line.split("PartitionFilters: [")[1].split("], PushedFilters")[0] for line in plan.split("\n") if "PartitionFilters" in line]
+    assert len(filters) == 2 and all("bucket#" in f and " IN (" in f for f in filters)
+    used = {(r["merged"], r["bucket"]) for r in ids._parts("merged").where("capture_id IN ('b1x7', 's1')").collect()}
+    assert {m for m, _ in used} == {0, 3} and {"b1x7", "again"} <= {r["capture_id"] for r in known.collect()}
+    assert "merged#" in filters[0] and "= 3" in filters[0]
+    every = {r["capture_id"] for r in ids.read().collect()}
+    assert every == {"s1", "s2", "again"} | {f"b{n}x{k}" for n in range(4) for k in range(200)}
+    assert {r["capture_id"] for r in ids.read(3).collect()} == every - {"again"} - {f"b3x{k}" for k in range(200)}
+
+
+def test_merged_counts_stay_the_same(spark, tmp_path):
+    from keepsake.streaming.ledger import Ledger
+
+    counts = Ledger(spark, str(tmp_path / "c"), ps.COUNTS)
+    for n in range(4):
+        counts.add(n, spark.sql(f"select timestamp '2024-01-01 0{n % 2}:00:00' hour, 'web' surface, 'ask' action, {n + 1}L n, 0L failed"))
+    before = {tuple(r) for r in ps.current_counts(spark, counts.path).collect()}
+    counts.merge(3, ps._summed(counts.read(3)))
+    assert {tuple(r) for r in ps.current_counts(spark, counts.path).collect()} == before and len(before) == 2
