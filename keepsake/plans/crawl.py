@@ -29,6 +29,21 @@ def _(spark, sf):
     return pg.page_meta(b.pages(spark, sf))
 
 
+TAGGED = f"""
+select page_id, url, substring({o.qualified('t', o.site('s', 'url'), 'url')}, 1, 200) as title, {o.site('s', 'url')} as site, description, author
+from (select page_id, url, case when page_id % 5 = 0 then 'OG ' || page_id || ' & co' when page_id % 5 = 1 then 'Tw ' || page_id
+      else nullif({o.decoded("regexp_extract(html, '(?i)<title[^>]*>([^<]{0,300}?)</title>', 1)")}, '') end as t,
+    case when page_id % 4 = 0 then 'Site ' || page_id % 7 end as s,
+    case page_id % 6 when 0 then 'Og says ' || page_id || '!' when 1 then 'Bird ' || page_id when 3 then 'Plain words of ' || page_id end as description,
+    case when page_id % 2 = 0 then 'Author ' || page_id % 11 when page_id % 3 = 1 then 'Writer ' || page_id end as author from pages)"""
+
+
+@query("page_meta_tags", "select url, title, description, site, author from tagged", tagged=TAGGED)
+def _(spark, sf):
+    """All five columns from pages that carry meta tags."""
+    return pg.page_meta(b.tagged_pages(spark, sf))
+
+
 def _link_requests(spark, sf):
     """Documents that save a crawled page; some with a title of their own, some filed under a shelf's name."""
     p = b.pages(spark, sf)
@@ -89,6 +104,22 @@ def _(spark, sf):
     return pg.page_changes(b.linked_entries(spark, sf), meta, b.as_of()).select("entry_id", "body", "source")
 
 
+@query(
+    "page_changes_worded",
+    """select id as entry_id, concat_ws(' ', 'Its own page changed since last check.', case when retitled then 'Now titled: ' || title end,
+         case when description is not null then 'Now says: ' || description end) as body
+       from (select l.id, m.title, m.description, coalesce(m.title, '') <> '' and m.title is distinct from l.kept_title as retitled
+         from linked_entries l join (select * from tagged qualify row_number() over (partition by url order by title desc nulls last,
+           description desc nulls last, site desc nulls last, author desc nulls last) = 1) m on m.url = l.url)
+       where retitled or description is not null""",
+    tagged=TAGGED, linked_entries=LINKED,
+)
+def _(spark, sf):
+    """Titles and descriptions that moved, from pages with meta tags."""
+    meta = pg.one_per_url(pg.page_meta(b.tagged_pages(spark, sf)))
+    return pg.page_changes(b.linked_entries(spark, sf), meta, b.as_of()).select("entry_id", "body")
+
+
 @query(
     "check_subject",
     f"select id, concat_ws(' ', data_source, {o.domain('url')}, 'news funding launch acquisition') as subject from linked_entries",

@@ -193,6 +193,27 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"))
 
 
+def tagged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with meta tags of their own in front: both orders of attributes, both quotes, some tags outranked by others."""
+    p = F.col("page_id")
+    n = p.cast("string")
+
+    def tag(when: Column, *pieces) -> Column:
+        return F.when(when, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in pieces])).otherwise("")
+
+    tags = [
+        tag(p % 5 == 0, '<meta property="og:title" content="OG ', n, ' &amp; co">'),
+        tag(p % 5 < 2, "<meta content='Tw ", n, "' name='twitter:title'>"),
+        tag(p % 3 == 0, '<META NAME="description" data-x="1" CONTENT="Plain words of ', n, '">'),
+        tag(p % 6 == 0, '<meta content="Og says ', n, '&#33;" property="og:description" />'),
+        tag(p % 6 == 1, '<meta property="og:description" content=" "><meta name="twitter:description" content="Bird ', n, '">'),
+        tag(p % 4 == 0, '<meta property="og:site_name" content="Site ', (p % 7).cast("string"), '">'),
+        tag(p % 2 == 0, '<meta name="author" content="Author ', (p % 11).cast("string"), '">'),
+        tag(p % 3 == 1, '<meta content="Writer ', n, '" property="article:author">'),
+    ]
+    return pages(spark, sf_dir).withColumn("html", F.concat(*tags, "html"))
+
+
 def linked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with readings tied to a crawled page; odd ones carry an outdated title."""
     p = pages(spark, sf_dir)
