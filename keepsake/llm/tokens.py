@@ -108,14 +108,10 @@ class WordEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         lower = [t.lower() for t in texts]
         split = [None if any(s in low for s in self.special) or any(c in t for c in BY_PLACE) else low.split() for t, low in zip(texts, lower)]
-        found = [None if s is None else list(map(self.known.get, s)) for s in split]
-        # most words are known and looked up once; the others are collected from the gaps
-        gaps = [k for k, f in enumerate(found) if f is not None and None in f]
-        self._learn({w for k in gaps for w, x in zip(split[k], found[k]) if x is None})
-        known = self.known
-        for k in gaps:
-            found[k] = [known[w] if x is None else x for w, x in zip(split[k], found[k])]
-        return [self._whole(t) if f is None else b"".join(f) for t, f in zip(texts, found)]
+        words = set().union(*[s for s in split if s])
+        self._learn(words)
+        known = self.known.__getitem__
+        return [self._whole(t) if s is None else b"".join(map(known, s)) for t, s in zip(texts, split)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
