@@ -132,3 +132,24 @@ def test_pieces_cover_a_table_once(spark):
     assert len(parts) > 5 and all(p.count() <= 100 for p in parts)
     assert sorted(r[0] for p in parts for r in p.collect()) == list(range(1000))
     assert "ResolvedHint" not in broadcast_if_small(df, 10)._jdf.queryExecution().analyzed().toString()
+
+
+def test_cells_too_far_apart_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 16))
+    v = np.repeat(centres, 40, axis=0) + rng.normal(scale=0.05, size=(480, 16))
+    rows = [(f"v{i:04d}", [float(x) for x in r]) for i, r in enumerate(v)] + [("zero", [0.0] * 16)]
+    corpus = spark.createDataFrame(rows, "entry_id string, vec array<double>")
+    e = entries(spark, *[entry(i) for i, _ in rows])
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(nearest, "CORPUS_BLOCK", 32)
+    seen = []
+    keep = nearest.cells_that_may_meet
+    monkeypatch.setattr(nearest, "cells_that_may_meet", lambda *a: seen.append(keep(*a)) or seen[-1])
+    asked = corpus.select(F.col("entry_id").alias("query_id"), F.lit("p").alias("provider"), "vec")
+    got = {(r["query_id"], r["rank"], r["entry_id"]) for r in nearest.nearest(asked, corpus, e, "p", k=5, ceiling=0.2).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    dist = np.round(np.maximum(1 - unit @ unit.T, 0), 9)
+    want = {(f"v{i:04d}", n + 1, x) for i in range(480) for n, (_, x) in enumerate(sorted((dist[i, j], f"v{j:04d}") for j in range(480) if dist[i, j] < 0.2)[:5])}
+    assert got == want
+    assert seen[0].mean() < 0.5  # most pairs of cells are left out
