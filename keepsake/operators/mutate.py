@@ -109,12 +109,41 @@ def check_patches(patches: DataFrame) -> DataFrame:
     )
 
 
+def fold_patches(patches: DataFrame) -> DataFrame:
+    """One patch per id that does what its patches (with ``seq``) do one after another.
+
+    Fields and document keys take their last setting; tags their last replacement and what was added after it.
+    Everything is an aggregate, so an id patched millions of times is combined where its patches are read.
+    """
+    rows = patches.where(F.col("id").isNotNull())
+    plain = [c for c in [*SETTABLE, "kind", "archived"] if c in patches.columns]
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in plain]
+    replaced = F.max(F.when(F.col("tags").isNotNull(), F.col("seq"))).alias("replaced")
+    fields = rows.groupBy("id").agg(*last, replaced, F.max_by("tags", F.when(F.col("tags").isNotNull(), F.col("seq"))).alias("tags"))
+
+    added = rows.where(F.size(F.coalesce("add_tags", F.array().cast("array<string>"))) > 0).select("id", "seq", "add_tags")
+    later = added.join(fields.select("id", "replaced"), "id").where(F.col("replaced").isNull() | (F.col("seq") > F.col("replaced")))
+    adds = later.select("id", F.explode("add_tags").alias("tag")).groupBy("id").agg(F.collect_set("tag").alias("adds"))
+
+    keys = rows.where(F.col("data").isNotNull()).select("id", "seq", F.explode("data").alias("key", "value"))
+    # a null value is a setting too, so it rides in a struct
+    settings = keys.groupBy("id", "key").agg(F.max_by(F.struct("value"), "seq").alias("v"))
+    data = settings.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "v.value"))).alias("data"))
+
+    out = fields.join(adds, "id", "left").join(data, "id", "left")
+    both = F.array_sort(F.array_union(text.clean_tags(F.col("tags")), text.clean_tags(F.col("adds"))))
+    return out.select(
+        "id", *plain, F.when(F.col("adds").isNull(), F.col("tags")).when(F.col("tags").isNotNull(), both).alias("tags"),
+        F.when(F.col("tags").isNull(), F.col("adds")).alias("add_tags"), "data",
+    )
+
+
 def apply_updates(entries: DataFrame, patches: DataFrame, as_of: Column) -> DataFrame:
     """The item table after partial updates.
 
     ``patches``: id, kind, data, tags, add_tags, archived, and for each settable
     column a one-field struct ``{value}`` whose absence leaves the column alone.
-    Several patches for one id are refused: they would multiply the item.
+    Several patches for one id are refused: they would multiply the item; ``fold_patches`` makes one of them.
     """
     p = check_patches(patches)
     p = p.select(F.col("id").alias("pid"), *[F.col(c).alias(f"p_{c}") for c in p.columns if c != "id"])

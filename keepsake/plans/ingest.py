@@ -376,6 +376,48 @@ def _(spark, sf):
     )
 
 
+@query(
+    "apply_updates_folded",
+    f"""select id, case when doc_id % 4 = 3 then 'movie' else kind end as kind,
+          case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then 'second' else 'first' end as title,
+          case when doc_id % 2 = 0 then 2 else 1 end as rating,
+          array_to_string(case when doc_id % 5 = 0 then ['new', 'z'] when doc_id % 5 = 1 then ['late', 'z'] else list_sort(list_distinct(list_concat(tags, ['early']))) end, ' ') as tags,
+          concat(case when doc_id % 2 = 1 then 'lang=' || data_lang || ';' else '' end, case when doc_id % 2 = 1 then 'note=one;' else 'note=two;' end,
+            'source=', data_source, ';n_chars=', data_n_chars) as data,
+          strftime({NOW}, '%Y-%m-%dT%H:%M:%S.%fZ') as updated_at
+        from entries""",
+)
+def _(spark, sf):
+    """Two patches an item, the later one first in the table, folded in order."""
+    e = b.entries(spark, sf)
+    d = F.conv(F.substring("id", 1, 8), 16, 10).cast("bigint")
+    none, no_tags = F.lit(None), F.lit(None).cast("array<string>")
+    unset = F.when(F.lit(False), mutate.set_to(F.lit("")))
+    still = F.when(F.lit(False), mutate.set_to(none.cast("timestamp")))
+
+    def patch(seq, kind, title, rating, tags, add, data):
+        return e.select(
+            "id", F.lit(seq).alias("seq"), kind.alias("kind"), title.alias("title"), unset.alias("body"), unset.alias("status"), rating.alias("rating"),
+            still.alias("occurred_at"), still.alias("remind_at"), tags.alias("tags"), add.alias("add_tags"), data.alias("data"), none.cast("boolean").alias("archived"),
+        )
+
+    first = patch(
+        1, F.when(d % 4 == 3, "place"), mutate.set_to(F.lit("first")), mutate.set_to(F.lit(1)),
+        F.when(d % 5 == 1, F.array(F.lit("z"))), F.when(d % 5 != 1, F.array(F.lit("early"))),
+        F.create_map(F.lit("note"), F.lit("one")),
+    )
+    second = patch(
+        2, F.when(d % 4 == 3, "Film"), F.when(d % 3 == 0, mutate.set_to(none.cast("string"))).when(d % 3 == 1, mutate.set_to(F.lit("second"))),
+        F.when(d % 2 == 0, mutate.set_to(F.lit(2))), F.when(d % 5 == 0, F.array(F.lit("new"), F.lit("z"))), F.when(d % 5 == 1, F.array(F.lit("late"))).otherwise(no_tags),
+        F.when(d % 2 == 0, F.create_map(F.lit("note"), F.lit("two"), F.lit("lang"), none.cast("string"))),
+    )
+    out = mutate.apply_updates(e, mutate.fold_patches(second.unionByName(first)), b.as_of())
+    return out.select(
+        "id", "kind", "title", F.col("rating").cast("bigint").alias("rating"), F.array_join("tags", " ").alias("tags"),
+        values.as_text(F.col("data")).alias("data"), iso(F.col("updated_at")).alias("updated_at"),
+    )
+
+
 _KEPT = "(select id from entries where archived_at is null)"
 
 

@@ -146,3 +146,31 @@ def test_blank_recall_lists_newest(spark, store):
 def test_weak_titles(spark):
     assert apply(spark, lambda c: text.is_weak_title(c, F.array(F.lit("Hardware"))), None, "ab", "hardware", "hardware shop", "https://x y") == [
         True, True, True, False, True]
+
+
+def test_folded_patches_do_what_they_do_in_turn(spark):
+    import random
+
+    r = random.Random(6)
+    schema = (
+        "id string, seq int, kind string, title struct<value:string>, body struct<value:string>, status struct<value:string>, rating struct<value:int>, "
+        "occurred_at struct<value:timestamp>, remind_at struct<value:timestamp>, tags array<string>, add_tags array<string>, data map<string,string>, archived boolean"
+    )
+    some = lambda x, p=0.5: x if r.random() < p else None
+    rows = []
+    for seq in range(5):
+        for i in "abcdef":
+            replaces = r.random() < 0.3
+            rows.append((
+                i, seq, some(r.choice(["Film", "place"])), some((some(f"t{seq}"),)), some((f"b{seq}",), 0.3), some((some("open"),), 0.3), some((seq,)), None, None,
+                [f"r{seq}", "x"] if replaces else None, None if replaces else some([f"#A{seq}", "x"]), some({k: some(f"{k}{seq}") for k in r.sample("pqrs", 2)}), some(bool(seq % 2), 0.3),
+            ))
+    r.shuffle(rows)
+    patches = spark.createDataFrame(rows, schema)
+    e = entries(spark, *[entry(i, title="T", tags=["old"], data={"p": "0", "z": "1"}) for i in "abcdefg"])
+    turn = e
+    for seq in range(5):
+        turn = mutate.apply_updates(turn, patches.where(F.col("seq") == seq).drop("seq"), as_of())
+    got = mutate.apply_updates(e, mutate.fold_patches(patches), as_of())
+    shown = lambda df: sorted(map(repr, (x.asDict(True) | {"data": sorted((x["data"] or {}).items())} for x in df.collect())))
+    assert shown(got) == shown(turn)
