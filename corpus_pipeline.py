@@ -46,7 +46,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("token_files", write_token_files),
 ]
-# Models and sampled similarities have no SQL; the stages are tested against brute-force versions one by one.
+# Models and sampled similarities have no SQL; a test compares with the stages worked out plainly.
 ORACLE_SQL = None
 
 
