@@ -153,9 +153,8 @@ def _bucket() -> Column:
 def write_postings(found: DataFrame, path: str) -> DataFrame:
     """Store occurrences laid out by word, and read them back for ``match``.
 
-    Folders go by a hash of the word, so a search opens only those of its
-    words. Writing shuffles by word and item, which keeps a very common word
-    from filling one task.
+    Writing shuffles by word and item, which keeps a very common word
+    from filling one task. ``match`` joins them whole; ``search_index`` opens the wanted words only.
     """
     placed = found.select("entry_id", "term", "pos", "w", _bucket())
     spread_out = placed.repartition("bucket", F.pmod(F.xxhash64("entry_id"), F.lit(64)))
