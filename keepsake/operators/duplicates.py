@@ -2,97 +2,132 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import text
 from keepsake.operators.filters import live
 from keepsake.schema import DEDUPE_KINDS, FUZZY_DUPLICATE
-from keepsake.session import each, stored
+from keepsake.session import broadcast_if_small, stored
 
 SHOWN = 5
-# how many of a trigram's newest titles are looked at before its whole list
+# how many of a title's possible look-alikes are compared at a time, newest first
 HEAD = 64
+# How many titles, and how many trigrams, meet on each side of a task, and how many bits tell two sets apart.
+BLOCK_TITLES, BLOCK_GRAMS, SIGN_BITS = 16_384, 2_000_000, 1024
+# titles in steps of half the size ratio that two look-alikes may have are at most so many steps apart
+BANDS_APART = 2
+_FOUND = "tid long, other long, age long, newest string"
 
 
-def _ordered_grams(titles: DataFrame) -> DataFrame:
-    """(tid, kind, asked, at, n, o): each title's trigrams as numbers, rarest first, and how many there are.
-
-    From here on titles are numbers, too: no text travels with a trigram.
-    """
-    grams = stored(
-        titles.select("tid", "kind", "asked", "at", F.transform(text.trigrams(F.col("title")), lambda t: F.xxhash64(t)).alias("g")), "title-trigrams"
-    )
-    # how often each trigram occurs among titles; a small table
-    freq = each(grams, F.col("g"), "t").groupBy("t").agg(F.count("*").alias("df"))
-    placed = each(grams, F.col("g"), "t", "tid").join(freq, "t").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
-    return grams.select("tid", "kind", "asked", "at", F.size("g").alias("n")).join(
-        placed.select("tid", F.transform("o", lambda x: x["t"]).alias("o")), "tid"
-    )
+def _runs(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All elements in one array, and where each list begins in it."""
+    return np.concatenate(lists.to_numpy()), np.concatenate([[0], np.cumsum(lists.map(len).to_numpy())])
 
 
-def _prefixes(titles: DataFrame, slack: float) -> DataFrame:
-    """One row per trigram of a title's prefix, with its place in the order."""
-    keep = (F.col("n") - F.ceil(F.col("n") * slack) + 1).cast("int")
-    head = F.transform(F.slice("o", F.lit(1), keep), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    return each(titles, head, "h", "kind", "tid", "at", "n").select("kind", "tid", "at", "n", "h.t", "h.i")
+def _signs(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One row of bits per set: whether an odd number of its elements falls on each. Two sets differ in at least as many elements as bits."""
+    out = np.empty((len(starts) - 1, SIGN_BITS), dtype=np.float32)
+    for a in range(0, len(out), 1024):
+        b = min(a + 1024, len(out))
+        rows = np.repeat(np.arange(b - a), np.diff(starts[a : b + 1]))
+        at = rows * SIGN_BITS + np.mod(values[starts[a] : starts[b]], SIGN_BITS)
+        out[a:b] = (np.bincount(at, minlength=(b - a) * SIGN_BITS) & 1).reshape(b - a, SIGN_BITS)
+    return out
 
 
-def _compare(left: DataFrame, right: DataFrame, grams: DataFrame, threshold: float, slack: float, whole: bool = False) -> DataFrame:
-    """(tid, other, at): pairs above the threshold among those that share a prefix trigram.
+def _block_alike(left: pd.DataFrame, right: pd.DataFrame, threshold: float, slack: float, enough: int) -> pd.DataFrame:
+    """The ``enough`` newest look-alikes in one block for each title of another.
 
-    Sizes and places in the order settle most pairs; for the rest each pair fetches its two sets once, by number.
-    Where ``right`` is ``whole``, shared prefix trigrams are all counted: whatever else two titles share lies
-    behind one of their prefixes, so a pair with too few of them is left out as well.
+    Signs and sizes rule most pairs out by one matrix product; of the rest, sets are compared newest first, until there are enough.
     """
-    r = right.select("kind", "t", F.col("tid").alias("other"), "at", F.col("n").alias("m"), F.col("i").alias("j"))
-    sized = (F.col("m") >= F.col("n") * slack) & (F.col("n") >= F.col("m") * slack)
-    needed = (F.col("n") + F.col("m")) * (slack / (1 + slack))
-    reachable = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= needed
-    met = left.drop("at").join(r, ["kind", "t"]).where((F.col("tid") != F.col("other")) & sized)
-    if whole:
-        behind = F.ceil(F.greatest("n", "m") * slack) - 1
-        counted = met.groupBy("tid", "other", "at", "n", "m").agg(F.count("*").alias("c"), F.max(reachable).alias("reachable"))
-        pairs = counted.where(F.col("reachable") & (F.col("c") + behind >= needed))
-    else:
-        pairs = met.where(reachable).select("tid", "other", "at", "n", "m").distinct()
-    sets = grams.select("tid", "o")
-    held = pairs.join(sets, "tid").join(sets.select(F.col("tid").alias("other"), F.col("o").alias("p")), "other")
-    score = text.jaccard(F.size(F.array_intersect("o", "p")), F.col("n"), F.col("m")).cast("double")
-    return held.where(score > F.lit(threshold)).select("tid", "other", "at")
+    right = right.sort_values(["age", "newest"], ignore_index=True)
+    (lv, ls), (rv, rs) = _runs(left["g"]), _runs(right["g"])
+    n, m = np.diff(ls), np.diff(rs)
+    terms, codes = np.unique(rv, return_inverse=True)
+    present = np.zeros(len(terms) + 1, dtype=np.int64)
+    places = np.searchsorted(terms, lv)
+    places[(places < len(terms)) & (terms[np.minimum(places, len(terms) - 1)] != lv)] = len(terms)
+    l_sign, r_sign = _signs(lv, ls), _signs(rv, rs)
+    r_bits, r_ids, l_ids = r_sign.sum(axis=1), right["tid"].to_numpy(), left["tid"].to_numpy()
+    found = []
+    for a in range(0, len(left), 512):
+        part = l_sign[a : a + 512]
+        apart = part.sum(axis=1)[:, None] + r_bits - 2 * (part @ r_sign.T)
+        sizes = n[a : a + 512, None]
+        may = (apart <= (sizes + m) * ((1 - slack) / (1 + slack))) & (m >= sizes * slack) & (sizes >= m * slack)
+        may &= l_ids[a : a + 512, None] != r_ids
+        for i in np.flatnonzero(may.any(axis=1)):
+            near, mine, kept = np.flatnonzero(may[i]), places[ls[a + i] : ls[a + i + 1]], 0
+            present[mine] = 1
+            present[-1] = 0
+            for b in range(0, len(near), HEAD):
+                some = near[b : b + HEAD]
+                held = present[np.concatenate([codes[rs[j] : rs[j + 1]] for j in some])]
+                shared = np.add.reduceat(held, np.concatenate([[0], np.cumsum(m[some])[:-1]]))
+                score = (shared / (n[a + i] + m[some] - shared)).astype(np.float32).astype(np.float64)
+                alike = some[score > threshold][: enough - kept]
+                found.append((np.full(len(alike), a + i), alike))
+                kept += len(alike)
+                if kept >= enough:
+                    break
+            present[mine] = 0
+    rows = np.concatenate([f[0] for f in found]) if found else np.empty(0, int)
+    cols = np.concatenate([f[1] for f in found]) if found else np.empty(0, int)
+    return pd.DataFrame({"tid": l_ids[rows], "other": r_ids[cols], "age": right["age"].to_numpy()[cols], "newest": right["newest"].to_numpy()[cols]})
 
 
 def similar_titles(titles: DataFrame, threshold: float = FUZZY_DUPLICATE, enough: int = SHOWN + 1) -> DataFrame:
-    """(kind, title, other): at least the ``enough`` newest look-alikes of each asked title, or all if fewer.
+    """(kind, title, other): the ``enough`` newest look-alikes of each asked title, or all if fewer.
 
-    ``titles``: distinct (kind, title) with ``asked``, and ``at``, the newest time
-    a stored item held it, null if none does.
+    ``titles``: distinct (kind, title) with ``asked``, and of the newest stored item that holds
+    it ``age``, smaller the newer, and its id as ``newest``; both are null if none does.
 
-    Exact set-similarity join by prefix filtering (Chaudhuri et al., 2006): with
-    trigrams ordered rarest first, two similar titles share one among their
-    first few. Where very many titles share a trigram, comparing all of them
-    would be quadratic, so only the newest of each list are met at first. A
-    title is done once enough look-alikes are newer than any place its lists
-    were cut; only what is left meets the whole lists.
+    Exact, whatever trigrams titles share. Titles lie in cells by kind and number of trigrams, and the cells are
+    cut into bounded blocks. Two blocks meet in one task where their sizes allow look-alikes, so no pair of titles
+    is ever a row of a shuffle: a block passes on the few newest of each title.
     """
     slack = threshold - 1e-6
     named = stored(titles.withColumn("tid", F.monotonically_increasing_id()), "title-numbers")
-    ordered = stored(_ordered_grams(named), "title-grams")
-    left = _prefixes(ordered.where("asked"), slack)
-    right = _prefixes(ordered.where(F.col("at").isNotNull()), slack)
-    newest = Window.partitionBy("kind", "t").orderBy(F.desc("at"), "tid")
-    heads = stored(right.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= HEAD).drop("rank"), "title-heads")
-    seen = stored(_compare(left, heads, ordered, threshold, slack), "title-pairs")
-
-    cuts = heads.groupBy("kind", "t").agg(F.count("*").alias("c"), F.min("at").alias("edge")).where(F.col("c") == HEAD)
-    cut = left.select("kind", "tid", "t").join(cuts, ["kind", "t"]).groupBy("tid").agg(F.max("edge").alias("edge"))
-    done = seen.join(cut, "tid").where(F.col("at") > F.col("edge")).groupBy("tid").agg(F.count("*").alias("c")).where(F.col("c") >= enough)
-    unsure = stored(cut.join(done, "tid", "left_anti").select("tid"), "title-rest")
-    settled = seen.join(unsure, "tid", "left_anti")
-    rest = _compare(left.join(unsure, "tid", "left_semi"), right, ordered, threshold, slack, whole=True)
-    both = settled.unionByName(rest).select("tid", "other")
+    # from here on titles are numbers and so are their trigrams
+    grams = F.transform(text.trigrams(F.col("title")), lambda t: F.xxhash64(t))
+    sets = named.select("tid", "kind", "asked", "age", "newest", grams.alias("g")).withColumn("n", F.size("g"))
+    band = F.floor(F.log(F.col("n")) * (BANDS_APART / -math.log(slack))).cast("int")
+    sets = stored(sets.withColumn("band", F.when(F.col("n") > 0, band)), "title-grams").where(F.col("n") > 0)
+    sides = {"q": sets.where("asked").select("kind", "band", "tid", "n", "g")}
+    sides["c"] = sets.where(F.col("age").isNotNull()).select("kind", "band", "tid", "n", "g", "age", "newest")
+
+    def cells(side: str) -> DataFrame:
+        blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK_TITLES)).cast("int")
+        return sides[side].groupBy("kind", F.col("band").alias(f"{side}c")).agg(blocks.alias(f"{side}n"))
+
+    # a few rows per kind
+    met = stored(cells("q").join(cells("c"), "kind").where(F.abs(F.col("qc") - F.col("cc")) <= BANDS_APART), "title-cells")
+
+    def dealt(side: str, other: str) -> DataFrame:
+        """Each title in its own block, once for every block it meets."""
+        own = F.pmod(F.xxhash64("tid"), F.col(f"{side}n")).cast("int").alias(f"{side}b")
+        theirs = F.explode(F.sequence(F.lit(0), F.col(f"{other}n") - 1)).alias(f"{other}b")
+        rows = sides[side].withColumnRenamed("band", f"{side}c").join(broadcast_if_small(met), ["kind", f"{side}c"])
+        # aliases keep the two sides of one table apart
+        kept = [F.col(c).alias(c) for c in ("kind", "qc", "cc", "tid", "g", "age", "newest") if c in rows.columns]
+        return rows.select(own, theirs, *kept)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"tid": [], "other": [], "age": [], "newest": []})
+        return _block_alike(left, right, threshold, slack, enough)
+
+    at = ["kind", "qc", "cc", "qb", "cb"]
+    pairs = dealt("q", "c").groupBy(*at).cogroup(dealt("c", "q").groupBy(*at)).applyInPandas(run, _FOUND)
+    first = Window.partitionBy("tid").orderBy("age", "newest")
+    both = pairs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= enough).select("tid", F.col("other").alias("other_id"))
     other = named.select(F.col("tid").alias("other_id"), F.col("title").alias("other"))
-    return both.withColumnRenamed("other", "other_id").join(named.select("tid", "kind", "title"), "tid").join(other, "other_id").select("kind", "title", "other")
+    return both.join(named.select("tid", "kind", "title"), "tid").join(other, "other_id").select("kind", "title", "other")
 
 
 def find_duplicates(probes: DataFrame, entries: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -115,7 +150,8 @@ def find_duplicates(probes: DataFrame, entries: DataFrame, fuzzy: bool = True) -
     asked = p.select("kind", "title").distinct()
     pairs = asked.select("kind", "title", F.col("title").alias("other"))
     if fuzzy:
-        held = newest.groupBy("kind", "title").agg(F.max("e.created_at").alias("at"))
+        known = F.when(F.col("e.created_at").isNotNull(), F.struct((-F.unix_micros("e.created_at")).alias("age"), F.col("e.id").alias("newest")))
+        held = newest.groupBy("kind", "title").agg(F.min(known).alias("k")).select("kind", "title", "k.*")
         both = asked.withColumn("asked", F.lit(True)).join(held, ["kind", "title"], "full_outer")
         pairs = pairs.unionByName(similar_titles(both.withColumn("asked", F.coalesce("asked", F.lit(False)))))
     found = pairs.join(newest.select("kind", F.col("title").alias("other"), "e"), ["kind", "other"])

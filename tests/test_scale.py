@@ -153,3 +153,21 @@ def test_cells_too_far_apart_are_not_compared(spark, monkeypatch):
     want = {(f"v{i:04d}", n + 1, x) for i in range(480) for n, (_, x) in enumerate(sorted((dist[i, j], f"v{j:04d}") for j in range(480) if dist[i, j] < 0.2)[:5])}
     assert got == want
     assert seen[0].mean() < 0.5  # most pairs of cells are left out
+
+
+def test_duplicates_never_shuffle_pairs(spark, monkeypatch):
+    # 240 titles that share most of their trigrams; blocks of 40 titles on each side
+    monkeypatch.setattr(duplicates, "BLOCK_TITLES", 40, raising=False)
+    rng = random.Random(5)
+    words = ["alpha", "alphas", "alphabet", "gamma", "gammas", "beta", "betas"]
+    rows = [(f"e{i:03d}", f"{' '.join(rng.choices(words, k=rng.randint(2, 9)))} {i % 50}", i // 4) for i in range(240)]
+    e = entries(spark, *[entry(i, kind="movie", title=t, minutes=m) for i, t, m in rows])
+    want = {}
+    for i, t, _ in rows:
+        near = sorted((-m2, i2) for i2, t2, m2 in rows if i2 != i and (t2 == t or similar(t, t2, 0.55)))
+        want |= {(i, n + 1): other for n, (_, other) in enumerate(near[:5])}
+    found = duplicates.find_duplicates(e, e)
+    assert {(r["id"], r["position"]): r["duplicate_id"] for r in found.collect()} == want and len(want) > 1000
+    # titles meet in blocks: no join is made on trigrams
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
