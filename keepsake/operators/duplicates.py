@@ -94,8 +94,7 @@ def similar_titles(titles: DataFrame, threshold: float = FUZZY_DUPLICATE, enough
     slack = threshold - 1e-6
     named = stored(titles.withColumn("tid", F.monotonically_increasing_id()), "title-numbers")
     # from here on titles are numbers and so are their trigrams
-    grams = F.transform(text.trigrams(F.col("title")), lambda t: F.xxhash64(t))
-    sets = named.select("tid", "kind", "asked", "age", "newest", grams.alias("g")).withColumn("n", F.size("g"))
+    sets = named.select("tid", "kind", "asked", "age", "newest", text.trigram_numbers(F.col("title")).alias("g")).withColumn("n", F.size("g"))
     band = F.floor(F.log(F.col("n")) * (BANDS_APART / -math.log(slack))).cast("int")
     sets = stored(sets.withColumn("band", F.when(F.col("n") > 0, band)), "title-grams").where(F.col("n") > 0)
     sides = {"q": sets.where("asked").select("kind", "band", "tid", "n", "g")}

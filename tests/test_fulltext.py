@@ -125,3 +125,23 @@ def test_very_long_threads_match_block_by_block(spark, monkeypatch):
     assert run() == whole
     monkeypatch.setattr(fulltext, "THREAD_CHARS", 1)
     assert run() == whole and len(whole) > 12
+
+
+def test_work_is_done_once_per_text_not_per_pair(spark, monkeypatch):
+    e = entries(spark, entry("a", title="Écluse 50% off", body="The REWH of the wood"), entry("b", title=None, body="ab_c"), entry("c", title="rewhs", body="x"))
+    q = spark.createDataFrame([(1, "rewh"), (2, "ab"), (3, "0% o"), (4, "b_c"), (5, "éclus"), (6, "zz")], "query_id int, query string")
+    want = {(1, "a"), (1, "c"), (2, "b"), (3, "a"), (4, "b"), (5, "a")}
+    pairs = lambda df: {(r["query_id"], r["id"]) for r in df.collect()}
+    few = recall.fragments(q, e)
+    assert pairs(few) == want
+    # a few queries are looked for in the texts, which are not cut into pieces for them
+    assert "split(" not in few._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(recall, "MOST_SCANNED", 0)
+    assert pairs(recall.fragments(q, e)) == want
+    # titles and queries are cut into trigrams below the joins
+    top = recall.text_search(q, e, notes(spark))._jdf.queryExecution().analyzed().toString()
+    assert "array_intersect(g#" in top and "regexp_extract_all(lower(title" not in top.split("Join")[0]
+    # the places of a query's words are worked out once per occurrence, not once per word as well (the plan then names them 4 times)
+    occ = spark.sql("select array(named_struct('pos', 1L, 'k', 0, 'w', 1.0D)) as occ, array(named_struct('must', array(0), 'phrases', array(array(0)), 'must_not', array(array(0)))) as c")
+    rank = occ.select(fulltext.cover_density(F.col("occ"), F.col("c")))._jdf.queryExecution().analyzed().toString()
+    assert rank.count(".k) THEN") == 2
