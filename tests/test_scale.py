@@ -171,3 +171,25 @@ def test_duplicates_never_shuffle_pairs(spark, monkeypatch):
     # titles meet in blocks: no join is made on trigrams
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_nearest_blocks_piece_by_piece(spark, monkeypatch):
+    # copies of one vector, a zero vector, and pieces far smaller than the ties
+    v, _ = _vectors(spark, 60, 4, copies=20)
+    v = v.astype(np.float32)
+    v[59] = 0
+    rows = [(f"v{i:04d}", [float(x) for x in r]) for i, r in enumerate(v)]
+    corpus = spark.createDataFrame(rows, "entry_id string, vec array<float>")
+    placed = nearest._placed(corpus, "entry_id", np.eye(8)[:2])
+    # a vector travels as wide as it came
+    assert placed.schema["vec"].dataType.simpleString() == "array<float>" and placed.count() == 59
+    unit = v[:59].astype(float) / np.linalg.norm(v[:59].astype(float), axis=1, keepdims=True)
+    dist = np.round(np.maximum(1 - unit @ unit.T, 0), 9)
+    want = {(i, f"v{j:04d}") for i in range(59) for _, j in sorted((dist[i, j], j) for j in range(59) if dist[i, j] < 0.8)[:7]}
+    monkeypatch.setattr(nearest, "QUERY_PIECE", 7)
+    monkeypatch.setattr(nearest, "CORPUS_PIECE", 5)
+    pdf = corpus.toPandas()
+    got = nearest._block_top(pdf.rename(columns={"entry_id": "query_id"}), pdf.sample(frac=1, random_state=1), 7, 0.8)
+    assert {(int(q[1:]), e) for q, e in zip(got["query_id"], got["entry_id"], strict=True)} == want and len(got) == len(want)
+    # a piece of either side meets the other often enough to matter: blocks of both sides are alike
+    assert nearest.QUERY_BLOCK == nearest.CORPUS_BLOCK
