@@ -37,26 +37,3 @@ def fnv1a(word: Column) -> Column:
 def word_slot(word: Column, dims: int) -> Column:
     h = fnv1a(word)
     return (F.least(h, F.lit(4294967296).cast("bigint") - h) % dims).cast("int")
-
-
-def word_slots(text: Column, dims: int) -> Column:
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
-    return F.transform(found, lambda w: word_slot(w, dims))
-
-
-def slot_counts(slots: Column, dims: int) -> Column:
-    """How often each slot occurs: the sorted slots are cut into runs once, and a run gives its slot's count."""
-
-    def runs(s: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(F.struct(s.alias("s"), ends.alias("e")), counted)
-
-    def counted(x: Column) -> Column:
-        # each run brings the zeros between its slot and the one before
-        slot = lambda i: F.coalesce(F.get(x["s"], F.get(x["e"], i) - 1), F.lit(-1))
-        size = lambda e, i: (e - F.coalesce(F.get(x["e"], i - 1), F.lit(0))).cast("double")
-        filled = F.flatten(F.transform(x["e"], lambda e, i: F.concat(F.array_repeat(F.lit(0.0), slot(i) - slot(i - 1) - 1), F.array(size(e, i)))))
-        return F.concat(filled, F.array_repeat(F.lit(0.0), F.lit(dims - 1) - F.element_at(x["s"], -1)))
-
-    zeros = F.array_repeat(F.lit(0.0), dims)
-    return F.when(F.size(slots) > 0, let(F.array_sort(slots), runs)).otherwise(zeros)

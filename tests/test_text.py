@@ -1,3 +1,5 @@
+import re
+
 from helpers import apply
 from pyspark.sql import functions as F
 
@@ -110,3 +112,25 @@ def test_snippets(spark):
     assert got[0].split()[0] == "**needle**" and got[0].split()[10] == "**Needle,**" and len(got[0].split()) == 28
     assert got[1] == "T — w0 w1 w2 w3 w4 w5"
     assert got[2] == "—"
+
+
+def test_word_hash_of_many_texts_together(spark, monkeypatch):
+    from keepsake.operators import embedders
+
+    def plain(t, dims):
+        counts = [0.0] * dims
+        for w in re.findall("[a-z0-9']+", (t or "").lower()):
+            h = 2166136261
+            for ch in w:
+                h = ((h ^ ord(ch)) * 16777619) & 0xFFFFFFFF
+            counts[min(h, 2**32 - h) % dims] += 1
+        length = sum(c * c for c in counts) ** 0.5 or 1.0
+        return [c / length for c in counts]
+
+    texts = ["abc def", "", "'x'", "é a K", None, "Zz top ABC abc", "abc", "a" * 70 + " a" * 30, "日本"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    # pieces that end between texts, at a text longer than a piece, and whole batches
+    for size in (8, 60, 4_000_000):
+        monkeypatch.setattr(embedders, "HASHED_BYTES", size)
+        got = {r["id"]: list(r["vec"]) for r in embedders.WordHash(7).embed(df).collect()}
+        assert got == {i: plain(t, 7) for i, t in enumerate(texts)}
