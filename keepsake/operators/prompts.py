@@ -19,6 +19,8 @@ def log_prompts(calls: DataFrame, entries: DataFrame) -> DataFrame:
     ``calls``: id, at, surface, action, input, entry_ids, ms, ok, error. Tags
     and kinds are looked up from the items a call produced, first seen first.
     """
+    # cut before they travel: a call may hold a whole document
+    calls = calls.withColumns({"input": F.substring("input", 1, INPUT_CHARS), "error": F.substring("error", 1, ERROR_CHARS)})
     touched = (
         calls.select("id", F.posexplode("entry_ids").alias("pos", "entry_id"))
         .join(entries.select(F.col("id").alias("entry_id"), "kind", "tags"), "entry_id")
@@ -31,13 +33,13 @@ def log_prompts(calls: DataFrame, entries: DataFrame) -> DataFrame:
         "at",
         "surface",
         "action",
-        F.substring("input", 1, INPUT_CHARS).alias("input"),
+        "input",
         "entry_ids",
         F.coalesce(F.array_distinct(F.flatten(F.transform("e", lambda x: x["tags"]))), none).alias("tags"),
         F.coalesce(F.array_distinct(F.transform("e", lambda x: x["kind"])), none).alias("kinds"),
         "ms",
         F.coalesce("ok", F.lit(True)).alias("ok"),
-        F.substring("error", 1, ERROR_CHARS).alias("error"),
+        "error",
     )
 
 

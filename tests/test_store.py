@@ -174,3 +174,12 @@ def test_folded_patches_do_what_they_do_in_turn(spark):
     got = mutate.apply_updates(e, mutate.fold_patches(patches), as_of())
     shown = lambda df: sorted(map(repr, (x.asDict(True) | {"data": sorted((x["data"] or {}).items())} for x in df.collect())))
     assert shown(got) == shown(turn)
+
+
+def test_prompts_are_cut_before_they_travel(spark):
+    calls = spark.createDataFrame([("p1", T0, "web", "jot", "x" * 9000, ["e1"], 1, None, "y" * 600)], "id string, at timestamp, surface string, action string, input string, entry_ids array<string>, ms int, ok boolean, error string")
+    logged = prompts.log_prompts(calls, entries(spark, entry("e1", tags=["a"])))
+    (row,) = logged.collect()
+    assert (len(row["input"]), len(row["error"]), row["tags"], row["kinds"], row["ok"]) == (8000, 500, ["a"], ["thought"], True)
+    plan = logged._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Join LeftOuter") < plan.index("substring(input")
