@@ -145,3 +145,24 @@ def test_work_is_done_once_per_text_not_per_pair(spark, monkeypatch):
     occ = spark.sql("select array(named_struct('pos', 1L, 'k', 0, 'w', 1.0D)) as occ, array(named_struct('must', array(0), 'phrases', array(array(0)), 'must_not', array(array(0)))) as c")
     rank = occ.select(fulltext.cover_density(F.col("occ"), F.col("c")))._jdf.queryExecution().analyzed().toString()
     assert rank.count(".k) THEN") == 2
+
+
+def _places(df):
+    return sorted((r["entry_id"], r["term"], r["pos"], r["w"]) for r in df.select("entry_id", "term", "pos", "w").collect())
+
+
+def test_words_are_placed_without_being_shuffled(spark):
+    # the same note id twice, a note of no item, empty texts, trailing stop words
+    e = entries(spark, entry("e1", title="The one", body="of two the", data={"k": "three"}), entry("e2", body=""), entry("e3", title="", body="four"))
+    n = notes(spark, ("n1", "e1", "five the", 1, "me"), ("n1", "e3", "six", 2, "me"), ("n2", "e9", "seven", 3, "me"), ("n3", "e1", "", 4, "me"))
+    for stop in ([], ["the", "of"]):
+        every = fulltext.occurrences(e, n, stopwords=stop)
+        wanted = every.select("term").distinct()
+        assert _places(every) == _places(fulltext.occurrences(e, n, wanted, stop)) == _places(fulltext.occurrences(e, n, stopwords=stop, tasks=(2, 3)))
+    # what is exploded is no longer exchanged
+    plan = fulltext.occurrences(e, n)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    generates = [i for i, line in enumerate(lines) if "Generate posexplode" in line]
+    joins = [i for i, line in enumerate(lines) if "Join" in line]
+    assert generates and not any(j < g and depth(lines[j]) < depth(lines[g]) for j in joins for g in generates)
