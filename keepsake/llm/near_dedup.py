@@ -7,11 +7,12 @@ fixed size. Each sample of Ioffe's scheme (2010) agrees between two texts with
 the probability of their weighted Jaccard similarity; bands of samples bring
 candidates together, and every link is verified on the weights themselves.
 
-Copies are one text from the start. In a bucket texts meet a centre, not each
-other, so a group of n near copies costs about n comparisons. What no centre
-took is dealt anew, with all texts of its buckets, into finer bands that texts
-of less similarity hardly share, and meets more and more centres there, in the end
-every text of the bucket, unless links join it to their component before.
+Copies are one text from the start. The texts of a bucket are compared by their samples
+inside tasks, in blocks of bounded size; a pair belongs to the first band its texts share, so it
+is looked at once. A pair is plausible if ``PLAUSIBLE`` of its 56 samples agree. Every text first names its
+most alike plausible partners, and those pairs are verified: about n of them in a group of n near copies. Plausible
+pairs whose texts are then still in different components are verified all,
+in blocks that get the shingles of each text once, unless links join them before.
 
 Edge cases: a text of fewer than five words is one shingle; a null text and one without
 words is like no other and always stays; copies and repeated rows form one class with
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm.common import ASCII_LOWER, raw, table, whole_row
@@ -34,13 +35,19 @@ from keepsake.session import stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
-# Finer bands of more samples each, for texts that no centre of their buckets took. They pick from the first samples
-# and as many fresh ones, so that texts of a coarse bucket miss each other here no more often than in the coarse bands.
+# Of 56 samples of two texts at a similarity of 0.8, fewer agree in 6 of a million draws, two orders below what the bands miss.
+PLAUSIBLE = 31
+PARTNERS = 1  # named by each text in each of its buckets
+WANTED_BITS = 22
+BLOCK_TEXTS = 1024  # of a bucket compared with as many others at once
+STRIP = 64
+# Finer bands of more samples each, which pick from the first samples and as many fresh ones. The job does without them.
 FRESH = BANDS * ROWS
 FINE_BANDS, FINE_ROWS = 80, 8
 DF_BITS = 16
 IDF_SHARE = 0.25
 CACHE_WORDS = 400_000
+SAID = r"[^\x20\x09-\x0D]"  # a text with words has one such character
 BLOCK = 16_384  # shingles sampled at once
 LEVELS = 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -97,11 +104,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, counts, n = Shingles(), np.zeros((1 << DF_BITS) + 1, np.int64), 0
+        held: list[np.ndarray] = []
         for got in batches:
             for text in got.column("text"):
                 hashes, _ = made.of(text.as_py())
-                np.add.at(counts, _slot(hashes), 1)
+                held.append(_slot(hashes).astype(np.int32))
                 n += len(hashes) > 0
+                if len(held) == 1024:
+                    counts[:-1] += np.bincount(np.concatenate(held), minlength=1 << DF_BITS)
+                    held.clear()
+        if held:
+            counts[:-1] += np.bincount(np.concatenate(held), minlength=1 << DF_BITS)
         counts[-1] = n
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used])], ["slot", "n"])
@@ -162,8 +175,10 @@ def sketches(docs: DataFrame, df: np.ndarray, documents: int) -> DataFrame:
             weights = by_slot[_slot(hashes)] * np.concatenate([c for _, _, c in rows])
             starts = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in rows])[:-1]])
             samples = sampler(hashes, weights, starts)
-            packed = [x.tobytes() for x in samples.astype(np.uint16)]
-            samples = samples.reshape(len(rows), BANDS, ROWS)
+            short = samples.astype(np.uint16)
+            packed = [x.tobytes() for x in short]
+            # made of the short samples, so whoever holds those knows which bands two texts share
+            samples = short.astype(np.uint64).reshape(len(rows), BANDS, ROWS)
             bands = np.arange(BANDS, dtype=np.uint64) * _M1 + np.zeros((len(rows), 1), np.uint64)
             for j in range(ROWS):
                 bands = _mix((bands ^ samples[:, :, j]) * _M1)
@@ -206,8 +221,24 @@ def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     key = F.struct("doc_id", "text_key").alias("key")  # nulls equal nulls inside a struct
     texts = docs.select("doc_id", text_key().alias("text_key"), raw(F.col("text")).alias("text")).select("*", key)
-    texts = texts.join(wanted.select(key), "key", "left_semi").drop("key", "doc_id")
-    return texts.mapInArrow(run, "text_key binary, hashes binary, counts binary").dropDuplicates(["text_key"])
+    # one document stands for a text, and its repeated rows go while they are texts: shingles take more room
+    wanted = wanted.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")).select(key)
+    texts = texts.where(_maybe(wanted)).join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("text_key", "text")
+    return texts.mapInArrow(run, "text_key binary, hashes binary, counts binary")
+
+
+def _maybe(wanted: DataFrame) -> Column:
+    """Whether a key has the hash slot of a wanted one: most other texts go where they are read, and are not shuffled.
+
+    The slots are bits of a fixed number of words, one literal.
+    """
+    slot = F.xxhash64("key").bitwiseAND(F.lit((1 << WANTED_BITS) - 1))
+    bits = wanted.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(key) & 63 AS INT))").alias("bit"))
+    words = [0] * (1 << WANTED_BITS - 6)
+    for word, some in bits.groupBy("word").agg(F.bit_or("bit").alias("some")).collect():  # at most one row per word
+        words[word] = some
+    held = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    return F.expr("shiftleft(1L, cast(xxhash64(key) & 63 AS INT))").bitwiseAND(F.get(held, F.shiftright(slot, 6).cast("int"))) != 0
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -286,34 +317,136 @@ def _fine_keys(texts: DataFrame, features: DataFrame, weights: np.ndarray) -> Da
     return texts.join(features, "text_key").mapInArrow(run, "key long, text_key binary")
 
 
-def _with_meets(keys: DataFrame) -> DataFrame:
-    """The rows of buckets of more than one text, with n, and over all its buckets how many others a text meets."""
-    many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keys = stored(keys.join(many, "key"), "near-keys")
-    return stored(keys.join(keys.groupBy("text_key").agg(F.sum("n").alias("meets")), "text_key"), "near-buckets")
+def _buckets(texts: DataFrame) -> DataFrame:
+    """key, band, text_key and n of the buckets of n texts, more than one."""
+    keys = texts.select("text_key", F.posexplode("bands").alias("band", "hash"))
+    keys = keys.select(F.xxhash64("band", "hash").alias("key"), "band", "text_key")
+    return keys.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+
 
+def _dealt(buckets: DataFrame) -> DataFrame:
+    """The rows dealt to blocks (key, low, high): two parts of a large bucket, or one of them with itself; ``mine`` is a row's own part."""
+    parts = F.ceil(F.col("n") / BLOCK_TEXTS).cast("int")
+    rows = buckets.withColumn("mine", F.pmod(F.xxhash64("text_key"), parts).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other")).drop("other", "n")
 
-def _labelled(buckets: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Buckets whose texts are not all of one component yet, each text with its component."""
-    part = components(texts, found).select("text_key", F.col("label.text_key").alias("part"))
-    rows = stored(buckets.join(part, "text_key"), "near-parts")
-    several = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("meets", F.xxhash64("key", "text_key").alias("u"), "text_key", "part")).alias("first"))
-    return rows.join(several.where("low != high").select("key", "first"), "key")
 
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-def _meet(buckets: DataFrame, features: DataFrame, weights: np.ndarray, similarity: float, draws: int) -> DataFrame:
-    """New links (a, b) between texts and the centres of their buckets.
 
-    The first centre is the text that meets most others, so likeliest what they
-    are copies of; some ``draws`` more are drawn by hash, all texts if there are no
-    more. Texts of the first centre's component, and of one component, need not meet.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block; they come sorted, so a block is a stretch that may run over batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for got in batches:
+        names = np.stack([got.column(c).to_numpy() for c in ("key", "low", "high")], 1)
+        edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a == b:
+                continue
+            if held and tuple(names[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(names[a])
+            held.append(got.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _plausible(block: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Agreeing samples of the pairs of a block, a strip of rows at a time with the number of its first row.
+
+    Zero where a pair is not plausible, shares an earlier band, lies in one component, or has its place in another block.
     """
-    u = F.pmod(F.xxhash64("key", "text_key", F.lit(draws)), F.lit(1 << 30)) / (1 << 30)
-    centre = (F.col("text_key") == F.col("first.text_key")) | (u < draws / F.col("n"))
-    open_ = buckets.where(F.col("part") != F.col("first.part")).select("key", F.col("text_key").alias("a"), F.col("part").alias("a_part"))
-    met = open_.join(buckets.where(centre).select("key", F.col("text_key").alias("b"), F.col("part").alias("b_part")), "key").where("a_part != b_part")
-    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return stored(_verify(pairs, features, weights, similarity), "near-links").select("a", "b")
+    x = np.frombuffer(b"".join(block.column("samples").to_pylist()), np.uint16).reshape(block.num_rows, BANDS * ROWS)
+    band, mine = block.column("band")[0].as_py(), block.column("mine").to_numpy()
+    _, part = np.unique(np.array([p.hex() for p in block.column("part").to_pylist()]), return_inverse=True)
+    apart = block.column("low")[0].as_py() != block.column("high")[0].as_py()
+    columns = np.ascontiguousarray(x.T)
+    for s in range(0, len(x), STRIP):
+        strip = slice(s, s + STRIP)
+        same = np.zeros((len(x[strip]), len(x)), np.uint8)
+        ok = part[strip, None] != part
+        if apart:
+            ok &= mine[strip, None] != mine
+        for j in range(BANDS):
+            whole = np.ones(same.shape, bool)
+            for column in columns[j * ROWS : (j + 1) * ROWS]:
+                equal = column[strip, None] == column
+                same += equal
+                whole &= equal
+            if j < band:
+                ok &= ~whole
+        ok &= same >= PLAUSIBLE
+        yield s, same * ok
+
+
+def _partners(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text and the plausible partners of its bucket it is most alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            keys, pairs = block.column("text_key").to_pylist(), set()
+            for s, same in _plausible(block):
+                best = np.argsort(-same.astype(np.int16), 1, kind="stable")[:, :PARTNERS]
+                for i, chosen in enumerate(best.tolist()):
+                    pairs.update((max(keys[s + i], keys[j]), min(keys[s + i], keys[j])) for j in chosen if same[i, j])
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], ["a", "b"])
+
+    return _together(rows).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """The rows of texts with a plausible partner of another component in their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            some = np.concatenate([same.any(1) for _, same in _plausible(block)])
+            yield from block.filter(pa.array(some)).combine_chunks().to_batches()
+
+    return _together(rows).mapInArrow(run, rows.schema)
+
+
+def _settled(rows: DataFrame, weights: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) between components, from all plausible pairs of rows with hashes and counts; the most alike come first."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_slot = shared.value
+        for block in _blocks(batches):
+            hashes = [np.frombuffer(h, np.uint64) for h in block.column("hashes").to_pylist()]
+            sets = [(h, by_slot[_slot(h)] * np.frombuffer(c, "<i4")) for h, c in zip(hashes, block.column("counts").to_pylist())]
+            sums = np.array([w.sum() for _, w in sets])
+            joined = {p: p for p in block.column("part").to_pylist()}
+            parts, keys = block.column("part").to_pylist(), block.column("text_key").to_pylist()
+            ends = []
+            for s, same in _plausible(block):
+                i, j = np.nonzero(same)
+                later = j > i + s
+                ends.append(np.stack([same[i, j][later], i[later] + s, j[later]], 1).astype(np.int32))
+            pairs = np.concatenate(ends)
+            # no two texts are more alike than the smaller is large
+            fit = np.minimum(sums[pairs[:, 1]], sums[pairs[:, 2]]) >= (similarity - 1e-9) * np.maximum(sums[pairs[:, 1]], sums[pairs[:, 2]])
+            pairs = pairs[fit]
+            found = []
+
+            def root(p: bytes) -> bytes:
+                while joined[p] != p:
+                    joined[p] = p = joined[joined[p]]
+                return p
+
+            for i, j in pairs[np.argsort(-pairs[:, 0], kind="stable"), 1:].tolist():
+                a, b = root(parts[i]), root(parts[j])
+                if a != b and weighted_jaccard(sets[i], sets[j]) >= similarity:
+                    joined[a] = b
+                    found.append((max(keys[i], keys[j]), min(keys[i], keys[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+    return _together(rows).mapInArrow(run, "a binary, b binary")
 
 
 def links(texts: DataFrame, docs: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -321,45 +454,38 @@ def links(texts: DataFrame, docs: DataFrame, weights: np.ndarray, similarity: fl
 
     They join what belongs together: two texts are linked here, or by way of others.
     """
-    keys = texts.select("text_key", F.posexplode("bands").alias("band", "key"))
-    buckets = _with_meets(keys.select(F.xxhash64("band", "key").alias("key"), "text_key"))
-    nodes = stored(texts.join(buckets.select("text_key").distinct(), "text_key", "left_semi"), "near-nodes")
-    features = stored(_features(docs, nodes.select("doc_id", "text_key")), "near-features")
-    found = _meet(_labelled(buckets, nodes, None), features, weights, similarity, 0)
-    around = _labelled(buckets, nodes, found).select("text_key").distinct()
-    fine = _with_meets(_fine_keys(nodes.join(around, "text_key", "left_semi").select("text_key", "samples"), features, weights))
-    draws = 0
-    while True:
-        # in the round before, buckets of so many texts had them all as centres
-        left = stored(_labelled(fine if not draws else fine.where(F.col("n") > draws // 4), nodes, found), "near-open")
-        if left.isEmpty():
-            return found.distinct()
-        found = stored(found.union(_meet(left, features, weights, similarity, draws)), "near-links")
-        draws = 4 * draws or 4
-
-
-def components(nodes: DataFrame, edges: DataFrame | None) -> DataFrame:
+    buckets = stored(_buckets(texts), "near-buckets")
+    rows = stored(_dealt(buckets).join(texts.select("text_key", "samples"), "text_key"), "near-rows")
+    pairs = stored(_partners(rows.withColumn("part", F.col("text_key"))), "near-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
+    nodes = stored(texts.join(ends, "text_key", "left_semi").select("doc_id", "text_key"), "near-nodes")
+    # who has a plausible partner has named one, so no other text is looked at again
+    features = stored(_features(docs, nodes), "near-features")
+    found = stored(_verify(pairs, features, weights, similarity).select("a", "b"), "near-links")
+    part = components(nodes, found).select("text_key", F.col("label.text_key").alias("part"))
+    left = stored(_unsettled(rows.join(part, "text_key")), "near-open")
+    return found.union(_settled(left.join(features, "text_key"), weights, similarity)).distinct()
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """text_key and ``label``, the first (doc_id, text_key) of its component.
 
-    Nodes take the smallest label around them and then their label's label,
-    until nothing changes; only nodes with links take part in the rounds.
+    Every node with links goes over to the smallest label around it, and links with it, until none is left: links
+    within one label go, so fewer are looked at in every round. The smallest of a component never moves.
     """
-    if edges is None:
-        return nodes.select("text_key", F.struct("doc_id", "text_key").alias("label"))
-    both = stored(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    if both.isEmpty():
-        return nodes.select("text_key", F.struct("doc_id", "text_key").alias("label"))
     own = F.struct("doc_id", "text_key").alias("label")
-    labels = stored(nodes.join(both.select(F.col("a").alias("text_key")).distinct(), "text_key", "left_semi").select("text_key", own), "near-labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("text_key", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(seen.withColumnRenamed("a", "text_key"), "text_key").select("text_key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("text_key").alias("via"), F.col("label").alias("far"))
-        step = step.withColumn("via", F.col("label.text_key")).join(up, "via").select("text_key", "old", F.least("label", "far").alias("label"))
-        step = stored(step, "near-labels")
-        labels = step.select("text_key", "label")
-        if step.where("label != old").isEmpty():
-            break
+    ends = edges.select(F.col("a").alias("text_key")).union(edges.select(F.col("b").alias("text_key"))).distinct()
+    labels = stored(nodes.join(ends, "text_key", "left_semi").select("text_key", own), "near-labels")
+    if labels.isEmpty():
+        return nodes.select("text_key", own)
+    left = edges.join(labels.toDF("a", "a_label"), "a").join(labels.toDF("b", "b_label"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    left = stored(left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
+    while not left.isEmpty():
+        goes = stored(left.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("label"), F.least("a", "near").alias("to")), "near-goes")
+        # labels without links left are settled
+        labels = stored(labels.join(goes, "label", "left").select("text_key", F.coalesce("to", "label").alias("label")), "near-labels")
+        moved = left.join(goes.toDF("a", "a_to"), "a").join(goes.toDF("b", "b_to"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
+        left = stored(moved.where("a != b").distinct(), "near-edges")
     return nodes.select("text_key", own.alias("own")).join(labels, "text_key", "left").select("text_key", F.coalesce("label", "own").alias("label"))
 
 
@@ -378,7 +504,7 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Texts without words are classes of their own.
     """
     members, labels = classes(docs, similarity)
-    words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]")) > 0
+    words = F.col("text").rlike(SAID)
     alone = docs.where(~F.coalesce(words, F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     first = (F.col("label.text_key") == F.col("text_key")) & F.col("label.doc_id").eqNullSafe(F.col("doc_id"))
     return members.join(labels, "text_key").select("doc_id", F.col("label.doc_id").alias("class_id"), first.alias("kept")).union(alone)
@@ -389,7 +515,7 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     _, labels = classes(docs, similarity)
     first = labels.where(F.col("label.text_key") == F.col("text_key")).select(F.struct(F.col("label.doc_id").alias("doc_id"), "text_key").alias("key"))
     keyed = docs.select(whole_row(docs), F.struct("doc_id", text_key().alias("text_key")).alias("key"), F.col("text").alias("said"))
-    some = F.coalesce(F.regexp_count(F.col("said"), F.lit(r"[^\x20\x09-\x0D]")) > 0, F.lit(False))
+    some = F.coalesce(F.col("said").rlike(SAID), F.lit(False))
     kept = keyed.where(some).join(first, "key", "left_semi")
     repeated = keyed.where(some).groupBy("key").count().where("count > 1").select("key")
     once = kept.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc.*")
