@@ -52,26 +52,35 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+SCORED = 1024  # rows scored and sent back at once
+
+
 def with_score(docs: DataFrame, column: str, scores: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Array]]) -> DataFrame:
     """The documents with a column of scores worked out from their texts; a column of that name is replaced.
 
     ``scores`` gives an array for each batch of a column ``text`` of bytes. On the way through the
-    workers columns have numbers for names, so names of any kind come back as they were.
+    workers columns have numbers for names, so names of any kind come back as they were. A text is sent
+    to a worker once, and rows go on in pieces, so that no worker holds two copies of a batch.
     """
     others = [c for c in docs.columns if c.lower() != column.lower()]
-    numbered = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(others)], raw(F.col("text")).alias("text"))
-    schema = numbered.drop("text").withColumn("score", F.lit(0.0)).schema
+    sent = others if "text" in [c.lower() for c in others] else [*others, "text"]
+    at = [c.lower() for c in sent].index("text")
+    numbered = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(sent)])
+    schema = numbered.select(*numbered.columns[: len(others)], F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: deque[pa.RecordBatch] = deque()
 
         def seen() -> Iterator[pa.RecordBatch]:
             for got in batches:
-                waiting.append(got)
-                yield got
+                for start in range(0, got.num_rows, SCORED):
+                    piece = got.slice(start, SCORED)
+                    waiting.append(piece)
+                    # the same bytes as Spark's, empty for null
+                    yield pa.RecordBatch.from_arrays([piece.column(at).cast(pa.binary()).fill_null(b"")], ["text"])
 
         for made in scores(seen()):
             got = waiting.popleft()
-            yield pa.RecordBatch.from_arrays([*got.columns[:-1], made], names=[*got.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*got.columns[: len(others)], made], names=[*got.schema.names[: len(others)], "score"])
 
     return numbered.mapInArrow(run, schema).toDF(*others, column)

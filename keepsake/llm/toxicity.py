@@ -17,6 +17,7 @@ are kept, whatever their names; one that has the name of the score is replaced b
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.llm.common import ASCII_LOWER, crc_part, free_name, quoted, raw, table, with_score
+from keepsake.llm.common import ASCII_LOWER, SCORED, crc_part, free_name, quoted, raw, table, with_score
 
 SLOT_BITS = 20
 MAX_ROWS = 12_000
@@ -72,7 +73,6 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, slot_bits: int = SLOT_B
     """Slots and weights that are not zero, and the bias, of a model over rows of distinct slots."""
     size = 1 << slot_bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows = [np.append(r, size) for r in rows]  # the bias, without L1
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi, pull = z[i], np.where(i == size, 0.0, l1)
@@ -80,7 +80,7 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, slot_bits: int = SLOT_B
 
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)):
-            i = rows[k]
+            i = np.append(rows[k], size)  # the bias, without L1; no second copy of all rows is kept
             w = weights(i)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - labels[k]
             step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
@@ -93,9 +93,11 @@ def fit_ftrl(rows: list[np.ndarray], labels: np.ndarray, slot_bits: int = SLOT_B
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = Features()
-    for got in batches:
-        slots = [np.unique(made.slots(t.as_py())).astype(np.int32) for t in got.column("text")]
-        yield pa.RecordBatch.from_arrays([got.column("key"), got.column("label"), pa.array(slots, pa.list_(pa.int32()))], ["key", "label", "slots"])
+    for batch in batches:
+        for start in range(0, batch.num_rows, SCORED):
+            got = batch.slice(start, SCORED)
+            slots = [np.unique(made.slots(t.as_py())).astype(np.int32) for t in got.column("text")]
+            yield pa.RecordBatch.from_arrays([got.column("key"), got.column("label"), pa.array(slots, pa.list_(pa.int32()))], ["key", "label", "slots"])
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +107,12 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels += got.column("label").to_pylist()
         lists = got.column("slots")
         flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
-        rows += [flat[a:b].astype(np.int32) for a, b in zip(edges[:-1], edges[1:])]
+        rows += [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]  # views of the batch, which holds the slots once
     if len(set(labels)) < 2:
         return
-    order = sorted(range(len(rows)), key=lambda k: (keys[k], labels[k], rows[k].tobytes()))  # not the order of arrival
+    often = Counter(keys)
+    # not the order of arrival; rows are compared themselves only where a key repeats
+    order = sorted(range(len(rows)), key=lambda k: (keys[k], labels[k], rows[k].tobytes() if often[keys[k]] > 1 else b""))
     slots, weights, bias = fit_ftrl([rows[k] for k in order], np.array([labels[k] for k in order], float))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1), pa.int64()), pa.array(np.append(weights, bias))], ["slot", "weight"])
 
