@@ -5,9 +5,10 @@ a hash of the text, line number). A line is the set of its lower-cased words, or
 rarity: words are counted over all documents, in a fixed number of slots. Two
 lines of Jaccard similarity t share a word among their first n - ceil(t n) + 1;
 those words, as hashes, are joined, under the length and the positional filter. Every row of the join
-also carries the parity of its line's words by slots of 64 bits: the words in which two lines
+also carries the parity of its line's words by 128 slots: the words in which two lines
 differ are at least as many as the bits in which their parities do, so most chance meetings go
-before they leave the join. What is left is verified on the hashes of all words. A line goes if an equal or
+before they leave the join. (64 slots are too few from about 100 words on: half of the bits differ
+by chance, and half is no more than such lines may differ in.) What is left is verified on the hashes of all words. A line goes if an equal or
 similar line comes before it, whether or not that one stays.
 
 Edge cases: null and empty texts have no lines; lines without words stay and have
@@ -30,15 +31,19 @@ SIMILARITY = 0.8
 SLOT_BITS = 16
 RANK_STEPS = 4  # steps of rarity per doubling of a word's count
 SPACES = "\t\n\x0b\x0c\r"
+OTHER_SPACE = "[\t\x0b\x0c\r]"
 
 
 def _pieces(text: Column) -> Column:
     """The lower-cased words between white space, and empty pieces."""
-    return F.split(F.translate(F.lower(text), SPACES, " " * len(SPACES)), " ")
+    # cutting at one character is much faster than at a pattern, and few texts need the pattern
+    plain = F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " ")
+    return F.when(text.rlike(OTHER_SPACE), F.split(F.lower(text), f"[{SPACES} ]")).otherwise(plain)
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(_pieces(line)), "")
+    """Hashes of the different words: 64 bits stand for a word."""
+    return F.array_distinct(F.transform(F.array_remove(_pieces(line), ""), lambda w: F.xxhash64(w)))
 
 
 def _slot(hashed: Column) -> Column:
@@ -48,8 +53,9 @@ def _slot(hashed: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, h, line_no and line of every line with words."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines"))
-    rows = texts.select("doc_id", "h", F.posexplode("lines").alias("line_no", "line"))
-    return rows.where(F.translate("line", SPACES + " ", "") != "")
+    # the outer form keeps Spark from cutting the text a second time, to see whether it has lines
+    rows = texts.select("doc_id", "h", F.posexplode_outer("lines").alias("line_no", "line"))
+    return rows.where(F.ltrim("line", F.lit(SPACES + " ")) != "")
 
 
 def rarity(docs: DataFrame) -> list[int]:
@@ -62,31 +68,41 @@ def rarity(docs: DataFrame) -> list[int]:
     return ranks
 
 
+def _parity(half: int) -> Column:
+    """Whether the words of a set in each of 64 slots are odd in number; two halves of the words have slots of their own."""
+    bit = f"shiftleft((w & 1L) ^ {1 - half}L, cast(shiftright(w, 52) & 63 AS INT))"
+    return F.coalesce(F.expr(f"aggregate(words, 0L, (x, w) -> x ^ {bit})"), F.lit(0).cast("long"))
+
+
 def similar_lines(distinct: DataFrame, ranks: list[int], similarity: float = SIMILARITY) -> DataFrame:
-    """Linked ids (a, b) of ``distinct`` (id, line), each pair once."""
+    """Linked ids (a, b) of ``distinct`` (id, line), each pair once; a further column c comes as a_c and b_c."""
     # one literal, folded from text while the plan is made
     held = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")
-    hashed = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))  # 64 bits stand for a word
+    zero = F.lit(0).cast("long")
     # rank of rarity above, hash below: one number per word, in the order of rarity;
     # two words that share a number make a candidate, never a link
-    numbered = F.transform("words", lambda w: F.shiftleft(F.get(held, _slot(w)), 52) + w.bitwiseAND(F.lit((1 << 52) - 1)))
-    parity = F.expr("aggregate(words, 0L, (x, w) -> x ^ shiftleft(1L, cast(shiftright(w, 52) & 63 AS INT)))")
-    sets = distinct.select("id", hashed.alias("words"))
-    sets = sets.select("id", F.size("words").alias("n"), parity.alias("parity"), F.sort_array(numbered).alias("words"))
+    numbered = F.transform("words", lambda w: F.shiftleft(F.coalesce(F.get(held, _slot(w)), zero), 52) + w.bitwiseAND(F.lit((1 << 52) - 1)))
+    # columns that cannot be null, or Spark would work out the words again to see whether they are
+    sets = distinct.select("id", _words(F.col("line")).alias("words"))
+    sets = sets.select("id", F.coalesce(F.size("words"), F.lit(0)).alias("n"), _parity(0).alias("even"), _parity(1).alias("odd"), F.sort_array(numbered).alias("words"))
     prefix = F.slice("words", 1, F.col("n") - F.ceil(F.col("n") * similarity - 1e-9).cast("int") + 1)
     # both sides read one shuffle of these rows; the outer form keeps Spark from evaluating the array twice
-    tokens = sets.select("id", "n", "parity", F.posexplode_outer(prefix).alias("at", "word")).where("word IS NOT NULL")
+    tokens = sets.select("id", "n", "even", "odd", F.posexplode_outer(prefix).alias("at", "word")).where("word IS NOT NULL")
     a, b = tokens.alias("a"), tokens.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * (similarity / (1 + similarity)) - 1e-9)
     longer = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
     near = longer & (F.col("a.n") >= F.col("b.n") * similarity - 1e-9) & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= need)
-    near = near & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= F.col("a.n") + F.col("b.n") - 2 * need)
-    pairs = stored(a.join(b, F.col("a.word") == F.col("b.word")).where(near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs")
+    apart = F.bit_count(F.col("a.even").bitwiseXOR(F.col("b.even"))) + F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd")))
+    near = near & (apart <= F.col("a.n") + F.col("b.n") - 2 * need)
+    pairs = stored(a.join(b, F.col("a.word") == F.col("b.word")).where(near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct(), "line-pairs", alone=True)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = distinct.join(wanted, "id", "left_semi").select("id", hashed.alias("words"))
-    both = pairs.join(sets.toDF("a", "a_words"), "a").join(sets.toDF("b", "b_words"), "b")
+    others = [c for c in distinct.columns if c not in ("id", "line")]
+    sets = distinct.join(wanted, "id", "left_semi").select("id", *others, _words(F.col("line")).alias("words"))
+    names = [*others, "words"]
+    both = pairs.join(sets.toDF("a", *[f"a_{c}" for c in names]), "a").join(sets.toDF("b", *[f"b_{c}" for c in names]), "b")
     shared = F.size(F.array_intersect("a_words", "b_words"))
-    return both.where(shared >= similarity * (F.size("a_words") + F.size("b_words") - shared) - 1e-9).select("a", "b")
+    alike = shared * (1 + similarity) >= similarity * (F.size("a_words") + F.size("b_words")) - 1e-9
+    return both.where(alike).select("a", "b", *[f"{side}_{c}" for side in "ab" for c in others])
 
 
 def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -98,16 +114,17 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     place = F.struct("doc_id", "h", "line_no")
     key = F.unhex(F.md5(F.col("line").cast("binary"))).alias("key")
     rows = lines_of(docs)
-    distinct = rows.groupBy(key).agg(F.min(place).alias("first"), F.first("line").alias("line"))
+    distinct = rows.groupBy(key).agg(F.min(place).alias("first"), F.first("line").alias("line"), (F.count("*") > 1).alias("repeated"))
     # the numbers are kept with the table, so they do not change
-    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-    links = stored(similar_lines(distinct.select("id", "line"), rarity(docs), similarity), "line-links")
-    firsts = distinct.select("id", "first")
-    ends = links.join(firsts.toDF("a", "a_first"), "a").join(firsts.toDF("b", "b_first"), "b")
-    ends = ends.select(F.explode(F.array(F.struct(F.col("a").alias("id"), (F.col("b_first") < F.col("a_first")).alias("after")), F.struct(F.col("b").alias("id"), (F.col("a_first") < F.col("b_first")).alias("after")))).alias("e"))
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "lines", alone=True)
+    links = similar_lines(distinct.select("id", "first", "line"), rarity(docs), similarity)
+    ends = F.array(*[F.struct(F.col(x).alias("id"), (F.col(f"{y}_first") < F.col(f"{x}_first")).alias("after")) for x, y in ("ab", "ba")])
+    links = stored(links.select(ends.alias("ends")), "line-links", alone=True)
+    ends = links.select(F.explode("ends").alias("e"))
     per = ends.groupBy("e.id").agg(F.count("*").alias("n_links"), F.max("e.after").alias("after"))
-    known = distinct.select("id", "key", "first").join(per, "id", "left").drop("id")
-    out = rows.select("doc_id", "h", "line_no", key).distinct().join(known, "key")
+    # a line that stands in one place and has no links is not looked up: it is its own first place
+    known = distinct.select("id", "key", "first", "repeated").join(per, "id", "left").where("repeated OR n_links IS NOT NULL").select("key", "first", "n_links", "after")
+    out = rows.select("doc_id", "h", "line_no", key).distinct().join(known, "key", "left").withColumn("first", F.coalesce("first", place))
     removed = F.coalesce("after", F.lit(False)) | ~place.eqNullSafe(F.col("first"))
     return out.select(
         "doc_id", "h", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import time
+
 import numpy as np
 import pyarrow as pa
 
-from keepsake.llm import common, near_dedup
+from keepsake.llm import common, line_dedup, near_dedup
+from keepsake.session import stored
 
 
 def near_group(texts: int, words: int, changed: int) -> list[tuple[int, str]]:
@@ -69,3 +74,35 @@ def test_scores_see_pieces_and_each_text_once(spark):
     out = common.with_score(docs, "s", scores)
     found = out.collect()
     assert sorted((r["doc_id"], r["text"]) for r in found) == rows and max(r["s"] for r in found) <= 1024
+
+
+def test_long_lines_that_meet_by_chance_are_not_verified(spark, monkeypatch):
+    draws, pairs = np.random.default_rng(11), []
+    lines = [[f"w{w}" for w in draws.choice(2000, 140, replace=False)] for _ in range(150)]
+    lines += [x[:-2] + ["one", "two"] for x in lines[:5]]
+    real = line_dedup.stored
+
+    def seen(df, name, *rest, **more):
+        table = real(df, name, *rest, **more)
+        if name == "line-pairs":
+            pairs.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "stored", seen)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_links"], r["removed"]) for r in line_dedup.find(docs).collect()}
+    assert got == {i: (1, i >= 150) if i < 5 or i >= 150 else (0, False) for i in range(155)}
+    assert pairs[0] < 10
+
+
+def test_shuffles_of_a_table_stored_alone_go(spark):
+    folder = spark.conf.get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", "/tmp"))
+    there = lambda: set(glob.glob(f"{folder}/**/shuffle_*.data", recursive=True))
+    before, asked = there(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = stored(spark.range(5000).selectExpr("id % 999 AS k").groupBy("k").count(), "alone", alone=True)
+    for _ in range(40):
+        if not (left := there() - before):
+            break
+        time.sleep(0.25)
+    assert not left and table.count() == 999
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == asked
