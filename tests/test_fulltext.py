@@ -101,6 +101,19 @@ def test_notes_continue_positions_across_days(spark):
     assert {("the", 6, 0.4), ("it", 9, 0.4), ("lazy", 10, 0.4), ("later", 11, 0.4), ("lazy", 12, 0.2), ("bones", 13, 0.2)} <= got
 
 
+def test_found_words_of_a_larger_store_are_dealt_to_more_tasks(spark, monkeypatch):
+    rows = [(1, "lazy dog"), (2, '"lazy dog"'), (3, "fox -jumps"), (4, "sunset or bones")]
+    whole, most = _match(spark, rows), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(fulltext, "TASK_TEXT", 4)
+    assert _match(spark, rows) == whole
+    monkeypatch.setattr(fulltext, "TASK_TEXT", 100)
+    e = entries(spark, *[entry(f"e{i}", title=f"t{i}", body="lazy dog " * 5) for i in range(200)])
+    n = notes(spark, *[(f"n{i}", f"e{i}", "the lazy dog " * 4, i, "me") for i in range(200)])
+    for found in fulltext._found(e, n, spark.createDataFrame([("lazy",), ("dog",)], "term string"), []):
+        tasks = found.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 3 * most and max(r["count"] for r in tasks) < 200
+
+
 def test_pieces_of_queries_give_the_whole(spark, monkeypatch):
     e, n = _store(spark)
     q = spark.createDataFrame([(i, w) for i, w in enumerate(["laz", "red", "zz", "og d", "x", "fox", "bones"])], "query_id int, query string")
