@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,18 @@ INPUT_CHARS, ERROR_CHARS = 8000, 500
 REASON_CHARS = 25
 
 
-def log_prompts(calls: DataFrame, entries: DataFrame) -> DataFrame:
+def log_prompts(calls: DataFrame, entries: DataFrame, worded: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows to append for handled calls.
 
     ``calls``: id, at, surface, action, input, entry_ids, ms, ok, error. Tags
     and kinds are looked up from the items a call produced, first seen first.
+
+    Where inputs are looked up as well, ``calls`` come without them and ``worded`` adds them to the finished rows,
+    so that no look-up shuffles a text. Other columns of ``calls`` ride along to it.
     """
     # cut before they travel: a call may hold a whole document
-    calls = calls.withColumns({"input": F.substring("input", 1, INPUT_CHARS), "error": F.substring("error", 1, ERROR_CHARS)})
+    cut = {"error": F.substring("error", 1, ERROR_CHARS)} | ({} if worded else {"input": F.substring("input", 1, INPUT_CHARS)})
+    calls = calls.withColumns(cut)
     touched = (
         calls.select("id", F.posexplode("entry_ids").alias("pos", "entry_id"))
         .join(entries.select(F.col("id").alias("entry_id"), "kind", "tags"), "entry_id")
@@ -28,19 +34,14 @@ def log_prompts(calls: DataFrame, entries: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("pos", "kind", shelves.tag_list(F.col("tags")).alias("tags")))).alias("e"))
     )
     none = F.array().cast("array<string>")
-    return calls.join(touched, "id", "left").select(
-        "id",
-        "at",
-        "surface",
-        "action",
-        "input",
-        "entry_ids",
-        F.coalesce(F.array_distinct(F.flatten(F.transform("e", lambda x: x["tags"]))), none).alias("tags"),
-        F.coalesce(F.array_distinct(F.transform("e", lambda x: x["kind"])), none).alias("kinds"),
-        "ms",
-        F.coalesce("ok", F.lit(True)).alias("ok"),
-        "error",
-    )
+    known = calls.join(touched, "id", "left").withColumns({
+        "tags": F.coalesce(F.array_distinct(F.flatten(F.transform("e", lambda x: x["tags"]))), none),
+        "kinds": F.coalesce(F.array_distinct(F.transform("e", lambda x: x["kind"])), none),
+        "ok": F.coalesce("ok", F.lit(True)),
+    })
+    if worded:
+        known = worded(known).withColumn("input", F.substring("input", 1, INPUT_CHARS))
+    return known.select("id", "at", "surface", "action", "input", "entry_ids", "tags", "kinds", "ms", "ok", "error")
 
 
 def totals(prompts: DataFrame) -> DataFrame:

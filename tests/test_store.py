@@ -183,3 +183,31 @@ def test_prompts_are_cut_before_they_travel(spark):
     assert (len(row["input"]), len(row["error"]), row["tags"], row["kinds"], row["ok"]) == (8000, 500, ["a"], ["thought"], True)
     plan = logged._jdf.queryExecution().analyzed().toString()
     assert plan.index("Join LeftOuter") < plan.index("substring(input")
+
+
+def test_no_text_is_shuffled_with_a_call(spark, tmp_path):
+    from datetime import datetime
+
+    from keepsake.sources import bindings
+
+    long = "é" * (prompts.INPUT_CHARS + 50)
+    docs = [(0, "zero", "en", "s0", 4), (1, long, "fr", "s1", len(long)), (1, "one again", "fr", "s1", 9)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    at = datetime(2024, 1, 1)
+    # numbers are taken modulo three: the last two have no document to be worded after
+    calls = [(0, at, 1, "click", 2.5), (1, at, 2, "view", 1.0), (4, at, 3, "error", 1.0), (4, at, 3, "error", 1.0), (2, at, 4, "click", 1.0), (None, at, 5, "click", 1.0)]
+    spark.createDataFrame(calls, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        logged = bindings.prompts(spark, str(tmp_path))
+        plan = logged._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["id"][:8], r["input"], r["kinds"], r["error"]) for r in logged.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # texts travel once, cut, to the last join: nothing above it is an exchange
+    assert "Exchange" not in plan[: plan.index("Join")]
+    want = [("00000000", "https://example.com/p/0  #en/s0", ["thought", "movie"], None)]
+    want += [("00000001", text, [], None) for text in (long[: prompts.INPUT_CHARS], "one again")]
+    want += [("00000004", text, ["movie"], "timeout") for text in (long[: prompts.INPUT_CHARS], "one again #fr/s1") for _ in range(2)]
+    assert got == sorted(want)
